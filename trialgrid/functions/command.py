@@ -44,7 +44,7 @@ def command_tokens(trial_threads: Column, hwaccels: Column, infile_option: Colum
 
 
 def command_line() -> Column:
-    """Command text of a trial row (joined with one space)."""
+    """Command text of a flat trial row (joined with one space)."""
     return F.array_join(command_tokens(
-        F.col("threads"), F.col("hwaccels"), F.col("infile.option"), F.col("infile.filename"),
-        F.col("outfile.options"), F.col("codec"), F.col("preset"), F.col("outfile.filename")), " ")
+        F.col("threads"), F.col("hwaccels"), F.col("infile_option"), F.col("infile_filename"),
+        F.col("outfile_options"), F.col("codec"), F.col("preset"), F.col("outfile_filename")), " ")

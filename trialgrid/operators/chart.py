@@ -13,23 +13,21 @@ from pyspark.sql import functions as F
 
 from trialgrid.operators.index import with_index
 
-# The chart's projection (output name -> nested source field).
+# The chart's projection (output name -> flat trial column);
+# size and rate are divided by 1000 again.
 CHART_FIELDS = [
     ("codec", "codec"), ("type", "type"), ("preset", "preset"), ("threads", "threads"),
-    ("ref_name", "infile.name"), ("ref_type", "infile.type"), ("infile_option", "infile.option"),
-    ("outfile_filename", "outfile.filename"),
+    ("ref_name", "ref_name"), ("ref_type", "ref_type"), ("infile_option", "infile_option"),
+    ("outfile_filename", "outfile_filename"),
     ("outfile_size_kbyte", None), ("outfile_bit_rate_kbs", None),
-    ("outfile_options", "outfile.options"),
-    ("stream_gop", "outfile.stream.gop"), ("stream_has_b_frames", "outfile.stream.has_b_frames"),
-    ("stream_refs", "outfile.stream.refs"), ("stream_frames_i", "outfile.stream.frames.I"),
-    ("stream_frames_p", "outfile.stream.frames.p"), ("stream_frames_b", "outfile.stream.frames.b"),
-    ("enc_sec", "results.encode.second"), ("enc_time", "results.encode.time"),
-    ("comp_ratio_persent", "results.compression_ratio_persent"),
-    ("enc_speed", "results.encode.speed"),
-    ("ssim_min", "results.vmaf.pooled_metrics.float_ssim.min"),
-    ("ssim_mean", "results.vmaf.pooled_metrics.float_ssim.harmonic_mean"),
-    ("vmaf_min", "results.vmaf.pooled_metrics.vmaf.min"),
-    ("vmaf_mean", "results.vmaf.pooled_metrics.vmaf.harmonic_mean"),
+    ("outfile_options", "outfile_options"),
+    ("stream_gop", "gop"), ("stream_has_b_frames", "has_b_frames"),
+    ("stream_refs", "refs"), ("stream_frames_i", "fI"),
+    ("stream_frames_p", "fP"), ("stream_frames_b", "fB"),
+    ("enc_sec", "enc_sec"), ("enc_time", "enc_time"),
+    ("comp_ratio_persent", "comp_ratio_persent"), ("enc_speed", "enc_speed"),
+    ("ssim_min", "ssim_min"), ("ssim_mean", "ssim_mean"),
+    ("vmaf_min", "vmaf_min"), ("vmaf_mean", "vmaf_mean"),
 ]
 # The group-by choices the chart offers, and its initial selection.
 GROUP_KEYS = ["codec", "type", "preset", "threads", "ref_name", "ref_type",
@@ -48,9 +46,9 @@ MIN_WINDOW = 10
 
 def _chart_col(name, src):
     if name == "outfile_size_kbyte":
-        return (F.col("outfile.size_kbyte") / F.lit(1000.0)).alias(name)
+        return (F.col("outfile_size_kbyte") / F.lit(1000.0)).alias(name)
     if name == "outfile_bit_rate_kbs":
-        return (F.col("outfile.bit_rate_kbs") / F.lit(1000.0)).alias(name)
+        return (F.col("outfile_bit_rate_kbs") / F.lit(1000.0)).alias(name)
     return F.col(src).alias(name)
 
 

@@ -17,7 +17,7 @@ from trialgrid.operators.index import with_index
 def completeness(trials: DataFrame) -> DataFrame:
     """Trials with a result hash vs all trials; archiving is allowed only when
     they are equal."""
-    done = F.count_if(F.col("outfile.hash") != F.lit(""))
+    done = F.count_if(F.col("outfile_hash") != F.lit(""))
     total = F.count(F.lit(1))
     return trials.agg(done.alias("completed"), total.alias("total"),
                       (done == total).alias("archive_ok"))
@@ -25,8 +25,7 @@ def completeness(trials: DataFrame) -> DataFrame:
 
 def lap_seconds(trials: DataFrame) -> DataFrame:
     return trials.select(
-        "id", (F.col("results.encode.second") + F.col("results.probe.second")
-               + F.col("results.vmaf.second")).alias("lap"))
+        "id", (F.col("enc_sec") + F.col("probe_sec") + F.col("vmaf_sec")).alias("lap"))
 
 
 def progress_eta(trials: DataFrame, order: str = "id") -> DataFrame:

@@ -14,25 +14,12 @@ from pyspark.sql import functions as F
 
 from trialgrid.operators.index import order_key, with_index
 
-# Flat report: output name -> nested source field (reference column order).
-FLAT_FIELDS = [
-    ("codec", "codec"), ("type", "type"), ("preset", "preset"), ("threads", "threads"),
-    ("gop", "outfile.stream.gop"), ("has_b_frames", "outfile.stream.has_b_frames"),
-    ("refs", "outfile.stream.refs"),
-    ("fI", "outfile.stream.frames.I"), ("fP", "outfile.stream.frames.P"),
-    ("fB", "outfile.stream.frames.B"), ("fT", "outfile.stream.frames.total"),
-    ("ref_name", "infile.name"), ("ref_type", "infile.type"), ("infile_option", "infile.option"),
-    ("outfile_filename", "outfile.filename"), ("outfile_size_kbyte", "outfile.size_kbyte"),
-    ("outfile_bit_rate_kbs", "outfile.bit_rate_kbs"), ("outfile_options", "outfile.options"),
-    ("enc_sec", "results.encode.second"), ("enc_time", "results.encode.time"),
-    ("comp_ratio_persent", "results.compression_ratio_persent"),
-    ("enc_speed", "results.encode.speed"),
-    ("ssim_min", "results.vmaf.pooled_metrics.float_ssim.min"),
-    ("ssim_mean", "results.vmaf.pooled_metrics.float_ssim.harmonic_mean"),
-    ("vmaf_min", "results.vmaf.pooled_metrics.vmaf.min"),
-    ("vmaf_mean", "results.vmaf.pooled_metrics.vmaf.harmonic_mean"),
-]
-_SRC = dict(FLAT_FIELDS)
+# Flat report columns (reference order); names are columns of the flat trial
+# table. `ssim_mean` / `vmaf_mean` hold the harmonic means.
+FLAT_COLUMNS = ["codec", "type", "preset", "threads", "gop", "has_b_frames", "refs",
+                "fI", "fP", "fB", "fT", "ref_name", "ref_type", "infile_option", "outfile_filename",
+                "outfile_size_kbyte", "outfile_bit_rate_kbs", "outfile_options", "enc_sec", "enc_time",
+                "comp_ratio_persent", "enc_speed", "ssim_min", "ssim_mean", "vmaf_min", "vmaf_mean"]
 
 MAX_COLS = ["gop", "has_b_frames", "refs", "fI", "fP", "fB", "fT"]
 AVG_COLS = ["outfile_size_kbyte", "outfile_bit_rate_kbs", "enc_sec", "comp_ratio_persent",
@@ -48,23 +35,20 @@ TYPE_COLUMNS = ["index", "codec", "type", "preset", "threads", *MAX_COLS, "ref_t
 OPTION_COLUMNS = [c for c in TYPE_COLUMNS if c != "ref_type"]
 
 
-def flatten_trials(trials: DataFrame) -> DataFrame:
-    """27-column flat projection without the index (nested pruning keeps the
-    scan to the fields used)."""
-    return trials.select(*[F.col(src).alias(name) for name, src in FLAT_FIELDS])
+def report_rows(trials: DataFrame) -> DataFrame:
+    """26-column flat projection of trials, without the index."""
+    return trials.select(*FLAT_COLUMNS)
 
 
 def flat_report(trials: DataFrame, order: str = "id") -> DataFrame:
     """Flat report with a dense `index` in trial order (`id` by default)."""
-    flat = trials.select(F.col(order).alias("_tg_order"),
-                         *[F.col(src).alias(name) for name, src in FLAT_FIELDS])
+    flat = trials.select(F.col(order).alias("_tg_order"), *FLAT_COLUMNS)
     return with_index(flat, [F.col("_tg_order")]).drop("_tg_order")
 
 
 def _grouped(trials: DataFrame, keys: list[str]) -> DataFrame:
-    aggs = ([F.max(_SRC[c]).alias(c) for c in MAX_COLS]
-            + [F.avg(_SRC[c]).alias(c) for c in AVG_COLS])
-    return trials.groupBy(*[F.col(_SRC[k]).alias(k) for k in keys]).agg(*aggs)
+    aggs = [F.max(c).alias(c) for c in MAX_COLS] + [F.avg(c).alias(c) for c in AVG_COLS]
+    return trials.groupBy(*keys).agg(*aggs)
 
 
 def report_by_type(trials: DataFrame, index: bool = True) -> DataFrame:

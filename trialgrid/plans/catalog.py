@@ -168,7 +168,7 @@ def q_sequence_grid(spark, d):
 def q_latest_by_id(spark, d):
     """Latest record per option id (many trials share one), by ship date then keys."""
     t = _trials(spark, d, keep_keys=True).select(
-        F.col("id_opt").alias("id"), "l_shipdate", *tables.KEYS, F.col("outfile.size_kbyte").alias("size"))
+        F.col("id_opt").alias("id"), "l_shipdate", *tables.KEYS, F.col("outfile_size_kbyte").alias("size"))
     return grid.latest_by_id(t, ["l_shipdate", *tables.KEYS]).drop("l_shipdate")
 
 
@@ -180,8 +180,7 @@ def q_trial_ids(spark, d):
 
 def q_pending_trials(spark, d):
     t = grid.pending(_trials(spark, d))
-    return t.select("id", "codec", "type", F.col("outfile.options").alias("outfile_options"),
-                    F.col("infile.name").alias("ref_name"))
+    return t.select("id", "codec", "type", "outfile_options", "ref_name")
 
 
 def q_completeness(spark, d):
@@ -212,7 +211,7 @@ def q_path_rewrite(spark, d):
     datafile = F.concat(F.lit("cfg/"), F.col("codec"), F.lit(".json/data"), F.col("id").substr(1, 12),
                         F.lit(".json"))
     return t.select(*tables.KEYS,
-                    paths.with_side_suffix(F.col("infile.filename"), probe.PROBE_SUFFIX).alias("probe_path"),
+                    paths.with_side_suffix(F.col("infile_filename"), probe.PROBE_SUFFIX).alias("probe_path"),
                     paths.replace_first(datafile, F.lit(".json"), F.lit("_all.csv")).alias("report_first"),
                     paths.replace_all(datafile, ".json", "_gby_type.csv").alias("report_all"))
 
@@ -235,8 +234,8 @@ def q_command_line(spark, d):
     hw = F.when(F.col("codec") == F.lit("PROMO"), F.lit("-hwaccel qsv")).otherwise(F.lit(""))
     pre = F.when(F.col("type") == F.lit("N"), F.lit("none")).otherwise(F.col("preset"))
     line = F.array_join(command.command_tokens(
-        F.col("threads"), hw, F.col("infile.option"), F.col("infile.filename"), F.col("outfile.options"),
-        F.col("codec"), pre, F.col("outfile.filename")), " ")
+        F.col("threads"), hw, F.col("infile_option"), F.col("infile_filename"), F.col("outfile_options"),
+        F.col("codec"), pre, F.col("outfile_filename")), " ")
     return t.select("id", line.alias("commandline"))
 
 
@@ -281,7 +280,7 @@ def q_enrich_trials(spark, d):
         t, tables.base_probes_from_tables(spark, d), tables.out_probes_from_tables(spark, d),
         tables.metric_logs_from_tables(spark, d), _frame_info(spark, d),
         frames_key=F.concat(F.lit("u/"), F.col("l_suppkey").cast("string")),
-        encode_seconds=F.col("results.encode.second"))
+        encode_seconds=F.col("enc_sec"))
     return rounded(out)
 
 

@@ -73,3 +73,39 @@ _TYPE_COLS = [c for c in _FLAT_COLS
               if c[0] not in ("ref_name", "infile_option", "outfile_filename", "enc_time")]
 TYPE_REPORT_SCHEMA = _struct(*_TYPE_COLS)
 OPTION_REPORT_SCHEMA = _struct(*[c for c in _TYPE_COLS if c[0] != "ref_type"])
+
+
+# The flat trial table every operator works on: one column per leaf of
+# TRIAL_SCHEMA (output name -> nested path). Nested records are flattened once
+# at the source, which lets Parquet nested-column pruning read only the leaves
+# a job uses; building nested structs first would defeat pruning.
+TRIAL_FIELDS = [
+    ("id", "id"), ("id_opt", "id_opt"), ("codec", "codec"), ("type", "type"),
+    ("comments", "comments"), ("preset", "preset"), ("threads", "threads"),
+    ("ref_name", "infile.name"), ("ref_type", "infile.type"), ("infile_filename", "infile.filename"),
+    ("infile_duration", "infile.duration"), ("infile_size_kbyte", "infile.size_kbyte"),
+    ("infile_option", "infile.option"),
+    ("outfile_filename", "outfile.filename"), ("outfile_options", "outfile.options"),
+    ("outfile_hash", "outfile.hash"), ("outfile_bit_rate_kbs", "outfile.bit_rate_kbs"),
+    ("outfile_duration", "outfile.duration"), ("outfile_size_kbyte", "outfile.size_kbyte"),
+    ("gop", "outfile.stream.gop"), ("has_b_frames", "outfile.stream.has_b_frames"),
+    ("refs", "outfile.stream.refs"), ("fI", "outfile.stream.frames.I"),
+    ("fP", "outfile.stream.frames.P"), ("fB", "outfile.stream.frames.B"),
+    ("fT", "outfile.stream.frames.total"),
+    ("commandline", "commandline"), ("hwaccels", "hwaccels"),
+    ("enc_sec", "results.encode.second"), ("enc_time", "results.encode.time"),
+    ("enc_fps", "results.encode.fps"), ("enc_speed", "results.encode.speed"),
+    ("comp_ratio_persent", "results.compression_ratio_persent"),
+    ("probe_sec", "results.probe.second"), ("probe_time", "results.probe.time"),
+    ("vmaf_sec", "results.vmaf.second"), ("vmaf_time", "results.vmaf.time"),
+    ("vmaf_version", "results.vmaf.version"), ("vmaf_commandline", "results.vmaf.commandline"),
+    ("ssim_min", "results.vmaf.pooled_metrics.float_ssim.min"),
+    ("ssim_max", "results.vmaf.pooled_metrics.float_ssim.max"),
+    ("ssim_amean", "results.vmaf.pooled_metrics.float_ssim.mean"),
+    ("ssim_mean", "results.vmaf.pooled_metrics.float_ssim.harmonic_mean"),
+    ("vmaf_min", "results.vmaf.pooled_metrics.vmaf.min"),
+    ("vmaf_max", "results.vmaf.pooled_metrics.vmaf.max"),
+    ("vmaf_amean", "results.vmaf.pooled_metrics.vmaf.mean"),
+    ("vmaf_mean", "results.vmaf.pooled_metrics.vmaf.harmonic_mean"),
+]
+TRIAL_COLUMNS = [n for n, _ in TRIAL_FIELDS]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialgrid.functions import ids, timefmt
+from trialgrid.schemas import TRIAL_COLUMNS
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -40,13 +41,15 @@ def _d(x) -> Column:
 
 
 def trials_from_tables(spark: SparkSession, sf_dir: str, keep_keys: bool = False) -> DataFrame:
-    """`lineitem JOIN part` as a DataFrame of TRIAL_SCHEMA (plus the four
-    line keys when `keep_keys`)."""
+    """`lineitem JOIN part` as the flat trial table (plus the four line keys
+    and the ship date when `keep_keys`)."""
     return trials_from_frames(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"), keep_keys)
 
 
 def trials_from_frames(li: DataFrame, part: DataFrame, keep_keys: bool = False) -> DataFrame:
-    """Same mapping from given DataFrames (batch or streaming `lineitem`)."""
+    """Same mapping from given DataFrames (batch or streaming `lineitem`).
+    Returns the flat trial table (schemas.TRIAL_COLUMNS); every column is an
+    independent expression, so a job computes only the columns it reads."""
     j = li.join(part, li.l_partkey == part.p_partkey, "inner")
 
     tid = F.sha2(key_text(*KEYS), 256)
@@ -54,66 +57,61 @@ def trials_from_frames(li: DataFrame, part: DataFrame, keep_keys: bool = False)
     codec, typ = F.col("p_type"), F.col("l_returnflag")
     options = F.concat(F.lit("-q "), ln.cast("string"))
     frames_i, frames_p, frames_b = ln.cast("bigint"), lq.cast("bigint"), F.col("p_size").cast("bigint")
+    total = frames_i + frames_p + frames_b
     k = F.when(F.col("l_linestatus") == "F", F.lit(2)).otherwise(F.lit(1))
     probe_sec = F.col("l_tax") * _d(100)
     vmaf_sec = F.col("l_discount") * _d(1000)
 
-    cols = [
-        tid.alias("id"),
-        ids.option_hash(codec, typ, F.lit(PRESET), options, F.lit(THREADS), F.lit(""), F.lit("")).alias("id_opt"),
-        codec.alias("codec"),
-        typ.alias("type"),
-        F.col("p_name").alias("comments"),
-        F.lit(PRESET).alias("preset"),
-        F.lit(THREADS).alias("threads"),
-        F.struct(
-            F.col("p_brand").alias("name"),
-            F.col("l_linestatus").alias("type"),
-            F.concat(F.lit("clips/o"), F.col("l_orderkey").cast("string"), F.lit(".m2ts")).alias("filename"),
-            _d(CLIP_SECONDS).alias("duration"),
-            (F.col("p_retailprice") * _d(100)).alias("size_kbyte"),
-            F.lit("").alias("option"),
-        ).alias("infile"),
-        F.struct(
-            F.concat(F.lit("t/"), F.concat_ws("_", *[F.col(c).cast("string") for c in KEYS])).alias("filename"),
-            options.alias("options"),
-            F.when(lq < _d(5), F.lit("")).otherwise(tid).alias("hash"),
-            (F.col("l_extendedprice") / _d(15)).alias("bit_rate_kbs"),
-            _d(CLIP_SECONDS).alias("duration"),
-            F.col("l_extendedprice").alias("size_kbyte"),
-            F.struct(
-                F.col("p_size").cast("bigint").alias("gop"),
-                (ln % 6).cast("bigint").alias("has_b_frames"),
-                (F.lit(1) + F.col("l_suppkey") % 8).cast("bigint").alias("refs"),
-                F.struct(frames_i.alias("I"), frames_p.alias("P"), frames_b.alias("B"),
-                         (frames_i + frames_p + frames_b).alias("total")).alias("frames"),
-            ).alias("stream"),
-        ).alias("outfile"),
-        F.lit("").alias("commandline"),
-        F.lit("").alias("hwaccels"),
-        F.struct(
-            F.struct(lq.alias("second"), timefmt.hms(lq).alias("time"),
-                     ((frames_i + frames_p + frames_b).cast("double") / lq).alias("fps"),
-                     (_d(CLIP_SECONDS) / lq).alias("speed")).alias("encode"),
-            (_d(1) - F.col("l_discount") * (F.lit(2) + k * ln).cast("double")).alias("compression_ratio_persent"),
-            F.struct(probe_sec.alias("second"), timefmt.hms(probe_sec).alias("time")).alias("probe"),
-            F.struct(
-                vmaf_sec.alias("second"), timefmt.hms(vmaf_sec).alias("time"),
-                F.lit(METRIC_VERSION).alias("version"), F.lit("").alias("commandline"),
-                F.struct(
-                    F.struct((_d(1) - F.col("l_tax")).alias("min"), _d(1).alias("max"),
-                             (_d(1) - F.col("l_tax") / _d(10)).alias("mean"),
-                             (_d(1) - F.col("l_tax") / _d(5)).alias("harmonic_mean")).alias("float_ssim"),
-                    F.struct((_d(60) + lq / _d(2)).alias("min"), _d(100).alias("max"),
-                             (_d(91) + _d(1.5) * ln.cast("double")).alias("mean"),
-                             (_d(90) + _d(1.5) * ln.cast("double")).alias("harmonic_mean")).alias("vmaf"),
-                ).alias("pooled_metrics"),
-            ).alias("vmaf"),
-        ).alias("results"),
-    ]
+    cols = {
+        "id": tid,
+        "id_opt": ids.option_hash(codec, typ, F.lit(PRESET), options, F.lit(THREADS), F.lit(""), F.lit("")),
+        "codec": codec,
+        "type": typ,
+        "comments": F.col("p_name"),
+        "preset": F.lit(PRESET),
+        "threads": F.lit(THREADS),
+        "ref_name": F.col("p_brand"),
+        "ref_type": F.col("l_linestatus"),
+        "infile_filename": F.concat(F.lit("clips/o"), F.col("l_orderkey").cast("string"), F.lit(".m2ts")),
+        "infile_duration": _d(CLIP_SECONDS),
+        "infile_size_kbyte": F.col("p_retailprice") * _d(100),
+        "infile_option": F.lit(""),
+        "outfile_filename": F.concat(F.lit("t/"), F.concat_ws("_", *[F.col(c).cast("string") for c in KEYS])),
+        "outfile_options": options,
+        "outfile_hash": F.when(lq < _d(5), F.lit("")).otherwise(tid),
+        "outfile_bit_rate_kbs": F.col("l_extendedprice") / _d(15),
+        "outfile_duration": _d(CLIP_SECONDS),
+        "outfile_size_kbyte": F.col("l_extendedprice"),
+        "gop": F.col("p_size").cast("bigint"),
+        "has_b_frames": (ln % 6).cast("bigint"),
+        "refs": (F.lit(1) + F.col("l_suppkey") % 8).cast("bigint"),
+        "fI": frames_i, "fP": frames_p, "fB": frames_b, "fT": total,
+        "commandline": F.lit(""),
+        "hwaccels": F.lit(""),
+        "enc_sec": lq,
+        "enc_time": timefmt.hms(lq),
+        "enc_fps": total.cast("double") / lq,
+        "enc_speed": _d(CLIP_SECONDS) / lq,
+        "comp_ratio_persent": _d(1) - F.col("l_discount") * (F.lit(2) + k * ln).cast("double"),
+        "probe_sec": probe_sec,
+        "probe_time": timefmt.hms(probe_sec),
+        "vmaf_sec": vmaf_sec,
+        "vmaf_time": timefmt.hms(vmaf_sec),
+        "vmaf_version": F.lit(METRIC_VERSION),
+        "vmaf_commandline": F.lit(""),
+        "ssim_min": _d(1) - F.col("l_tax"),
+        "ssim_max": _d(1),
+        "ssim_amean": _d(1) - F.col("l_tax") / _d(10),
+        "ssim_mean": _d(1) - F.col("l_tax") / _d(5),
+        "vmaf_min": _d(60) + lq / _d(2),
+        "vmaf_max": _d(100),
+        "vmaf_amean": _d(91) + _d(1.5) * ln.cast("double"),
+        "vmaf_mean": _d(90) + _d(1.5) * ln.cast("double"),
+    }
+    out = [cols[c].alias(c) for c in TRIAL_COLUMNS]
     if keep_keys:
-        cols += [F.col(c) for c in KEYS] + [F.col("l_shipdate")]
-    return j.select(*cols)
+        out += [F.col(c) for c in KEYS] + [F.col("l_shipdate")]
+    return j.select(*out)
 
 
 # ---------------------------------------------------------------------------
