@@ -42,3 +42,13 @@ def score(vmaf_min: Column, vmaf_mean: Column, ssim_mean: Column, comp: Column)
 def text(x: Column) -> Column:
     """Number as text for concatenation; NULL becomes '' (SQL CONCAT skips NULL)."""
     return F.coalesce(x.cast("string"), F.lit(""))
+
+
+def sql_round(x: Column, digits: int) -> Column:
+    """ROUND(x, digits) as the reference's SQL engine computes it on doubles:
+    the binary value scaled by 10^digits, rounded half away from zero, scaled
+    back. Spark's round() instead rounds the shortest decimal text, which
+    differs when that text ends in 5 past the last kept digit
+    (58060.9984375 -> .998438 vs .998437)."""
+    scale = float(10 ** digits)
+    return F.round(x * F.lit(scale)) / F.lit(scale)

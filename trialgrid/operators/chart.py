@@ -52,14 +52,16 @@ def _chart_col(name, src):
     return F.col(src).alias(name)
 
 
-def chart_rows(trials: DataFrame, order: str = "id", index: bool = True) -> DataFrame:
+def chart_rows(trials: DataFrame, order: list[str] | str = "id", index: bool = True) -> DataFrame:
     """26-column chart projection; size and rate divided by 1000 again (the
     names are kept, the unit becomes MiB-ish / Mibit/s as in the reference)."""
     cols = [_chart_col(n, s) for n, s in CHART_FIELDS]
     if not index:
         return trials.select(*cols)
-    return with_index(trials.select(F.col(order).alias("_tg_order"), *cols),
-                      [F.col("_tg_order")]).drop("_tg_order")
+    order = [order] if isinstance(order, str) else list(order)
+    keys = [f"_tg_o{i}" for i in range(len(order))]
+    return with_index(trials.select(*[F.col(c).alias(k) for c, k in zip(order, keys)], *cols),
+                      keys).drop(*keys)
 
 
 def codec_filter(rows: DataFrame, codecs: list[str] | None) -> DataFrame:

@@ -4,11 +4,11 @@
 1. `orderBy(k)` range-partitions and sorts (a distributed sort);
 2. each row's position inside its partition comes from
    `monotonically_increasing_id()` (partition id in the upper bits);
-3. the tagged rows are checkpointed (reliable storage under the cluster's
-   `spark.checkpoint.dir`): the partition count and the join below must see
-   the very same partitions, and a recomputation after a lost executor or an
-   optimizer that drops the sort in the counting branch would not guarantee
-   that;
+3. the tagged rows are written once as a Parquet table under the cluster's
+   shared `spark.checkpoint.dir` and read back (this cuts the lineage): the
+   partition count and the join below must see the very same rows, and a
+   recomputation after a lost executor, or an optimizer that drops the sort
+   in the counting branch, would not guarantee that;
 4. per-partition row counts (one row per partition: bounded by the partition
    count, hence safe to broadcast) are prefix-summed into offsets;
 5. index = offset of the partition + position inside it.
@@ -21,15 +21,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialgrid.session import scratch_path
+
 
 def with_index(df: DataFrame, order: list, name: str = "index") -> DataFrame:
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     sorted_df = df.orderBy(*order_cols)
-    tagged = (sorted_df
-              .withColumn("_tg_pid", F.spark_partition_id())
-              .withColumn("_tg_pos", F.monotonically_increasing_id()
-                          - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
-              .checkpoint(eager=True))
+    tagged = materialize(sorted_df
+                         .withColumn("_tg_pid", F.spark_partition_id())
+                         .withColumn("_tg_pos", F.monotonically_increasing_id()
+                                     - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)),
+                         "index")
     sizes = tagged.groupBy("_tg_pid").agg(F.count(F.lit(1)).alias("_tg_n"))
     before = Window.orderBy("_tg_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_tg_pid", F.coalesce(F.sum("_tg_n").over(before), F.lit(0)).alias("_tg_off"))
@@ -39,6 +41,14 @@ def with_index(df: DataFrame, order: list, name: str = "index") -> DataFrame:
     return out.select(name, *[c for c in out.columns if c != name])
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to a fresh folder under the shared checkpoint folder and
+    read it back: a lineage cut that survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def index_col_first(df: DataFrame, name: str = "index") -> DataFrame:
     return df.select(name, *[c for c in df.columns if c != name])
 

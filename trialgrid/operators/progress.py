@@ -33,8 +33,9 @@ def progress_eta(trials: DataFrame, order: str = "id") -> DataFrame:
     trial's encode + probe + metric seconds (0 for the first), and
     ETA = lap x (N - index0), with their "DDd, HHhMMmSSs" texts."""
     n = trials.count()
+    # The lap breaks ties between trials sharing an order key.
     laps = with_index(lap_seconds(trials.withColumnRenamed(order, "id") if order != "id" else trials),
-                      [F.col("id")], name="idx")
+                      [F.col("id"), F.col("lap")], name="idx")
     prev = laps.select((F.col("idx") + F.lit(1)).alias("idx"), F.col("lap").alias("prev_lap"))
     j = laps.select("idx", "id").join(prev, "idx", "left")
     lap = F.coalesce(F.col("prev_lap"), F.lit(0.0))

@@ -40,10 +40,14 @@ def report_rows(trials: DataFrame) -> DataFrame:
     return trials.select(*FLAT_COLUMNS)
 
 
-def flat_report(trials: DataFrame, order: str = "id") -> DataFrame:
-    """Flat report with a dense `index` in trial order (`id` by default)."""
-    flat = trials.select(F.col(order).alias("_tg_order"), *FLAT_COLUMNS)
-    return with_index(flat, [F.col("_tg_order")]).drop("_tg_order")
+def flat_report(trials: DataFrame, order: list[str] | str = "id") -> DataFrame:
+    """Flat report with a dense `index` in trial order (`order` columns of the
+    trial table; give a total order for reproducible labels)."""
+    order = [order] if isinstance(order, str) else list(order)
+    keys = [F.col(c).alias(f"_tg_o{i}") for i, c in enumerate(order)]
+    flat = trials.select(*keys, *FLAT_COLUMNS)
+    return with_index(flat, [f"_tg_o{i}" for i in range(len(order))]).drop(
+        *[f"_tg_o{i}" for i in range(len(order))])
 
 
 def _grouped(trials: DataFrame, keys: list[str]) -> DataFrame:

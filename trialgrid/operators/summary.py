@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialgrid.functions.metrics import score, text
+from trialgrid.functions.metrics import score, sql_round, text
 
 # The quality gate (inclusive bounds) and the top-k of the
 # per-ref summary.
@@ -40,7 +40,7 @@ def quality_gate(report: DataFrame, comp: float = GATE_COMP_MIN, ssim: float = G
 
 
 def _r3(c):
-    return F.round(c, 3)
+    return sql_round(c, 3)
 
 
 def summary_by_ref(report_by_type: DataFrame, limit: int = SUMMARY_BY_REF_LIMIT) -> DataFrame:

@@ -34,7 +34,7 @@ PATTERN_TYPE = "all"
 
 
 def rounded(df: DataFrame, digits: int = ROUND_DIGITS) -> DataFrame:
-    return df.select(*[F.round(F.col(f"`{f.name}`"), digits).alias(f.name)
+    return df.select(*[metrics.sql_round(F.col(f"`{f.name}`"), digits).alias(f.name)
                        if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
                        for f in df.schema.fields])
 
@@ -49,8 +49,13 @@ def _type_report(spark, d, index=True):
 
 # --- reports and summaries --------------------------------------------------
 
+# Trial order of the flat reports: id, then measurements as tie-breakers (two
+# lines may share all four keys).
+TRIAL_ORDER = ["id", "enc_sec", "outfile_size_kbyte"]
+
+
 def q_flat_report(spark, d):
-    return rounded(reports.flat_report(_trials(spark, d)))
+    return rounded(reports.flat_report(_trials(spark, d), TRIAL_ORDER))
 
 
 def q_type_report(spark, d):
@@ -88,7 +93,7 @@ def q_score(spark, d):
 # --- chart feed ---------------------------------------------------------------
 
 def _chart_rows(spark, d, index=False):
-    return chart.chart_rows(_trials(spark, d), index=index)
+    return chart.chart_rows(_trials(spark, d), order=TRIAL_ORDER, index=index)
 
 
 def _groups(spark, d):

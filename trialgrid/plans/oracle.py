@@ -228,7 +228,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY id_opt ORDER BY l_shipdate DESC,
         l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM trials) WHERE rn = 1"""
 
 PROGRESS_ETA = f"""WITH {TRIALS},
-l AS (SELECT id, enc_sec + probe_sec + vmaf_sec AS lap, row_number() OVER (ORDER BY id) - 1 AS idx FROM trials),
+l AS (SELECT id, enc_sec + probe_sec + vmaf_sec AS lap,
+             row_number() OVER (ORDER BY id, enc_sec + probe_sec + vmaf_sec) - 1 AS idx FROM trials),
 n AS (SELECT COUNT(*) AS n FROM trials),
 p AS (SELECT idx, id, COALESCE(LAG(lap) OVER (ORDER BY idx), {D(0)}) AS lap FROM l)
 SELECT idx AS index, id, printf('%04d/%04d', idx + 1, n) AS position,
@@ -300,31 +301,38 @@ POOL_SCORES = f"""SELECT 'u/' || CAST(user_id AS VARCHAR) AS file, event_type AS
 FROM events GROUP BY 1, 2"""
 
 _BASE_SIZE = f"CAST(round(o_totalprice * {D(1000)}) AS BIGINT)"
-_OUT_SIZE = f"CAST(round(l_extendedprice * {D(1024)}) AS BIGINT)"
-_OUT_RATE = f"CAST(round(l_extendedprice * {D(8192)} / {D(120)}) AS BIGINT)"
 BASE_PROBE_JOIN = f"""WITH {TRIALS}
 SELECT id, 'clips/o' || CAST(l_orderkey AS VARCHAR) || '_ffprobe.json' AS base_probe_path,
   {R(D(120), 'base_duration')}, {_BASE_SIZE} AS base_size
 FROM trials JOIN orders ON l_orderkey = o_orderkey"""
 
+_STEM = "'t/' || concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+_OUT_SIZE = f"CAST(round(op.p_price * {D(1024)}) AS BIGINT)"
+_OUT_RATE = f"CAST(round(op.p_price * {D(8192)} / {D(120)}) AS BIGINT)"
 ENRICH_TRIALS = f"""WITH {TRIALS}, {FRAMES}, {SEGS}, {COUNTS},
 fi AS (SELECT c.file, g.gop, c."I", c."P", c."B", c."I" + c."P" + c."B" AS total
-       FROM counts c JOIN (SELECT file, arg_min(length, seg) AS gop FROM segs GROUP BY file) g ON c.file = g.file)
+       FROM counts c JOIN (SELECT file, arg_min(length, seg) AS gop FROM segs GROUP BY file) g ON c.file = g.file),
+op AS (SELECT {_STEM} AS stem, l_discount AS p_disc, l_extendedprice AS p_price, l_linenumber AS p_ln,
+              l_suppkey AS p_sk FROM lineitem),
+mt AS (SELECT {_STEM} AS stem, l_tax AS m_tax, l_quantity AS m_q, l_linenumber AS m_ln FROM lineitem)
 SELECT id,
   {R(D(120), 'infile_duration')},
   {R(f'CAST({_BASE_SIZE} AS DOUBLE) / {D(1024)}', 'infile_size_kbyte')},
   {R(f'CAST({_OUT_RATE} AS DOUBLE) / {D(1024)}', 'outfile_bit_rate_kbs')},
-  {R(f'{D(120)} - l_discount', 'outfile_duration')},
+  {R(f'{D(120)} - op.p_disc', 'outfile_duration')},
   {R(f'CAST({_OUT_SIZE} AS DOUBLE) / {D(1024)}', 'outfile_size_kbyte')},
-  fi.gop AS gop, CAST(l_linenumber % 3 AS BIGINT) AS has_b_frames, CAST(1 + l_suppkey % 4 AS BIGINT) AS refs,
+  fi.gop AS gop, CAST(op.p_ln % 3 AS BIGINT) AS has_b_frames, CAST(1 + op.p_sk % 4 AS BIGINT) AS refs,
   fi."I" AS "fI", fi."P" AS "fP", fi."B" AS "fB", fi.total AS "fT",
   {R('enc_sec', 'enc_sec')}, enc_time,
   {R('CAST(fi.total AS DOUBLE) / enc_sec', 'fps')},
-  {R(f'({D(120)} - l_discount) / enc_sec', 'speed')},
+  {R(f'({D(120)} - op.p_disc) / enc_sec', 'speed')},
   {R(f'{D(1)} - CAST({_OUT_SIZE} AS DOUBLE) / CAST({_BASE_SIZE} AS DOUBLE)', 'compression_ratio_persent')},
   '2.3.1' AS metric_version,
-  {R('ssim_min', 'ssim_min')}, {R('ssim_mean', 'ssim_mean')}, {R('vmaf_min', 'vmaf_min')}, {R('vmaf_mean', 'vmaf_mean')}
+  {R(f'{D(1)} - mt.m_tax', 'ssim_min')}, {R(f'{D(1)} - mt.m_tax / {D(5)}', 'ssim_mean')},
+  {R(f'{D(60)} + mt.m_q / {D(2)}', 'vmaf_min')}, {R(f'{D(90)} + {D(1.5)} * CAST(mt.m_ln AS DOUBLE)', 'vmaf_mean')}
 FROM trials JOIN orders ON l_orderkey = o_orderkey
+  JOIN op ON op.stem = trials.outfile_filename
+  JOIN mt ON mt.stem = trials.outfile_filename
   JOIN fi ON fi.file = 'u/' || CAST(l_suppkey AS VARCHAR)"""
 
 REFS = """refs AS (SELECT s_name AS name, 'T' || CAST(s_nationkey AS VARCHAR) AS type,
@@ -373,7 +381,7 @@ NO_EFFECT = (f"WITH {TRIALS}, {TR}, {DELTAS} SELECT {_DSEL} FROM d WHERE abs(siz
              f"AND abs(d_comp_ratio_persent) <= {D(0.05)}")
 
 ORACLE: dict[str, str] = {
-    "flat_report": (f"WITH {TRIALS} SELECT row_number() OVER (ORDER BY id) - 1 AS index, "
+    "flat_report": (f"WITH {TRIALS} SELECT row_number() OVER (ORDER BY id, enc_sec, outfile_size_kbyte) - 1 AS index, "
                     f"{_sel(FLAT_COLS)} FROM trials"),
     "type_report": _report(TYPE_KEYS),
     "option_report": _report(OPTION_KEYS),
@@ -382,7 +390,7 @@ ORACLE: dict[str, str] = {
     "summary_by_codec": SUMMARY_BY_CODEC,
     "avg_of_avg": AVG_OF_AVG,
     "score": SCORE,
-    "chart_rows": (f"WITH {TRIALS}, {ROWS} SELECT row_number() OVER (ORDER BY id) - 1 AS index, "
+    "chart_rows": (f"WITH {TRIALS}, {ROWS} SELECT row_number() OVER (ORDER BY id, enc_sec, outfile_size_kbyte * {D(1000)}) - 1 AS index, "
                    + _sel([n for n, _ in CHART_COLS]) + " FROM rows"),
     "codec_filter": (f"WITH {TRIALS}, {ROWS} SELECT " + _sel([n for n, _ in CHART_COLS])
                      + f" FROM rows WHERE codec IN {SEL_CODECS}"),
