@@ -17,20 +17,15 @@ FAST = ["type_report", "option_report", "summary_by_codec", "summary_by_ref", "q
 
 def _norm(rows, cols):
     """Rows with columns in name order, sorted with floats bucketed coarsely;
-    floats are then compared with a relative tolerance (two engines average
-    in different orders, so a value on a rounding tie may round either way)."""
+    floats are then compared with a tolerance of one unit in the 6th place
+    (two engines average in different orders; ties are rounded alike by
+    functions.metrics.sql_round, far-from-tie values agree exactly)."""
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     def key(r):
         return tuple("" if r[i] is None else (f"{r[i]:.2f}" if isinstance(r[i], float) else str(r[i])) for i in order)
     return [tuple(r[i] for i in order) for r in sorted(rows, key=key)]
 
 
-# Queries that round group means to 3 places (the reference's ROUND(AVG, 3)):
-# a mean sitting exactly on x.xxx5 may round either way depending on the
-# engine's summation order.
-ROUND3 = {"summary_by_codec", "summary_by_ref", "avg_of_avg"}
-
-
 def _same(a, b, abs_tol=2e-6):
     if len(a) != len(b):
         return False
@@ -63,8 +58,7 @@ def test_query_matches_oracle(spark, sf_dir, con, name):
     rel = con.execute(E.oracle_sql()[name])
     ocols = [d[0] for d in rel.description]
     assert sorted(df.columns) == sorted(ocols)
-    tol = 1.01e-3 if name in ROUND3 else 2e-6
-    assert _same(_norm([tuple(r) for r in df.collect()], df.columns), _norm(rel.fetchall(), ocols), tol)
+    assert _same(_norm([tuple(r) for r in df.collect()], df.columns), _norm(rel.fetchall(), ocols))
 
 
 def test_entry_runs(spark):

@@ -23,14 +23,31 @@ def _checked(c: Column, what: str) -> Column:
 
 
 def option_hash(codec: Column, type_: Column, preset: Column, option: Column,
-                threads: Column, hwaccels: Column, infile_option: Column) -> Column:
+                threads: Column, hwaccels: Column, infile_option: Column,
+                checked: bool = True) -> Column:
+    """`checked=False` when the inputs were already validated upstream (see
+    `unsafe_text`), e.g. once per pattern instead of once per grid cell."""
     first = F.concat(codec, type_, preset, option)
     second = F.concat(threads, hwaccels, infile_option)
-    text = F.concat(F.lit("['"), _checked(first, "option part"), F.lit("', '"),
-                    _checked(second, "input part"), F.lit("']"))
+    if checked:
+        first, second = _checked(first, "option part"), _checked(second, "input part")
+    text = F.concat(F.lit("['"), first, F.lit("', '"), second, F.lit("']"))
     return F.sha2(text, 256)
 
 
+def unsafe_text(*cols: Column) -> Column:
+    """True when any string (or any element of a string array) would make the
+    id text differ from plain quoting."""
+    tests = []
+    for c in cols:
+        tests.append(F.coalesce(c.rlike(_UNSAFE), F.lit(False)))
+    return F.greatest(*tests) if len(tests) > 1 else tests[0]
+
+
+def unsafe_in_array(arr: Column) -> Column:
+    return F.coalesce(F.exists(arr, lambda x: x.rlike(_UNSAFE)), F.lit(False))
+
+
 def trial_id(basefile: Column, basehash: Column, id_opt: Column) -> Column:
     return F.sha2(F.concat(basefile, basehash, id_opt), 256)
 

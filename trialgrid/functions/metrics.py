@@ -44,11 +44,23 @@ def text(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit(""))
 
 
+# Relative distance under which a value counts as sitting on a rounding tie.
+TIE_TOLERANCE = 1e-12
+
+
 def sql_round(x: Column, digits: int) -> Column:
-    """ROUND(x, digits) as the reference's SQL engine computes it on doubles:
-    the binary value scaled by 10^digits, rounded half away from zero, scaled
-    back. Spark's round() instead rounds the shortest decimal text, which
-    differs when that text ends in 5 past the last kept digit
-    (58060.9984375 -> .998438 vs .998437)."""
-    scale = float(10 ** digits)
-    return F.round(x * F.lit(scale)) / F.lit(scale)
+    """ROUND(x, digits) on doubles with decimal tie handling: the value is
+    scaled by 10^digits, nudged away from zero by TIE_TOLERANCE of itself and
+    rounded half away from zero, then scaled back.
+
+    Means of decimal data often sit exactly on a tie (x.xxx5); the double
+    computed for them lands an ulp above or below depending on the summation
+    order, so a plain ROUND flips with the partitioning (and Spark's round()
+    of the shortest decimal text differs again from a SQL engine's rounding of
+    the binary value). With the nudge every order rounds such ties the same
+    way, away from zero as decimal arithmetic does; values farther than
+    TIE_TOLERANCE from a tie round as usual."""
+    scale = F.lit(float(10 ** digits))
+    scaled = x * scale
+    nudged = scaled + F.signum(scaled) * F.abs(scaled) * F.lit(TIE_TOLERANCE)
+    return F.round(nudged) / scale

@@ -276,7 +276,7 @@ def q_base_probe_join(spark, d):
 
 
 def _frame_info(spark, d):
-    return frames.frame_counts(_frames(spark, d)).join(frames.first_gop(_segments(spark, d)), "file")
+    return frames.frame_info(_frames(spark, d), ["ts", "event_id"], F.col("chunk"))
 
 
 def q_enrich_trials(spark, d):

@@ -21,8 +21,15 @@ def D(x) -> str:
     return f"CAST({x} AS DOUBLE)"
 
 
+def NR(expr: str, digits: int) -> str:
+    """ROUND with decimal tie handling, same double operations as
+    functions.metrics.sql_round."""
+    sc = f"(({expr}) * {D(float(10 ** digits))})"
+    return f"(ROUND({sc} + sign({sc}) * abs({sc}) * {D(1e-12)}, 0) / {D(float(10 ** digits))})"
+
+
 def R(expr: str, alias: str, digits: int = 6) -> str:
-    return f'ROUND({expr}, {digits}) AS "{alias}"'
+    return f'{NR(expr, digits)} AS "{alias}"'
 
 
 KEYTEXT = "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
@@ -101,14 +108,14 @@ SUM_AVGS = ["outfile_size_kbyte", "outfile_bit_rate_kbs", "enc_sec", "comp_ratio
 
 
 def _r3(x):
-    return f"ROUND(AVG({x}), 3)"
+    return NR(f"AVG({x})", 3)
 
 
 SUMMARY_BY_CODEC = f"""WITH {TRIALS}, {TR}
 SELECT codec, {', '.join(f'{_r3(c)} AS {c}' for c in SUM_AVGS)},
-  ROUND(AVG(({D(200)} - (vmaf_min + vmaf_mean)) + ({D(2)} - (ssim_mean + comp_ratio_persent))), 3) AS pt,
+  {NR(f"AVG(({D(200)} - (vmaf_min + vmaf_mean)) + ({D(2)} - (ssim_mean + comp_ratio_persent)))", 3)} AS pt,
   {_r3('gop')} AS gop,
-  CASE WHEN AVG(has_b_frames) > {D(1)} THEN ROUND(AVG(has_b_frames) + {D(1)}, 3) ELSE {D(0)} END AS bf,
+  CASE WHEN AVG(has_b_frames) > {D(1)} THEN {NR(f"AVG(has_b_frames) + {D(1)}", 3)} ELSE {D(0)} END AS bf,
   {_r3('refs')} AS refs,
   CONCAT(CAST({_r3('fI')} AS VARCHAR), ' / ', CAST({_r3('fP')} AS VARCHAR), ' / ',
          CAST({_r3('fB')} AS VARCHAR)) AS "I/P/B frames",
@@ -123,9 +130,9 @@ ORDER BY outfile_options DESC, ref_type LIMIT 8"""
 
 RAW_GATE = GATE
 AVG_OF_AVG = f"""WITH {TRIALS}, {TR},
-two AS (SELECT codec, outfile_options, ROUND(AVG(outfile_size_kbyte), 3) AS two_level_size_kbyte,
+two AS (SELECT codec, outfile_options, {_r3('outfile_size_kbyte')} AS two_level_size_kbyte,
                COUNT(*) AS ref_types_passed FROM tr WHERE {GATE} GROUP BY codec, outfile_options),
-one AS (SELECT codec, outfile_options, ROUND(AVG(outfile_size_kbyte), 3) AS one_level_size_kbyte,
+one AS (SELECT codec, outfile_options, {_r3('outfile_size_kbyte')} AS one_level_size_kbyte,
                COUNT(*) AS trials_passed FROM trials WHERE {RAW_GATE} GROUP BY codec, outfile_options)
 SELECT COALESCE(two.codec, one.codec) AS codec, COALESCE(two.outfile_options, one.outfile_options) AS outfile_options,
        two_level_size_kbyte, ref_types_passed, one_level_size_kbyte, trials_passed
