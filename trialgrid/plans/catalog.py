@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from trialgrid.functions import command, ids, metrics, paths, timefmt
 from trialgrid.operators import chart, frames, grid, probe, progress, reports, select, summary
 from trialgrid.session import scratch_path
-from trialgrid.sources import tables
+from trialgrid.sources import files, tables
+from trialgrid.sources.trials import nest_trials
 from trialgrid.streaming import live
 
 ROUND_DIGITS = 6
@@ -128,6 +129,32 @@ def q_axis_max(spark, d):
     return rounded(chart.chart_axes(_groups(spark, d)))
 
 
+def q_chart_stack(spark, d):
+    """Long form of the stacked frame series (B, P, I from the bottom)."""
+    return chart.frame_stack(_groups(spark, d))
+
+
+# --- sources and sinks (round trips through the shared checkpoint folder) -----------
+
+ROUNDTRIP_COLUMNS = ["id", "codec", "type", "preset", "threads", "ref_name", "ref_type", "outfile_options",
+                     "outfile_hash", "fT", "enc_time", "comp_ratio_persent", "vmaf_mean", "ssim_mean"]
+
+
+def q_report_roundtrip(spark, d):
+    """S5 + S2: write the three report CSVs, read the per-ref-type one back
+    with its declared schema."""
+    out = files.write_reports(_trials(spark, d), scratch_path(spark, "reports") + "/data.json")
+    return rounded(files.read_report(spark, out["type"], "type"))
+
+
+def q_trial_records(spark, d):
+    """S8 + S1: commit trials as nested records (append-only Parquet), read
+    them back and flatten."""
+    path = scratch_path(spark, "trials")
+    files.commit_results(nest_trials(_trials(spark, d)), path)
+    return rounded(files.read_trials(spark, path, fmt="parquet").select(*ROUNDTRIP_COLUMNS))
+
+
 # --- grid ------------------------------------------------------------------------
 
 def _grid(spark, d, previous=False):
@@ -144,6 +171,11 @@ def q_param_grid(spark, d):
     return _grid_cols(_grid(spark, d))
 
 
+def q_grid_size(spark, d):
+    """Number of grid cells per sweep."""
+    return _grid(spark, d).groupBy("config").agg(F.count(F.lit(1)).alias("cells"))
+
+
 def q_new_trials(spark, d):
     return _grid_cols(grid.new_trials(_grid(spark, d), _grid(spark, d, previous=True)))
 

@@ -408,6 +408,15 @@ ORACLE: dict[str, str] = {
     "axis_max": (f"WITH {TRIALS}, {ROWS}, {GROUPS} SELECT "
                  f"{R(f'CASE WHEN MAX(outfile_bit_rate_kbs) IS NULL THEN {D(1.1)} ELSE MAX(outfile_bit_rate_kbs) * {D(1.1)} END', 'axis_max')}, "
                  f"GREATEST(CAST(10 AS BIGINT), COUNT(*) - 1) AS initial_window, COUNT(*) AS n_groups FROM grp"),
+    "chart_stack": (f"WITH {TRIALS}, {ROWS}, {GROUPS} "
+                    "SELECT \"group\", 0 AS layer, 'B-Frame' AS frame_type, stream_frames_b AS frames FROM grp UNION ALL "
+                    "SELECT \"group\", 1, 'P-Frame', stream_frames_p FROM grp UNION ALL "
+                    "SELECT \"group\", 2, 'I-Frame', stream_frames_i FROM grp"),
+    "report_roundtrip": _report(TYPE_KEYS),
+    "trial_records": (f"WITH {TRIALS} SELECT id, codec, type, preset, threads, ref_name, ref_type, outfile_options, "
+                      f"outfile_hash, fT, enc_time, {R('comp_ratio_persent', 'comp_ratio_persent')}, "
+                      f"{R('vmaf_mean', 'vmaf_mean')}, {R('ssim_mean', 'ssim_mean')} FROM trials"),
+    "grid_size": f"WITH {GRID_BASE}, {_grid('g', False)} SELECT config, COUNT(*) AS cells FROM g GROUP BY config",
     "param_grid": PARAM_GRID,
     "new_trials": NEW_TRIALS,
     "append_trials": APPEND_TRIALS,
