@@ -87,3 +87,14 @@ def test_replace_first_matches_python(spark, text):
     df = spark.createDataFrame([(text,)], "p string")
     got = df.select(paths.replace_first(F.col("p"), F.lit(".json"), F.lit("_all.csv")).alias("x")).first().x
     assert got == text.replace(".json", "_all.csv", 1)
+
+
+def test_sql_round_ties_independent_of_summation_order(spark):
+    from trialgrid.functions.metrics import sql_round
+    # The same mean computed in two orders lands on both sides of the tie.
+    a = (0.6 + 0.7 + 0.7 + 0.67) / 4
+    b = (0.67 + 0.7 + 0.6 + 0.7) / 4
+    df = spark.createDataFrame([(a,), (b,), (2.675,), (-2.675,), (1.0005,), (0.12344,), (58060.9984375,)], "x double")
+    got = [r.y for r in df.select(sql_round(F.col("x"), 3).alias("y")).collect()]
+    assert got[:6] == [0.668, 0.668, 2.675, -2.675, 1.001, 0.123]
+    assert df.select(sql_round(F.col("x"), 6).alias("y")).collect()[6].y == 58060.998438

@@ -155,6 +155,17 @@ def q_trial_records(spark, d):
     return rounded(files.read_trials(spark, path, fmt="parquet").select(*ROUNDTRIP_COLUMNS))
 
 
+def q_file_hashes(spark, d):
+    """One clip file per supplier (its name as a text line), hashed whole
+    with the binaryFile source; the key comes back from the folder name."""
+    path = scratch_path(spark, "clips")
+    (tables.table(spark, d, "supplier").select("s_suppkey", "s_name")
+     .write.partitionBy("s_suppkey").mode("overwrite").text(path))
+    h = files.hash_files(spark, path + "/*/*.txt")
+    key = F.regexp_extract(F.col("path"), r"s_suppkey=(\d+)/", 1).cast("bigint")
+    return h.select(key.alias("s_suppkey"), "sha256")
+
+
 # --- grid ------------------------------------------------------------------------
 
 def _grid(spark, d, previous=False):
