@@ -156,14 +156,17 @@ def q_trial_records(spark, d):
 
 
 def q_file_hashes(spark, d):
-    """One clip file per supplier (its name as a text line), hashed whole
-    with the binaryFile source; the key comes back from the folder name."""
+    """One clip file per nation holding its suppliers' names (one line
+    each, in key order), hashed whole with the binaryFile source; the file
+    count is fixed and each file grows with the data. Every nation is written
+    by one task in key order, so the bytes (and hashes) are deterministic."""
     path = scratch_path(spark, "clips")
-    (tables.table(spark, d, "supplier").select("s_suppkey", "s_name")
-     .write.partitionBy("s_suppkey").mode("overwrite").text(path))
+    (tables.table(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_name")
+     .repartition(25, "s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey")
+     .drop("s_suppkey").write.partitionBy("s_nationkey").mode("overwrite").text(path))
     h = files.hash_files(spark, path + "/*/*.txt")
-    key = F.regexp_extract(F.col("path"), r"s_suppkey=(\d+)/", 1).cast("bigint")
-    return h.select(key.alias("s_suppkey"), "sha256")
+    key = F.regexp_extract(F.col("path"), r"s_nationkey=(\d+)/", 1).cast("int")
+    return h.select(key.alias("s_nationkey"), "sha256")
 
 
 # --- grid ------------------------------------------------------------------------

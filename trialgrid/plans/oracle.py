@@ -416,7 +416,8 @@ ORACLE: dict[str, str] = {
     "trial_records": (f"WITH {TRIALS} SELECT id, codec, type, preset, threads, ref_name, ref_type, outfile_options, "
                       f"outfile_hash, fT, enc_time, {R('comp_ratio_persent', 'comp_ratio_persent')}, "
                       f"{R('vmaf_mean', 'vmaf_mean')}, {R('ssim_mean', 'ssim_mean')} FROM trials"),
-    "file_hashes": "SELECT s_suppkey, sha256(s_name || chr(10)) AS sha256 FROM supplier",
+    "file_hashes": ("SELECT s_nationkey, sha256(string_agg(s_name || chr(10), '' ORDER BY s_suppkey)) AS sha256 "
+                    "FROM supplier GROUP BY s_nationkey"),
     "grid_size": f"WITH {GRID_BASE}, {_grid('g', False)} SELECT config, COUNT(*) AS cells FROM g GROUP BY config",
     "param_grid": PARAM_GRID,
     "new_trials": NEW_TRIALS,
