@@ -12,7 +12,8 @@ FAST = ["type_report", "option_report", "summary_by_codec", "summary_by_ref", "q
         "chart_groups", "axis_max", "gop_segments", "first_gop", "frame_counts", "pool_scores",
         "param_grid", "new_trials", "trial_ids", "latest_by_id", "verify_references", "missing_references",
         "threshold_candidates", "best_candidate", "baseline_delta", "path_rewrite", "command_line",
-        "option_tokens", "hms", "format_seconds", "progress_eta", "enrich_trials", "flat_report"]
+        "option_tokens", "hms", "format_seconds", "progress_eta", "enrich_trials", "flat_report",
+        "probe_logs", "file_hashes", "grid_size", "chart_stack", "trial_records", "report_roundtrip"]
 
 
 def _norm(rows, cols):

@@ -169,6 +169,18 @@ def q_file_hashes(spark, d):
     return h.select(key.alias("s_nationkey"), "sha256")
 
 
+def q_probe_logs(spark, d):
+    """S3 + S11: output probe logs without their frames, landed as JSON
+    Lines and read back with the declared schema; numbers stay text."""
+    path = scratch_path(spark, "probes")
+    files.write_probe_log_lines(probe.strip_frames(tables.out_probes_from_tables(spark, d)), path)
+    back = files.read_probe_log_lines(spark, path)
+    return back.select("path", F.col("format.duration").alias("duration"), F.col("format.size").alias("size"),
+                       F.col("format.bit_rate").alias("bit_rate"),
+                       F.col("streams")[0]["has_b_frames"].alias("has_b_frames"),
+                       F.col("streams")[0]["refs"].alias("refs"), F.size("streams").cast("bigint").alias("n_streams"))
+
+
 # --- grid ------------------------------------------------------------------------
 
 def _grid(spark, d, previous=False):

@@ -418,6 +418,12 @@ ORACLE: dict[str, str] = {
                       f"{R('vmaf_mean', 'vmaf_mean')}, {R('ssim_mean', 'ssim_mean')} FROM trials"),
     "file_hashes": ("SELECT s_nationkey, sha256(string_agg(s_name || chr(10), '' ORDER BY s_suppkey)) AS sha256 "
                     "FROM supplier GROUP BY s_nationkey"),
+    "probe_logs": (f"SELECT {_STEM} || '_ffprobe.json' AS path, "
+                   f"CAST({D(120)} - l_discount AS VARCHAR) AS duration, "
+                   f"CAST(CAST(round(l_extendedprice * {D(1024)}) AS BIGINT) AS VARCHAR) AS size, "
+                   f"CAST(CAST(round(l_extendedprice * {D(8192)} / {D(120)}) AS BIGINT) AS VARCHAR) AS bit_rate, "
+                   f"CAST(l_linenumber % 3 AS BIGINT) AS has_b_frames, CAST(1 + l_suppkey % 4 AS BIGINT) AS refs, "
+                   f"CAST(1 AS BIGINT) AS n_streams FROM lineitem"),
     "grid_size": f"WITH {GRID_BASE}, {_grid('g', False)} SELECT config, COUNT(*) AS cells FROM g GROUP BY config",
     "param_grid": PARAM_GRID,
     "new_trials": NEW_TRIALS,
