@@ -309,7 +309,8 @@ def _frames(spark, d):
 
 
 def _segments(spark, d):
-    return frames.gop_segments(_frames(spark, d), ["ts", "event_id"], F.col("chunk"))
+    fr = _frames(spark, d)
+    return frames.gop_segments(fr, ["ts", "event_id"], frames.time_chunk(fr, "ts"))
 
 
 def q_frame_counts(spark, d):
@@ -334,7 +335,8 @@ def q_base_probe_join(spark, d):
 
 
 def _frame_info(spark, d):
-    return frames.frame_info(_frames(spark, d), ["ts", "event_id"], F.col("chunk"))
+    fr = _frames(spark, d)
+    return frames.frame_info(fr, ["ts", "event_id"], frames.time_chunk(fr, "ts"))
 
 
 def q_enrich_trials(spark, d):

@@ -240,17 +240,14 @@ OTHER_PICT = "?"
 
 
 def frames_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frame sequences: one file per user, frames ordered by (ts, event_id);
-    `chunk` is the minute of `ts` (monotone in the order). Fine chunks keep
-    every (file, chunk) window small even for a user with a third of all
-    events; the per-file prefix sum then runs over one row per busy minute."""
+    """Frame sequences: one file per user, frames ordered by (ts, event_id).
+    Segment jobs chunk them with `operators.frames.time_chunk` on `ts`."""
     e = table(spark, sf_dir, "events")
     pict = F.lit(OTHER_PICT)
     for ev, pt in reversed(list(PICT_OF_EVENT.items())):
         pict = F.when(F.col("event_type") == F.lit(ev), F.lit(pt)).otherwise(pict)
     return e.select(F.concat(F.lit("u/"), F.col("user_id").cast("string")).alias("file"),
-                    F.col("ts"), F.col("event_id"), pict.alias("pict_type"),
-                    F.date_trunc("minute", F.col("ts")).alias("chunk"))
+                    F.col("ts"), F.col("event_id"), pict.alias("pict_type"))
 
 
 def frame_scores_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
