@@ -49,10 +49,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def index_col_first(df: DataFrame, name: str = "index") -> DataFrame:
-    return df.select(name, *[c for c in df.columns if c != name])
-
-
 def order_key(*cols: str) -> list[Column]:
     """Ascending with NULLs last (the SQL engines' default for ASC differs)."""
     return [F.col(c).asc_nulls_last() for c in cols]
