@@ -98,3 +98,13 @@ def test_frame_stack_order(spark):
     g = spark.createDataFrame([("g", 1, 2, 3)], "group string, stream_frames_i long, stream_frames_p long, stream_frames_b long")
     out = chart.frame_stack(g).orderBy("layer").collect()
     assert [(r.frame_type, r.frames) for r in out] == [("B-Frame", 3), ("P-Frame", 2), ("I-Frame", 1)]
+
+
+def test_bucketed_index_matches_sorted_index(spark):
+    import hashlib
+    ids = [hashlib.sha256(str(i % 700).encode()).hexdigest() for i in range(1000)]   # with duplicates
+    df = spark.createDataFrame([(h, i) for i, h in enumerate(ids)], "id string, v long").repartition(5)
+    from trialgrid.operators.index import hex_bucket
+    a = {(r.id, r.v): r["index"] for r in with_index(df, ["id", "v"]).collect()}
+    b = {(r.id, r.v): r["index"] for r in with_index(df, ["id", "v"], bucket=hex_bucket("id", 2)).collect()}
+    assert a == b and sorted(a.values()) == list(range(1000))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialgrid.operators.index import with_index
+from trialgrid.operators.index import hex_bucket, with_index
 
 # The chart's projection (output name -> flat trial column);
 # size and rate are divided by 1000 again.
@@ -60,8 +60,9 @@ def chart_rows(trials: DataFrame, order: list[str] | str = "id", index: bool = T
         return trials.select(*cols)
     order = [order] if isinstance(order, str) else list(order)
     keys = [f"_tg_o{i}" for i in range(len(order))]
+    bucket = hex_bucket(keys[0]) if order[0] == "id" else None
     return with_index(trials.select(*[F.col(c).alias(k) for c, k in zip(order, keys)], *cols),
-                      keys).drop(*keys)
+                      keys, bucket=bucket).drop(*keys)
 
 
 def codec_filter(rows: DataFrame, codecs: list[str] | None) -> DataFrame:

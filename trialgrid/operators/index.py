@@ -24,7 +24,18 @@ from pyspark.sql import functions as F
 from trialgrid.session import scratch_path
 
 
-def with_index(df: DataFrame, order: list, name: str = "index") -> DataFrame:
+def with_index(df: DataFrame, order: list, name: str = "index", bucket: Column | None = None) -> DataFrame:
+    """Dense 0-based `name` under `order`.
+
+    With `bucket` -- a column that is a deterministic, non-decreasing function
+    of the order and spreads rows evenly (a hex prefix of a SHA-256 id) -- no
+    sort-sampling or materialisation is needed: per-bucket counts (a partial
+    aggregate) are prefix-summed over one row per bucket, and rows are
+    numbered inside their bucket. Every step is a pure function of the rows,
+    so a recomputation after a lost executor gives the same labels.
+    """
+    if bucket is not None:
+        return _with_index_bucketed(df, order, name, bucket)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     sorted_df = df.orderBy(*order_cols)
     tagged = materialize(sorted_df
@@ -41,6 +52,24 @@ def with_index(df: DataFrame, order: list, name: str = "index") -> DataFrame:
     return out.select(name, *[c for c in out.columns if c != name])
 
 
+def _with_index_bucketed(df: DataFrame, order: list, name: str, bucket: Column) -> DataFrame:
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    b = df.withColumn("_tg_b", bucket)
+    counts = b.groupBy("_tg_b").agg(F.count(F.lit(1)).alias("_tg_n"))
+    before = Window.orderBy("_tg_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_tg_b", F.coalesce(F.sum("_tg_n").over(before), F.lit(0)).alias("_tg_off"))
+    ranked = b.withColumn("_tg_rn", F.row_number().over(Window.partitionBy("_tg_b").orderBy(*order_cols)))
+    out = (ranked.join(offsets, "_tg_b")
+           .withColumn(name, (F.col("_tg_off") + F.col("_tg_rn") - 1).cast("bigint"))
+           .drop("_tg_b", "_tg_rn", "_tg_off"))
+    return out.select(name, *[c for c in out.columns if c != name])
+
+
+def hex_bucket(col: str, digits: int = 4) -> Column:
+    """Order-preserving, uniform bucket of a lowercase hex hash column."""
+    return F.substring(F.col(col), 1, digits)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to a fresh folder under the shared checkpoint folder and
     read it back: a lineage cut that survives lost executors."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialgrid.functions.timefmt import format_seconds
-from trialgrid.operators.index import with_index
+from trialgrid.operators.index import hex_bucket, with_index
 
 
 def completeness(trials: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def progress_eta(trials: DataFrame, order: str = "id") -> DataFrame:
     n = trials.count()
     # The lap breaks ties between trials sharing an order key.
     laps = with_index(lap_seconds(trials.withColumnRenamed(order, "id") if order != "id" else trials),
-                      [F.col("id"), F.col("lap")], name="idx")
+                      [F.col("id"), F.col("lap")], name="idx",
+                      bucket=hex_bucket("id") if order == "id" else None)
     prev = laps.select((F.col("idx") + F.lit(1)).alias("idx"), F.col("lap").alias("prev_lap"))
     j = laps.select("idx", "id").join(prev, "idx", "left")
     lap = F.coalesce(F.col("prev_lap"), F.lit(0.0))

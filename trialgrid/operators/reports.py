@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialgrid.operators.index import order_key, with_index
+from trialgrid.operators.index import hex_bucket, order_key, with_index
 
 # Flat report columns (reference order); names are columns of the flat trial
 # table. `ssim_mean` / `vmaf_mean` hold the harmonic means.
@@ -42,12 +42,14 @@ def report_rows(trials: DataFrame) -> DataFrame:
 
 def flat_report(trials: DataFrame, order: list[str] | str = "id") -> DataFrame:
     """Flat report with a dense `index` in trial order (`order` columns of the
-    trial table; give a total order for reproducible labels)."""
+    trial table; give a total order for reproducible labels). An order led by
+    the hashed trial id uses the bucketed index (no sort-sampling, no
+    materialisation)."""
     order = [order] if isinstance(order, str) else list(order)
-    keys = [F.col(c).alias(f"_tg_o{i}") for i, c in enumerate(order)]
-    flat = trials.select(*keys, *FLAT_COLUMNS)
-    return with_index(flat, [f"_tg_o{i}" for i in range(len(order))]).drop(
-        *[f"_tg_o{i}" for i in range(len(order))])
+    keys = [f"_tg_o{i}" for i in range(len(order))]
+    flat = trials.select(*[F.col(c).alias(k) for c, k in zip(order, keys)], *FLAT_COLUMNS)
+    bucket = hex_bucket(keys[0]) if order[0] == "id" else None
+    return with_index(flat, keys, bucket=bucket).drop(*keys)
 
 
 def _grouped(trials: DataFrame, keys: list[str]) -> DataFrame:
