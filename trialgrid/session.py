@@ -34,7 +34,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", "8g"))
+               .config("spark.driver.memory", os.environ.get("TRIALGRID_DRIVER_MEMORY", "8g")))
     for key, value in {**SCALE_CONF, **REQUIRED_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
