@@ -296,8 +296,9 @@ FRAMES = """frames AS (SELECT 'u/' || CAST(user_id AS VARCHAR) AS file, ts, even
 SEGS = """segs AS (SELECT file, seg, COUNT(*) AS length FROM (
   SELECT file, CAST(SUM(CASE WHEN pict_type = 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY ts, event_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS seg FROM frames) GROUP BY file, seg)"""
-COUNTS = """counts AS (SELECT file, count_if(pict_type = 'I') AS "I", count_if(pict_type = 'P') AS "P",
-  count_if(pict_type = 'B') AS "B", COUNT(*) AS frames FROM frames GROUP BY file)"""
+COUNTS = """counts AS (SELECT file, CAST(count_if(pict_type = 'I') AS BIGINT) AS "I",
+  CAST(count_if(pict_type = 'P') AS BIGINT) AS "P", CAST(count_if(pict_type = 'B') AS BIGINT) AS "B",
+  COUNT(*) AS frames FROM frames GROUP BY file)"""
 FRAME_COUNTS = f'WITH {FRAMES}, {COUNTS} SELECT file, "I", "P", "B", frames, "I" + "P" + "B" AS total FROM counts'
 GOP_SEGMENTS = f"WITH {FRAMES}, {SEGS} SELECT file, seg, length FROM segs"
 FIRST_GOP = f"WITH {FRAMES}, {SEGS} SELECT file, arg_min(length, seg) AS gop FROM segs GROUP BY file"
@@ -434,7 +435,7 @@ ORACLE: dict[str, str] = {
     "trial_ids": TRIAL_IDS,
     "pending_trials": (f"WITH {TRIALS} SELECT id, codec, type, outfile_options, ref_name FROM trials "
                        f"WHERE outfile_hash = ''"),
-    "completeness": (f"WITH {TRIALS} SELECT count_if(outfile_hash <> '') AS completed, COUNT(*) AS total, "
+    "completeness": (f"WITH {TRIALS} SELECT CAST(count_if(outfile_hash <> '') AS BIGINT) AS completed, COUNT(*) AS total, "
                      f"count_if(outfile_hash <> '') = COUNT(*) AS archive_ok FROM trials"),
     "progress_eta": PROGRESS_ETA,
     "format_seconds": FORMAT_SECONDS,
