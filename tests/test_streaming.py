@@ -37,3 +37,22 @@ def test_stream_equals_batch(spark, tmpdir_path):
     def norm(df):
         return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*cols).collect())
     assert norm(got) == norm(batch)
+
+
+def test_periodic_refresh_replaces_feed(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "in")
+    schema = "id string, codec string"
+    spark.createDataFrame([("t1", "a")], schema).coalesce(1).write.mode("append").parquet(src)
+    stream = live.stream_files(spark, src, spark.createDataFrame([], schema).schema)
+    counts = live.dedupe_results(stream).groupBy("codec").agg(F.count(F.lit(1)).alias("n"))
+    out = os.path.join(tmpdir_path, "feed")
+    q = live.run_to_table(spark, counts, out, os.path.join(tmpdir_path, "ck"), available_now=False)
+    try:
+        q.processAllAvailable()
+        assert {r.codec: r.n for r in spark.read.parquet(out).collect()} == {"a": 1}
+        # a new result file arrives (plus a re-delivery of t1): the next refresh replaces the feed
+        spark.createDataFrame([("t2", "b"), ("t1", "a")], schema).coalesce(1).write.mode("append").parquet(src)
+        q.processAllAvailable()
+        assert {r.codec: r.n for r in spark.read.parquet(out).collect()} == {"a": 1, "b": 1}
+    finally:
+        q.stop()
