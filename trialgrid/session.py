@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library's results depend on (not tuning): UTC for the
 # HH:MM:SS texts, case-insensitive names (the reference reads `frames.p`
@@ -51,11 +53,17 @@ def apply_required_conf(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    The cluster's `spark.checkpoint.dir` wins; only when it is unset (local
-    tests) do we pick a scratch folder of our own.
+    The cluster's `spark.checkpoint.dir` wins. Only a local master (tests) may
+    leave it unset: driver and executors are then one machine and a scratch
+    folder of our own is visible to all of them. On any other master a folder
+    picked here would be machine-local, so an unset one is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is not set on master {master}: "
+                               "name a folder that every executor shares")
         current = tempfile.mkdtemp(prefix="trialgrid-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
@@ -64,16 +72,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never machine-local
-    on a cluster) for tables written to cut lineage."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{os.getpid()}-{next(_counter)}")
-
-
-def _count():
-    n = 0
-    while True:
-        n += 1
-        yield n
-
-
-_counter = _count()
+    on a cluster) for tables written to cut lineage. The name carries the
+    application id and a random id, so that no other driver, restarted or
+    concurrent, gets the same folder. Write to it with mode `errorifexists`;
+    the whole application folder can go once the application has ended."""
+    app = re.sub(r"[^A-Za-z0-9_.-]", "_", spark.sparkContext.applicationId)
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/trialgrid-{app}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once as Parquet in the shared folder and read back: cuts
+    the lineage and lets several readers share one computation."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
