@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialgrid.llm import chat
+from trialgrid.llm import chat, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +22,14 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(segments, ordered=True)
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights 5, 2, 1, repeating: how often each is taken, in words."""
+    return mixing.taken(mixing.mix(table(spark, sf_dir, "documents"), seed=20))
+
+
 LLM_QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op4_mix_sources": op4_mix_sources,
 }
 
 # Marks and the spaces beside them take 14, 13 and 9 characters of a turn; other and null roles: 24 and the escaped
@@ -54,6 +60,37 @@ SELECT conv_id, count(*) AS n_turns,
 FROM judged GROUP BY conv_id
 """
 
+OP4_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('20|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest
+  FROM documents
+), sources AS (
+  SELECT source, sum(size) AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, 3.0 * source_size AS cap,
+         CAST([5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight
+  FROM sources
+), levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM weighed
+  WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT source, source_size, CAST(least(cap, max(level) OVER () * weight) AS DOUBLE) AS target FROM levels
+), placed AS (
+  SELECT s.doc_id, s.size, CAST(t.source_size AS BIGINT) AS source_size, t.target,
+         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS passes,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.digest, s.doc_id
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(size * (passes + CASE WHEN position + size / 2.0 < target - passes * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM placed
+"""
+
 LLM_ORACLE: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
+    "op4_mix_sources": OP4_SQL,
 }
