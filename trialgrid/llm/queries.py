@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialgrid.llm import chat, mixing
+from trialgrid.llm import chat, mixing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +27,15 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(table(spark, sf_dir, "documents"), seed=20))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document."""
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op4_mix_sources": op4_mix_sources,
+    "op7_quality_rules": op7_quality_rules,
 }
 
 # Marks and the spaces beside them take 14, 13 and 9 characters of a turn; other and null roles: 24 and the escaped
