@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialgrid.llm import chat, mixing, quality
+from trialgrid.llm import chat, mixing, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(table(spark, sf_dir, "documents"), seed=20))
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as ids in files of directly addressable codes, read back."""
+    return tokens.token_output(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return quality.quality_rules(table(spark, sf_dir, "documents"))
@@ -35,6 +40,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op4_mix_sources": op4_mix_sources,
+    "op5_token_output": op5_token_output,
     "op7_quality_rules": op7_quality_rules,
 }
 
