@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialgrid.llm import chat, decontaminate, langid, mixing, quality, tokens
+from trialgrid.llm import chat, decontaminate, jaccard, langid, mixing, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set and its component of near duplicates."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
@@ -54,6 +59,7 @@ LLM_QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_token_output": op5_token_output,
     "op7_quality_rules": op7_quality_rules,
+    "op8_jaccard_join": op8_jaccard_join,
 }
 
 # Marks and the spaces beside them take 14, 13 and 9 characters of a turn; other and null roles: 24 and the escaped
