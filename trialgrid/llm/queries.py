@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialgrid.llm import chat, decontaminate, jaccard, langid, mixing, quality, tokens
+from trialgrid.llm import chat, decontaminate, html, jaccard, langid, mixing, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by a field trained on a sample of them."""
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.train(pages))
+
+
 LLM_QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
@@ -60,6 +66,7 @@ LLM_QUERIES = {
     "op5_token_output": op5_token_output,
     "op7_quality_rules": op7_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_html_extract": op9_html_extract,
 }
 
 # Marks and the spaces beside them take 14, 13 and 9 characters of a turn; other and null roles: 24 and the escaped
