@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialgrid.llm import chat, decontaminate, html, jaccard, langid, mixing, quality, tokens
+from trialgrid.llm import chat, decontaminate, html, jaccard, langid, linededup, mixing, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages, html.train(pages))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the lines that an equal or nearly equal line comes before."""
+    return linededup.line_duplicates(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
@@ -67,6 +72,7 @@ LLM_QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_html_extract": op9_html_extract,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 # Marks and the spaces beside them take 14, 13 and 9 characters of a turn; other and null roles: 24 and the escaped
