@@ -44,7 +44,7 @@ def test_words_give_the_ids_of_the_text(text):
     encoder = test_words_give_the_ids_of_the_text.encoder
     tokenizer = test_words_give_the_ids_of_the_text.tokenizer
     text = text.encode("utf-8", "ignore").decode()
-    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [2]
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [2]
 
 
 @pytest.fixture(autouse=True)
@@ -53,6 +53,15 @@ def _shared(encoder, tokenizer):
     test_words_give_the_ids_of_the_text.tokenizer = tokenizer
 
 
+def test_full_tables_step_back(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 20)
+    encoder = tokens.WordEncoder(tokens.default_vocabulary())
+    for k in range(40):
+        texts = [f"common words Again, no{i}x é{k}" for i in range(k, k + 12)]
+        want = [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == want
+
+
 def test_separable_vocabulary(encoder):
     assert encoder.separable
 

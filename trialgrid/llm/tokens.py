@@ -26,10 +26,12 @@ their texts; an empty table gives no image.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -46,7 +48,7 @@ WIDTHS = (8, 8, 16)
 FILE_TOKENS = 1 << 20
 PER_RANK = 8  # words of 64 bits
 END_ID = 2
-CACHED_WORDS = 400_000
+CACHED_WORDS, ENCODED_TEXTS = 500_000, 200
 
 
 def default_vocabulary() -> str:
@@ -156,22 +158,34 @@ class WordEncoder:
     """Ids of whole texts by the given tokenizer, word by word.
 
     The tokenizer drops white space, and neither its normaliser nor its
-    splitting looks across it, so the ids of a text are those of its words.
-    `separable` checks that on the vocabulary file's own settings; texts go
-    through the tokenizer whole where it doesn't hold. ASCII words are looked
-    up in lower case without the punctuation behind them, which the splitting
-    rule cuts off as well."""
-
-    SPLIT = re.compile(r"([a-z]+)([^a-z0-9']+)\Z")
+    splitting looks across it, so the ids of a text are those of its words;
+    and it cuts a letter from the punctuation behind it. `separable` checks
+    that on the vocabulary file's own settings; texts go through the tokenizer
+    whole where it doesn't hold. Texts without added tokens and below U+0300, where lower-casing
+    and composing don't interact, are lower-cased and cut before the lookup, which
+    leaves fewer words to learn. New words of plain letters are learned many
+    at a time: each is one run of letters, whose last id is a word end."""
+
+    #: A letter and the punctuation behind it, but for the apostrophe of short forms.
+    CUT = re.compile(r"([a-z\xe0-\xf6\xf8-\xff])(?=[!-&(-/:-@\[-`{-~])")
+    MARKS = re.compile("[\u0300-\U0010ffff]")
+    PLAIN = re.compile(r"[a-z\xe0-\xf6\xf8-\xff]+")
+    AT_ONCE = 1000
 
     def __init__(self, vocabulary: str, end_id: int = END_ID):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(vocabulary)
         with open(vocabulary, encoding="utf-8") as f:
-            self.separable = self._separable(json.load(f))
+            settings = json.load(f)
+        self.separable = self._separable(settings)
+        ends = [i for token, i in settings["model"].get("vocab", {}).items() if token.endswith("</w>")]
+        self.added = [t["content"].lower() for t in settings.get("added_tokens") or []]
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.is_end[ends] = True
         self.end = np.array([end_id], "<u4").tobytes()
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
 
     @staticmethod
     def _separable(settings: dict) -> bool:
@@ -182,42 +196,60 @@ class WordEncoder:
         added = settings.get("added_tokens") or []
         return (steps == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed"
                 and split.get("invert") is True and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-                and not any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in added)
-                and settings.get("post_processor") is None)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(found.ids, "<u4").tobytes()
-                for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[bytes]) -> None:
-        cut = {}
-        for word in words:
-            key = word.decode()
-            if word.isascii() and b"<|" not in word:
-                key = key.lower()
-                m = self.SPLIT.fullmatch(key)
-                cut[word] = (m[1], m[2]) if m else (key,)
+                and settings["model"].get("end_of_word_suffix") == "</w>" and settings.get("post_processor") is None
+                and not any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in added))
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(found.ids, "<u4") for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, wanted: set[bytes]) -> None:
+        """Fill the table for all these words. A full one steps back and serves
+        a second time, so that frequent words stay."""
+        if len(self.words) > CACHED_WORDS:
+            self.words, self.old_words = {}, self.words
+        plain, other = [], []
+        for word in wanted - self.words.keys():
+            known = self.old_words.get(word)
+            if known is not None:
+                self.words[word] = known
             else:
-                cut[word] = (key,)
-        if len(self.parts) > CACHED_WORDS:
-            self.parts = {}
-        fresh = list({p for parts in cut.values() for p in parts} - self.parts.keys())
-        self.parts.update(zip(fresh, self._ids(fresh), strict=True))
-        for word, parts in cut.items():
-            self.words[word] = b"".join(map(self.parts.__getitem__, parts))
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids, with the end id."""
+                text = word.decode()
+                (plain if self.PLAIN.fullmatch(text) else other).append((word, text))
+        for low in range(0, len(plain), self.AT_ONCE):
+            some = plain[low:low + self.AT_ONCE]
+            ids = self._ids([" ".join(text for _, text in some)])[0]
+            bounds = np.flatnonzero(self.is_end[ids]) + 1
+            if len(bounds) != len(some):
+                raise ValueError("the tokenizer doesn't end each word of letters once")
+            data, at = ids.tobytes(), 0
+            for (word, _), end in zip(some, (4 * bounds).tolist(), strict=True):
+                self.words[word] = data[at:end]
+                at = end
+        if other:
+            found = self._ids([text for _, text in other])
+            self.words.update((word, ids.tobytes()) for (word, _), ids in zip(other, found, strict=True))
+
+    def _cut(self, text: str) -> str:
+        low = text.lower()
+        if any(token in low for token in self.added) or self.MARKS.search(text):
+            return text
+        return self.CUT.sub(r"\1 ", low)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text, with the end id."""
         if not self.separable:
-            return self._ids([text])[0] + self.end
-        words = text.encode().split()  # at ASCII white space
-        try:
-            return b"".join(map(self.words.__getitem__, words)) + self.end
-        except KeyError:
-            if len(self.words) > CACHED_WORDS:
-                self.words = {}
-            self._learn([w for w in set(words) if w not in self.words])
-            return b"".join(map(self.words.__getitem__, words)) + self.end
+            return [ids.tobytes() + self.end for ids in self._ids(texts)]
+        split = [self._cut(text).encode().split() for text in texts]  # at ASCII white space
+        wanted = set().union(*split)
+        if not wanted <= self.words.keys():
+            self._learn(wanted)
+        return [b"".join(map(self.words.__getitem__, words)) + self.end for words in split]
+
+
+@lru_cache(1)
+def shared_encoder(vocabulary: str, end_id: int) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(vocabulary, end_id)
 
 
 # ---------------------------------------------------------------- Spark
@@ -234,7 +266,7 @@ def write_images(documents: DataFrame, path: str, id_col: str = "doc_id", text_c
     vocabulary = vocabulary or default_vocabulary()
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, run = WordEncoder(vocabulary, end_id), TaskContext.get().partitionId()
+        encoder, run = shared_encoder(vocabulary, end_id), TaskContext.get().partitionId()
         part = first = size = 0
         pieces, doc_ids, starts = [], [], [0]
 
@@ -245,15 +277,18 @@ def write_images(documents: DataFrame, path: str, id_col: str = "doc_id", text_c
                                               schema=IMAGES)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                pieces.append(encoder.encode(text or ""))
-                size += len(pieces[-1]) // 4
-                doc_ids.append(doc_id)
-                starts.append(size)
-                if size >= FILE_TOKENS:
-                    yield image()
-                    part, first, size = part + 1, first + size, 0
-                    pieces, doc_ids, starts = [], [], [0]
+            for low in range(0, batch.num_rows, ENCODED_TEXTS):
+                some = batch.slice(low, ENCODED_TEXTS)
+                encoded = encoder.encode([text or "" for text in some.column(1).to_pylist()])
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoded, strict=True):
+                    pieces.append(ids)
+                    size += len(ids) // 4
+                    doc_ids.append(doc_id)
+                    starts.append(size)
+                    if size >= FILE_TOKENS:
+                        yield image()
+                        part, first, size = part + 1, first + size, 0
+                        pieces, doc_ids, starts = [], [], [0]
         if size:
             yield image()
 
