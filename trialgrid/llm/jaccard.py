@@ -13,10 +13,11 @@ order puts sketches of the most shingles first, as those are the rarest.
 Tasks pack the sketches of many documents into one row per range of sketches,
 each range is sorted in one task with arrays, and every list of documents that
 share a sketch comes out once as a star around its smallest id. Stars are
-verified on the exact sets and joined to components. Only pairs of a list that
-are still in different components remain; of those, the Hamming distance of
-512-bit parity sketches, a lower bound of the symmetric difference, leaves few
-to verify. So all links between components are found without listing the pairs
+checked by a second parity sketch, of four to eight bits per shingle: its Hamming
+distance bounds the symmetric difference from below, and what it leaves is
+verified on the exact sets. The links are joined to components, and only pairs
+of a list that are still in different components remain; they go through the
+same two checks. So all links between components are found without listing the pairs
 of a group of copies.
 
 Defined cases: a null or empty text, or one without words, has an empty set and
@@ -43,7 +44,7 @@ from trialgrid.session import written
 SHINGLE = 5
 FLUSH_KEYS = 2_000_000
 DOCS_PER_RANGE = 512
-SKETCH_BITS = 512
+LEAST_BITS = 512
 CACHED_WORDS = 400_000
 KEY_BITS = 40
 
@@ -119,10 +120,31 @@ def sketches(shingles: np.ndarray, band: int, difference: int, parts: int) -> np
     return keys[np.lexsort((keys, -counts))[:difference + 1]]
 
 
+def sketch_bits(size: int) -> int:
+    """Bits of the sketch of a set: the power of two from four times its size on."""
+    return max(LEAST_BITS, 1 << max(0, 4 * size - 1).bit_length())
+
+
 def bit_sketch(shingles: np.ndarray) -> bytes:
-    """Parity of the shingles that fall on each of `SKETCH_BITS` bits."""
-    ones = np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(ones.astype(np.uint8)).tobytes()
+    """Parity of the shingles that fall on each bit."""
+    bits = sketch_bits(len(shingles))
+    ones = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(ones.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (last axis) on fewer bits: the parities of a bit's preimages, XOR-ed."""
+    return np.bitwise_xor.reduce(sketch.reshape(*sketch.shape[:-1], -1, words), axis=-2)
+
+
+def may_link(one: tuple[int, bytes], two: tuple[int, bytes]) -> bool:
+    """False if sizes, or the Hamming distance of the sketches as a lower bound
+    of the symmetric difference, rule out the similarity."""
+    if 4 * min(one[0], two[0]) < 3 * max(one[0], two[0]):
+        return False
+    a, b = np.frombuffer(one[1], np.uint64), np.frombuffer(two[1], np.uint64)
+    words = min(len(a), len(b))
+    return 7 * int(np.bitwise_count(fold(a, words) ^ fold(b, words)).sum()) <= one[0] + two[0]
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -136,13 +158,13 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 # ---------------------------------------------------------------- sketch join
 
 PACKED = pa.schema([("span", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("base", pa.int64()),
-                    ("width", pa.int32())])
-PACKED_DDL = "span bigint, keys binary, ids binary, base bigint, width int"
-#: What the spans below 0 hold: sizes of documents, links of equal sets met in one task, sizes of rows without an id.
+                    ("width", pa.int32()), ("bits", pa.list_(pa.binary()))])
+PACKED_DDL = "span bigint, keys binary, ids binary, base bigint, width int, bits array<binary>"
+#: What the spans below 0 hold: sizes and bit sketches of documents, and links of equal sets met in one task.
 SIZES, EQUAL = -1, -2
 FOUND = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("members", pa.int64()), ("center", pa.int64()),
-                   ("doc_id", pa.int64()), ("n", pa.int64())])
-FOUND_DDL = "kind int, bucket bigint, members bigint, center bigint, doc_id bigint, n bigint"
+                   ("doc_id", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+FOUND_DDL = "kind int, bucket bigint, members bigint, center bigint, doc_id bigint, n bigint, bits binary"
 KIND_SIZE, KIND_EQUAL, KIND_STAR = 0, 1, 2
 
 
@@ -174,7 +196,7 @@ def _emit_sketches(n_spans: int):
         make, bands = Shingles(), Bands()
         keys, owners, lengths, total, first_of, equal, sizes = [], [], [], 0, {}, [], []
 
-        def rows():
+        def packed():
             out = []
             if keys:
                 key, owner = np.concatenate(keys), np.repeat(np.array(owners, np.int64), lengths)
@@ -183,20 +205,21 @@ def _emit_sketches(n_spans: int):
                 key, owner, span = key[order], owner[order], span[order]
                 at = np.flatnonzero(np.diff(span, prepend=-1))
                 for low, high in zip(at, [*at[1:], len(span)], strict=True):
-                    out.append((int(span[low]), _key_bytes(key[low:high]), *_pack(owner[low:high])))
-            spread = len(sizes) and hash((sizes[0], len(sizes))) % 1024
+                    out.append((int(span[low]), _key_bytes(key[low:high]), *_pack(owner[low:high]), None))
+            spread = len(sizes) and (sizes[0][0] + len(sizes)) % 1024
             # ids and what belongs to them, one after the other
-            for kind, pairs in ((SIZES, sizes), (EQUAL, equal)):
-                if pairs:
-                    a, b = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-                    out.append((kind - 2 * spread, b.astype("<i8").tobytes(), *_pack(a)))
+            for kind, rows in ((SIZES, sizes), (EQUAL, equal)):
+                if rows:
+                    a, b = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+                    bits = [r[2] for r in rows] if kind == SIZES else None
+                    out.append((kind - 2 * spread, b.astype("<i8").tobytes(), *_pack(a), bits))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t.type) for i, t in enumerate(PACKED)],
                                               schema=PACKED)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = make.of(text)
-                sizes.append((doc_id, len(own)))
+                sizes.append((doc_id, len(own), bit_sketch(own)))
                 if len(own):
                     digest = xxhash.xxh3_128_digest(own.tobytes())
                     first = first_of.setdefault(digest, doc_id)
@@ -210,11 +233,11 @@ def _emit_sketches(n_spans: int):
                                 owners.append(doc_id)
                                 lengths.append(len(keys[-1]))
                                 total += lengths[-1]
-                if total >= FLUSH_KEYS or len(sizes) >= 50_000:
-                    yield rows()
+                if total >= FLUSH_KEYS or len(sizes) >= 10_000:
+                    yield packed()
                     keys, owners, lengths, total, first_of, equal, sizes = [], [], [], 0, {}, [], []
         if sizes:
-            yield rows()
+            yield packed()
 
     return emit
 
@@ -252,17 +275,18 @@ def _join_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if found:
             n = np.array([f[1] - 1 for f in found])
             columns = [np.full(n.sum(), KIND_STAR, np.int32), np.repeat([f[0] for f in found], n), np.repeat(n + 1, n),
-                       np.repeat([f[2][0] for f in found], n), np.concatenate([f[2][1:] for f in found]), np.zeros(n.sum(), np.int64)]
+                       np.repeat([f[2][0] for f in found], n), np.concatenate([f[2][1:] for f in found]), np.zeros(n.sum(), np.int64),
+                       [None] * int(n.sum())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, FOUND, strict=True)], schema=FOUND)
 
     for batch in batches:
-        for row_span, data, packed, base, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for row_span, data, packed, base, width, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             own = _unpack(packed, base, width)
             if row_span < 0:
                 other, equal = np.frombuffer(data, "<i8"), row_span % 2 == 0
                 zero = np.zeros(len(own), np.int64)
                 columns = [np.full(len(own), KIND_EQUAL if equal else KIND_SIZE, np.int32), zero, zero, other if equal else zero,
-                           own, zero if equal else other]
+                           own, zero if equal else other, bits or [None] * len(own)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, FOUND, strict=True)], schema=FOUND)
                 continue
             if row_span != span:
@@ -307,16 +331,20 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             .mapInArrow(check, LINKS_DDL).distinct())
 
 
-SKETCHED_DDL = "doc_id bigint, n bigint, bits binary"
-SKETCHED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
-
-
-def _bit_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    make = Shingles()
+def _near_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, doc_id) that the sketches don't rule out. A center's own rows come first."""
+    center, own = None, []
     for batch in batches:
-        sets = [make.of(text) for text in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                                          pa.array([bit_sketch(s) for s in sets], pa.binary())], schema=SKETCHED)
+        pairs = []
+        for a, place, doc_id, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if a != center:
+                center, own = a, []
+            if place == 0:
+                own.append((n, bits))
+            elif any(may_link(x, (n, bits)) for x in own):
+                pairs.append((a, doc_id))
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], schema=LINKS)
 
 
 def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,23 +352,27 @@ def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bucket, members, seen = None, [], set()
 
     def pairs():
-        ids, component, n = (np.array(x, np.int64) for x in list(zip(*members, strict=True))[:3])
-        bits = np.frombuffer(b"".join(m[3] for m in members), np.uint64).reshape(len(members), -1)
-        for i in range(len(ids) - 1):
-            rest = np.flatnonzero(component[i + 1:] != component[i]) + i + 1
-            both = n[rest] + n[i]
-            rest = rest[(4 * np.minimum(n[rest], n[i]) >= 3 * np.maximum(n[rest], n[i]))
-                        & (7 * np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64) <= both)]
-            for j in rest.tolist():
-                pair = (min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j])))
-                if pair[0] != pair[1] and pair not in seen:
-                    seen.add(pair)
-                    yield pair
+        by_words: dict[int, list] = {}
+        for m in members:
+            by_words.setdefault(len(m[3]) // 8, []).append(m)
+        tables = {w: (*(np.array([m[i] for m in ms], np.int64) for i in range(3)),
+                      np.frombuffer(b"".join(m[3] for m in ms), np.uint64).reshape(-1, w)) for w, ms in by_words.items()}
+        # similar sets have sketches of the same length, or of one and its double
+        for w, (ids, label, n, bits) in tables.items():
+            for ids2, label2, n2, bits2 in ([tables[w]] + ([(*tables[2 * w][:3], fold(tables[2 * w][3], w))] if 2 * w in tables else [])):
+                own = bits2 is bits
+                for i in range(len(ids)):
+                    rest = np.arange(i + 1 if own else 0, len(ids2))
+                    rest = rest[(label2[rest] != label[i]) & (4 * np.minimum(n2[rest], n[i]) >= 3 * np.maximum(n2[rest], n[i]))]
+                    apart = np.bitwise_count(bits2[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                    for j in rest[7 * apart <= n2[rest] + n[i]].tolist():
+                        yield min(int(ids[i]), int(ids2[j])), max(int(ids[i]), int(ids2[j]))
 
     def table():
-        found = list(pairs())
-        if len(seen) > 2_000_000:
+        found = {p for p in pairs() if p not in seen}
+        if len(seen) > 1_000_000:
             seen.clear()
+        seen.update(found)
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=LINKS)
 
     for batch in batches:
@@ -365,10 +397,14 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     stars = found.where(F.col("kind") == KIND_STAR)
     equal = found.where(F.col("kind") == KIND_EQUAL).select(F.col("center").alias("a"), F.col("doc_id").alias("b"))
-    in_lists = stars.select("doc_id").unionAll(stars.select("center")).distinct()
-    candidates = written(texts.join(in_lists, "doc_id", "left_semi"), "jaccard-texts")
-    first_pairs = written(stars.select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), "jaccard-pairs")
-    links = written(_verify(first_pairs, candidates).unionAll(equal), "jaccard-links")
+    sketched = found.where(F.col("kind") == KIND_SIZE).select("doc_id", "n", "bits")
+    star_pairs = written(stars.select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), "jaccard-pairs")
+    ends = star_pairs.select("a", F.col("b").alias("doc_id"), F.lit(1).alias("place")).unionAll(
+        star_pairs.select("a", F.col("a").alias("doc_id"), F.lit(0).alias("place")).distinct())
+    ends = ends.join(sketched, "doc_id").repartition("a").sortWithinPartitions("a", "place")
+    first_pairs = written(ends.select("a", "place", "doc_id", "n", "bits").mapInArrow(_near_stars, LINKS_DDL).distinct(),
+                          "jaccard-pairs")
+    links = written(_verify(first_pairs, texts).unionAll(equal), "jaccard-links")
     label = components(links)
 
     # lists of three or more whose documents are still in different components
@@ -383,11 +419,10 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     members = labelled.join(split, "bucket", "left_semi")
     members = members.select("bucket", "doc_id", F.col("label_d").alias("label")).unionAll(
         members.select("bucket", "center", "label_c").distinct())
-    sketched = written(candidates.mapInArrow(_bit_sketches, SKETCHED_DDL), "jaccard-sketches")
     members = (members.join(sketched, "doc_id").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
                .select("bucket", "doc_id", "label", "n", "bits"))
-    more_pairs = members.mapInArrow(_near_pairs, LINKS_DDL).distinct().join(first_pairs, ["a", "b"], "left_anti")
-    more = written(_verify(written(more_pairs, "jaccard-pairs"), candidates), "jaccard-links")
+    more_pairs = members.mapInArrow(_near_pairs, LINKS_DDL).distinct().join(star_pairs, ["a", "b"], "left_anti")
+    more = written(_verify(written(more_pairs, "jaccard-pairs"), texts), "jaccard-links")
 
     final = components(links.unionAll(more))
     sizes = found.where(F.col("kind") == KIND_SIZE).select("doc_id", F.col("n").alias("n_shingles"))
@@ -402,3 +437,20 @@ def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         n = [len(make.of(text)) for text in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_shingles"])
+
+
+def representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `documents` without near duplicates: of each component the
+    document with the smallest id, once. Rows without an id or without words stay."""
+    components_of = written(near_duplicates(documents, id_col, text_col), "jaccard-components")
+    names = documents.columns
+    numbered = documents.toDF(*[f"c{i}" for i in range(len(names))])
+    at = F.col(f"c{names.index(id_col)}")
+    gone = components_of.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = numbered.join(gone, at == F.col("_gone"), "left_anti")
+    repeated = written(components_of.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_again")).count()
+                       .where("count > 1").select("_again"), "jaccard-repeated")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, at == F.col("_again"), "left_semi").dropDuplicates([f"c{names.index(id_col)}"])
+        kept = kept.join(repeated, at == F.col("_again"), "left_anti").unionAll(once)
+    return kept.toDF(*names)

@@ -237,8 +237,10 @@ def judge(stats: DataFrame, estimates: DataFrame, cutoff: float = CUTOFF) -> Dat
     in its group. Pairs without an estimate reject nothing."""
     known = estimates.withColumnRenamed("pair", "_pair").drop("group")
     judged = stats.withColumn("_own", _key(F.col("lang"), F.col("source"))).join(known, F.col("_own") == F.col("_pair"), "left")
-    inside = F.coalesce(_distance() <= cutoff, F.lit(True))
-    return judged.withColumn("kept", ~F.col("base_failed") & inside).select(*stats.columns, "kept")
+    outside = F.coalesce(_distance() > cutoff, F.lit(False))
+    # one sum, not a conjunction: a filter on it stays above the join, as whole statistics pushed into a filter would be computed anew
+    faults = F.col("base_failed").cast("int") + outside.cast("int")
+    return judged.withColumn("kept", faults == 0).select(*stats.columns, "kept")
 
 
 def quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

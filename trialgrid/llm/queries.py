@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from trialgrid.llm import chat, decontaminate, html, jaccard, langid, linededup, mixing, quality, tokens
 
 
@@ -73,6 +74,7 @@ LLM_QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_html_extract": op9_html_extract,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 # Marks and the spaces beside them take 14, 13 and 9 characters of a turn; other and null roles: 24 and the escaped

@@ -243,7 +243,8 @@ class WordEncoder:
         wanted = set().union(*split)
         if not wanted <= self.words.keys():
             self._learn(wanted)
-        return [b"".join(map(self.words.__getitem__, words)) + self.end for words in split]
+        own = {w: self.words[w] for w in wanted}  # small, so that most lookups stay in the CPU's cache
+        return [b"".join(map(own.__getitem__, words)) + self.end for words in split]
 
 
 @lru_cache(1)
