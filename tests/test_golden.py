@@ -34,7 +34,7 @@ def _close(a, b):
     return a == b
 
 
-@pytest.mark.parametrize("paths", _sets()[:6], ids=lambda p: os.path.basename(os.path.dirname(p[0])))
+@pytest.mark.parametrize("paths", _sets(), ids=lambda p: os.path.basename(os.path.dirname(p[0])))
 def test_grouped_reports_reproduce_stored(spark, paths):
     flat_p, type_p, opt_p = paths
     flat = files.read_report(spark, flat_p, "all")

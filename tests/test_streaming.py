@@ -30,7 +30,7 @@ def test_stream_equals_batch(spark, tmpdir_path):
     stream = live.stream_files(spark, sf_dir, li_schema, glob="lineitem.parquet")
     by, codecs = ["codec", "ref_type"], ["PROMO", "STANDARD"]
     got = live.live_chart_groups(spark, stream, lambda li: tables.trials_from_frames(li, part), by, codecs,
-                                 os.path.join(tmpdir_path, "feed"), os.path.join(tmpdir_path, "ck"))
+                                 os.path.join(tmpdir_path, "feed"), os.path.join(tmpdir_path, "ck"), order=["enc_sec"])
     batch = chart.chart_groups(chart.codec_filter(chart.chart_rows(tables.trials_from_tables(spark, sf_dir),
                                                                    index=False), codecs), by)
     cols = got.columns
@@ -49,10 +49,34 @@ def test_periodic_refresh_replaces_feed(spark, tmpdir_path):
     q = live.run_to_table(spark, counts, out, os.path.join(tmpdir_path, "ck"), available_now=False)
     try:
         q.processAllAvailable()
-        assert {r.codec: r.n for r in spark.read.parquet(out).collect()} == {"a": 1}
+        none = spark.createDataFrame([], counts.schema)
+        assert {r.codec: r.n for r in live.read_feed(spark, out, none).collect()} == {"a": 1}
         # a new result file arrives (plus a re-delivery of t1): the next refresh replaces the feed
         spark.createDataFrame([("t2", "b"), ("t1", "a")], schema).coalesce(1).write.mode("append").parquet(src)
         q.processAllAvailable()
-        assert {r.codec: r.n for r in spark.read.parquet(out).collect()} == {"a": 1, "b": 1}
+        assert {r.codec: r.n for r in live.read_feed(spark, out, none).collect()} == {"a": 1, "b": 1}
     finally:
         q.stop()
+
+
+def test_latest_result_wins_and_empty_source_keeps_the_feed(spark, sf_dir, tmpdir_path):
+    part, li = tables.table(spark, sf_dir, "part"), tables.table(spark, sf_dir, "lineitem")
+    src, out, ck = (os.path.join(tmpdir_path, n) for n in ("src", "out", "ck"))
+    li.limit(0).coalesce(1).write.parquet(src)
+    by, order = ["codec", "ref_type"], ["l_shipdate", "enc_sec", "outfile_size_kbyte"]
+
+    def refresh():
+        stream = live.stream_files(spark, src, li.schema)
+        return live.live_chart_groups(spark, stream, lambda x: tables.trials_from_frames(x, part, keep_keys=True),
+                                      by, None, out, ck, order=order).collect()
+
+    assert refresh() == []
+    some = li.where("l_orderkey < 40").dropDuplicates(tables.KEYS).cache()
+    some.withColumn("l_quantity", F.lit(7.0)).withColumn("l_shipdate", F.date_sub("l_shipdate", 5)).write.mode("append").parquet(src)
+    refresh()
+    some.write.mode("append").parquet(src)  # later results of the same trials
+    got = refresh()
+    want = chart.chart_groups(chart.chart_rows(tables.trials_from_frames(some, part), index=False), by).collect()
+    key = lambda r: tuple(str(round(v, 6) if isinstance(v, float) else v) for v in r)
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    assert sorted(map(key, refresh())) == sorted(map(key, got))  # nothing new: the feed stays

@@ -40,8 +40,12 @@ def score(vmaf_min: Column, vmaf_mean: Column, ssim_mean: Column, comp: Column)
 
 
 def text(x: Column) -> Column:
-    """Number as text for concatenation; NULL becomes '' (SQL CONCAT skips NULL)."""
-    return F.coalesce(x.cast("string"), F.lit(""))
+    """Number as text for concatenation, in plain digits at any size (a double's
+    own text turns to powers of ten from 1e7 up and below 1e-3): at least one
+    and at most three decimals, as after ROUND(x, 3). NULL becomes '' (SQL
+    CONCAT skips NULL)."""
+    plain = F.regexp_replace(x.cast("decimal(38,3)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.coalesce(plain, F.lit(""))
 
 
 # Relative distance under which a value counts as sitting on a rounding tie.

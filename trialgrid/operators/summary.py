@@ -88,6 +88,24 @@ def avg_of_avg(trials: DataFrame, report_by_type: DataFrame) -> DataFrame:
     return two.join(raw, ["codec", "outfile_options"], "full_outer")
 
 
-def show_summary(df: DataFrame, n: int = 20) -> None:
-    """Console table."""
-    df.show(n, truncate=False)
+def show_summary(df: DataFrame, page: int = 1000) -> int:
+    """Console table (S10): every row, a page at a time; returns how many.
+
+    The best option sets stand last, so nothing is cut off. Rows come from
+    `toLocalIterator`, one partition at a time."""
+    shown, rows = 0, []
+
+    def put() -> None:
+        cells = [["" if v is None else str(v) for v in r] for r in rows]
+        widths = [max(map(len, column)) for column in zip(df.columns, *cells)]
+        for line in ([df.columns] if not shown else []) + cells:
+            print(" | ".join(v.ljust(w) for v, w in zip(line, widths)).rstrip())
+
+    for row in df.toLocalIterator():
+        rows.append(row)
+        if len(rows) == page:
+            put()
+            shown, rows = shown + len(rows), []
+    if rows or not shown:
+        put()
+    return shown + len(rows)

@@ -98,7 +98,7 @@ def _chart_rows(spark, d, index=False):
 
 
 def _groups(spark, d):
-    return chart.chart_groups(chart.codec_filter(_chart_rows(spark, d), CHART_SELECTION), CHART_BY)
+    return chart.chart_groups(_chart_rows(spark, d), CHART_BY)
 
 
 def q_chart_rows(spark, d):
@@ -199,7 +199,7 @@ def q_param_grid(spark, d):
 
 def q_grid_size(spark, d):
     """Number of grid cells per sweep."""
-    return _grid(spark, d).groupBy("config").agg(F.count(F.lit(1)).alias("cells"))
+    return grid.grid_sizes(tables.patterns_from_tables(spark, d), tables.references_from_tables(spark, d))
 
 
 def q_new_trials(spark, d):
@@ -384,6 +384,10 @@ def q_no_effect(spark, d):
     return rounded(select.no_effect(_deltas(spark, d), **NO_EFFECT_EPS))
 
 
+# Of two results of a trial the later one counts; measurements break ties.
+LIVE_ORDER = ["l_shipdate", "enc_sec", "outfile_size_kbyte"]
+
+
 # --- streaming -------------------------------------------------------------------
 
 def _scratch(spark) -> str:
@@ -400,8 +404,8 @@ def q_stream_chart_groups(spark, d):
     part = tables.table(spark, d, "part")
     work = _scratch(spark)
     out = live.live_chart_groups(
-        spark, _lineitem_stream(spark, d), lambda li: tables.trials_from_frames(li, part),
-        CHART_BY, CHART_SELECTION, os.path.join(work, "feed"), os.path.join(work, "ckpt"))
+        spark, _lineitem_stream(spark, d), lambda li: tables.trials_from_frames(li, part, keep_keys=True),
+        CHART_BY, None, os.path.join(work, "live"), os.path.join(work, "ckpt"), order=LIVE_ORDER)
     return rounded(out)
 
 

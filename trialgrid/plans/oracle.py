@@ -168,8 +168,8 @@ MEANS = ["outfile_bit_rate_kbs", "outfile_size_kbyte", "vmaf_mean", "vmaf_min",
 MAXES = ["stream_frames_i", "stream_frames_p", "stream_frames_b"]
 GROUPS = (f"grp AS (SELECT codec, ref_type, " + ", ".join(f"AVG({c}) AS {c}" for c in MEANS) + ", "
           + ", ".join(f"MAX({c}) AS {c}" for c in MAXES)
-          + f", concat_ws('_', codec, ref_type) AS \"group\" FROM rows WHERE codec IN {SEL_CODECS} "
-            f"AND codec IS NOT NULL AND ref_type IS NOT NULL GROUP BY codec, ref_type)")
+          + f", concat_ws('_', codec, ref_type) AS \"group\" FROM rows WHERE "
+            f"codec IS NOT NULL AND ref_type IS NOT NULL GROUP BY codec, ref_type)")
 CHART_GROUPS = (f"WITH {TRIALS}, {ROWS}, {GROUPS} SELECT codec, ref_type, "
                 + ", ".join(R(c, c) for c in MEANS) + ", " + ", ".join(MAXES) + ', "group" FROM grp')
 CHART_FEED = (f"WITH {TRIALS}, {ROWS}, {GROUPS} SELECT \"group\", "
@@ -455,6 +455,8 @@ ORACLE: dict[str, str] = {
     "best_candidate": BEST_CANDIDATE,
     "baseline_delta": BASELINE_DELTA,
     "no_effect": NO_EFFECT,
-    "stream_chart_groups": CHART_GROUPS,
+    "stream_chart_groups": CHART_GROUPS.replace(
+        ROWS, "latest AS (SELECT * FROM trials QUALIFY row_number() OVER (PARTITION BY id ORDER BY l_shipdate DESC, "
+              "enc_sec DESC, outfile_size_kbyte DESC) = 1), " + ROWS.replace("FROM trials", "FROM latest")),
     "stream_dedupe": f"WITH {TRIALS} SELECT codec, COUNT(DISTINCT id) AS trials FROM trials GROUP BY codec",
 }

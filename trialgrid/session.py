@@ -87,3 +87,13 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def last_version(spark: SparkSession, path: str) -> int | None:
+    """Number of the last folder `path/version=N` that was written whole (it
+    has a success marker), looked up by the path's own file system."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "version=*/_SUCCESS")) or []
+    return max((int(s.getPath().getParent().getName().split("=")[1]) for s in found), default=None)

@@ -2,10 +2,12 @@
 
 The reference polls its data file every 10 s and, when it changed, reloads
 everything and replaces the chart feed (snapshot semantics). Here results
-arrive as append-only files; the stream de-duplicates re-delivered trials by
-id (T2), keeps the per-group aggregation as state and replaces the feed table
-on every micro-batch (complete mode via `foreachBatch`, overwrite). State is
-one row per chart group plus the seen ids (bounded by the grid size).
+arrive as append-only files. Each micro-batch merges the latest result per
+trial id into a table of current results (so a re-delivery counts once, and a
+later result replaces an earlier one) and computes the chart groups from it.
+Both go to a new version folder; readers take the last version that was
+written whole, so they never see half a feed, and a refresh that finds nothing
+leaves the feed as it is. What is kept lies on disk, not in a state store.
 """
 
 from __future__ import annotations
@@ -13,11 +15,13 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from trialgrid.operators import chart
+from trialgrid.operators import chart, grid
+from trialgrid.session import last_version
 
 REFRESH_SECONDS = 10
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def dedupe_results(stream: DataFrame, key: str = "id") -> DataFrame:
@@ -26,28 +30,50 @@ def dedupe_results(stream: DataFrame, key: str = "id") -> DataFrame:
 
 
 def live_groups(rows: DataFrame, by: list[str], codecs: list[str] | None = None) -> DataFrame:
-    """Streaming version of codec filter + chart groups (sorted in each
-    complete-mode snapshot)."""
+    """Codec filter + chart groups of one snapshot."""
     return chart.chart_groups(chart.codec_filter(rows, codecs), by)
 
 
+def _version(path: str, epoch: int) -> str:
+    return f"{path.rstrip('/')}/version={epoch}"
+
+
+def read_feed(spark: SparkSession, path: str, empty: DataFrame) -> DataFrame:
+    """The last whole version under `path`; `empty` while there is none."""
+    version = last_version(spark, path)
+    return empty if version is None else spark.read.schema(empty.schema).parquet(_version(path, version))
+
+
+def _run(stream: DataFrame, mode: str, checkpoint: str, each: Callable[[DataFrame, int], None], available_now: bool):
+    """Start a query that hands every micro-batch to `each`; its state, if
+    any, is kept in RocksDB, off the heap."""
+    spark = stream.sparkSession
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each)
+        writer = (writer.trigger(availableNow=True) if available_now
+                  else writer.trigger(processingTime=f"{REFRESH_SECONDS} seconds"))
+        query = writer.start()
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    if available_now:
+        query.awaitTermination()
+    return query
+
+
 def run_to_table(spark: SparkSession, result: DataFrame, out_path: str, checkpoint: str,
                  available_now: bool = True, mode: str = "complete") -> DataFrame:
-    """Drive a streaming aggregate: every micro-batch overwrites `out_path`
-    with the current snapshot. `available_now` drains what is there and stops
-    (tests, catch-up); otherwise a 10 s processing-time trigger."""
-    def replace(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
-
-    writer = (result.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-              .foreachBatch(replace))
-    writer = (writer.trigger(availableNow=True) if available_now
-              else writer.trigger(processingTime=f"{REFRESH_SECONDS} seconds"))
-    q = writer.start()
-    if available_now:
-        q.awaitTermination()
-        return spark.read.parquet(out_path)
-    return q
+    """Drive a streaming aggregate: every micro-batch writes the current
+    snapshot as a new version under `out_path` (read it with `read_feed`).
+    `available_now` drains what is there and stops (tests, catch-up) and
+    returns the feed; otherwise a 10 s processing-time trigger runs on and the
+    query is returned."""
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(_version(out_path, epoch))  # the same epoch again: the same version
+
+    query = _run(result, mode, checkpoint, put, available_now)
+    return read_feed(spark, out_path, spark.createDataFrame([], result.schema)) if available_now else query
 
 
 def stream_files(spark: SparkSession, directory: str, schema, glob: str | None = None,
@@ -62,9 +88,22 @@ def stream_files(spark: SparkSession, directory: str, schema, glob: str | None =
 
 def live_chart_groups(spark: SparkSession, source: DataFrame, to_trials: Callable[[DataFrame], DataFrame],
                       by: list[str], codecs: list[str] | None, out_path: str, checkpoint: str,
-                      available_now: bool = True) -> DataFrame:
-    """Source rows -> trials -> de-duplicated -> chart rows -> groups, kept
-    fresh in `out_path`."""
-    trials = dedupe_results(to_trials(source))
-    rows = chart.chart_rows(trials, index=False)
-    return run_to_table(spark, live_groups(rows, by, codecs), out_path, checkpoint, available_now)
+                      order: list[str], available_now: bool = True) -> DataFrame:
+    """Source rows -> trials -> latest result per id by `order` -> chart rows
+    -> groups, kept fresh under `out_path` (`feed`, and the current results in `state`)."""
+    trials = to_trials(source)
+    none = spark.createDataFrame([], trials.schema)
+    state, feed = f"{out_path.rstrip('/')}/state", f"{out_path.rstrip('/')}/feed"
+    groups = lambda current: live_groups(chart.chart_rows(current, index=False), by, codecs)
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        known = last_version(spark, state)
+        # an epoch that is tried again starts from the version before it
+        before = none if known is None or epoch == 0 else spark.read.schema(none.schema).parquet(
+            _version(state, min(known, epoch - 1)))
+        current = grid.latest_by_id(before.unionByName(batch), [*order, *sorted(set(none.columns) - {"id", *order})])
+        current.select(*none.columns).write.mode("overwrite").parquet(_version(state, epoch))
+        groups(spark.read.schema(none.schema).parquet(_version(state, epoch))).write.mode("overwrite").parquet(_version(feed, epoch))
+
+    query = _run(trials, "append", checkpoint, merge, available_now)
+    return read_feed(spark, feed, spark.createDataFrame([], groups(none).schema)) if available_now else query
