@@ -9,9 +9,9 @@ hash. So anchors are shuffled by the hash of their gram, and from each class
 comes what can matter. An anchor whose whole surroundings (all bytes that a
 window with this anchor can reach) are those of an earlier anchor is repeated
 whole. The first of each kind of surroundings stays, if its class has several
-kinds: their texts are shuffled by what windows share beside the gram to the left or right,
-and each task sorts the suffixes of its surroundings with the difference cover
-modulo 3: triples at positions 1 and 2 modulo 3 are sorted and named, the string
+kinds: they are shuffled by what windows share beside the gram to the left or
+right, which then stands as one symbol, and each task sorts the suffixes of its
+surroundings with the difference cover modulo 3: triples at positions 1 and 2 modulo 3 are sorted and named, the string
 of names is sorted the same way until names are unique, the remaining suffixes
 are sorted by their first symbol and the rank behind it and merged in. Suffixes
 next to each other that agree in 100 bytes form a class, in which all but the
@@ -104,9 +104,25 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
 
 # ---------------------------------------------------------------- suffix arrays
 
-def _ranks_of(*columns: np.ndarray) -> np.ndarray:
+def _packed(*columns: np.ndarray) -> np.ndarray | None:
+    """One number per row, in the rows' order, if the columns are small enough."""
+    width = 63 // len(columns)
+    if len(columns[0]) and max(int(c.max()) for c in columns) >= 1 << width:
+        return None
+    out = columns[0].copy()
+    for c in columns[1:]:
+        out = (out << width) | c
+    return out
+
+
+def _order(*columns: np.ndarray) -> np.ndarray:
+    key = _packed(*columns)
+    return np.lexsort(columns[::-1]) if key is None else np.argsort(key)
+
+
+def _names(*columns: np.ndarray) -> np.ndarray:
     """Names from 1 on: equal rows of the columns share one, in their order."""
-    order = np.lexsort(columns[::-1])
+    order = _order(*columns)
     new = np.zeros(len(order), bool)
     new[:1] = True
     for c in columns:
@@ -123,64 +139,68 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
     s = np.concatenate([text, np.zeros(3, np.int64)])
-    n0, n1 = (n + 2) // 3, (n + 1) // 3
     # with a place behind the end where n is 1 modulo 3, so that each rest-0 suffix has its rest-1 neighbour
-    ones = np.arange(1, n + (n % 3 == 1), 3)
-    sample = np.concatenate([ones, np.arange(2, n, 3)])
-    names = _ranks_of(s[sample], s[sample + 1], s[sample + 2])
+    sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
+    names = _names(s[sample], s[sample + 1], s[sample + 2])
     if names.max() < len(sample):
         order = suffix_array(names)
-        rank_in_order = np.empty(len(sample), np.int64)
-        rank_in_order[order] = np.arange(1, len(sample) + 1)
-    else:
-        rank_in_order = names
+        names[order] = np.arange(1, len(sample) + 1)
     rank = np.zeros(n + 3, np.int64)
-    rank[sample] = rank_in_order
-    sorted_sample = np.empty(len(sample), np.int64)
-    sorted_sample[rank_in_order - 1] = sample
-    sorted_sample = sorted_sample[sorted_sample < n]
+    rank[sample] = names
+    in_order = np.empty(len(sample), np.int64)
+    in_order[names - 1] = sample
+    in_order = in_order[in_order < n]
     rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], s[rest]))]
-    # how many of the rest come before each sample suffix: those of rest 1 compare one symbol and a rank, those of rest 2 two and a rank
-    first = sorted_sample[sorted_sample % 3 == 1]
-    second = sorted_sample[sorted_sample % 3 == 2]
-    key1 = _ranks_of(np.concatenate([s[rest], s[first]]), np.concatenate([rank[rest + 1], rank[first + 1]]))
-    key2 = _ranks_of(np.concatenate([s[rest], s[second]]), np.concatenate([s[rest + 1], s[second + 1]]),
-                     np.concatenate([rank[rest + 2], rank[second + 2]]))
-    smaller = (np.searchsorted(key1[len(rest):], key1[:len(rest)]) + np.searchsorted(key2[len(rest):], key2[:len(rest)]))
-    out = np.empty(n, np.int64)
-    at = smaller + np.arange(len(rest))
-    taken = np.zeros(n, bool)
-    taken[at] = True
-    out[at] = rest
-    out[~taken] = sorted_sample
-    assert len(rest) == n0 and n1 >= 0
+    rest = rest[_order(s[rest], rank[rest + 1])]
+    # a rest-0 suffix compares with one of rest 1 by a symbol and a rank, with one of rest 2 by two symbols and a rank
+    before = np.zeros(len(rest), np.int64)
+    for k in (1, 2):
+        others = in_order[in_order % 3 == k]
+        columns = [np.concatenate([s[rest + i], s[others + i]]) for i in range(k)]
+        columns.append(np.concatenate([rank[rest + k], rank[others + k]]))
+        key = _packed(*columns)
+        key = _names(*columns) if key is None else key
+        before += np.searchsorted(key[len(rest):], key[:len(rest)])
+    out, at = np.empty(n, np.int64), before + np.arange(len(rest))
+    sampled = np.ones(n, bool)
+    sampled[at] = False
+    out[at], out[sampled] = rest, in_order
     return out
 
 
-def repeated_starts(texts: list[bytes], documents: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, start) of all 100-byte strings in the texts that also start
-    earlier in them. documents and starts say where each text comes from."""
-    sizes = np.array([len(t) for t in texts])
-    ends = np.cumsum(sizes + 1)
-    data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).copy()
-    symbols = data.astype(np.int64) + 1 + len(texts)
-    symbols[ends - 1] = np.arange(1, len(texts) + 1)  # every end is a symbol of its own
+def repeated_starts(lefts: list[bytes], rights: list[bytes], sides: np.ndarray, documents: np.ndarray,
+                    starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, start) of all 100-byte strings in the surroundings that also
+    start earlier in them. What all surroundings of a side (numbered from 0)
+    share stands between left and right as one symbol, so a window is `HALF` + 1 symbols."""
+    before, sizes = (np.array([len(x) for x in lefts]), np.array([len(a) + len(b) for a, b in zip(lefts, rights, strict=True)]) + 2)
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(x for a, b in zip(lefts, rights, strict=True) for x in (a, b"\0", b, b"\0")), np.uint8)
+    symbols = data.astype(np.int64) + 1 + len(lefts) + int(sides.max()) + 1
+    middle = ends - sizes + before
+    symbols[middle] = 1 + len(lefts) + sides
+    symbols[ends - 1] = np.arange(1, len(lefts) + 1)  # every end is a symbol of its own
     order = suffix_array(symbols)
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)
-    whole = ends[owner[order]] - 1 - order >= WINDOW
-    order = order[whole]
+    owner = np.repeat(np.arange(len(lefts)), sizes)[order]
+    whole = ends[owner] - 1 - order > HALF
+    order, owner = order[whole], owner[whole]
     if len(order) < 2:
         return documents[:0], starts[:0]
-    windows = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
-    same = np.concatenate([[False], *[(windows[order[i:i + 50_000]] == windows[order[i + 1:i + 50_001]][:len(order[i:i + 50_000])]
-                                       if i + 50_000 < len(order) else windows[order[i:-1]] == windows[order[i + 1:]]).all(axis=1)
-                                      for i in range(0, len(order) - 1, 50_000)]])[:len(order)]
-    group = np.cumsum(~same)
-    document = documents[owner[order]]
-    start = starts[owner[order]] + order - (ends - sizes - 1)[owner[order]]
+    ahead, side = (middle[owner] - order), sides[owner]
+    windows = np.lib.stride_tricks.sliding_window_view(data, HALF + 1)
+    same = (side[1:] == side[:-1]) & (ahead[1:] == ahead[:-1])
+    for low in range(0, len(same), 100_000):
+        at = np.flatnonzero(same[low:low + 100_000]) + low
+        same[at] = (windows[order[at]] == windows[order[at + 1]]).all(axis=1)
+    group = np.concatenate([[0], np.cumsum(~same)])
+    # only classes of two or more can hold a repeat
+    many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    group, document = group[many], documents[owner[many]]
+    start = starts[owner[many]] + before[owner[many]] - ahead[many]
     by = np.lexsort((start, document, group))
     group, document, start = group[by], document[by], start[by]
+    if not len(group):
+        return document, start
     head = np.concatenate([[True], group[1:] != group[:-1]])
     first = np.flatnonzero(head)[np.cumsum(head) - 1]
     later = (document != document[first]) | (start != start[first])
@@ -250,25 +270,26 @@ def _mark_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 (whole[chosen], doc[chosen], place[chosen], before[chosen], behind[chosen]), MARKS, strict=True)], schema=MARKS)
 
 
-AROUND_DDL = "side bigint, doc bigint, start bigint, bytes binary"
-AROUND = pa.schema([("side", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
+AROUND_DDL = "side bigint, doc bigint, start bigint, left binary, right binary"
+AROUND = pa.schema([("side", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
+SHARED = GRAM + HALF
 
 
 def _emit_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per anchor the bytes of windows that reach `HALF` bytes or more behind the
-    gram, and of those that reach as far before it, under the hash of what such windows share."""
+    """Every window with an anchor reaches `HALF` bytes behind its gram, or as
+    far before it. So per anchor twice: the hash of what such windows share, and the `HALF` bytes on both sides of that."""
     for batch in batches:
         rows = []
         for doc, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             data = text.encode()
             hashes, n = Hashes(np.frombuffer(data, np.uint8)), len(data)
-            for shared_low, shared_high, low, high in ((0, GRAM + HALF, -HALF, WINDOW), (-HALF, GRAM, -REACH, GRAM + HALF)):
-                fits = [p for p in places if p + shared_low >= 0 and p + shared_high <= n
-                        and min(n, p + high) - max(0, p + low) >= WINDOW]
-                at = np.array(fits, np.int64)
-                sides = _mix(hashes.of(at + shared_low, at + shared_high) + np.uint64(shared_high)).view(np.int64)
-                rows += [(side, doc, max(0, p + low), data[max(0, p + low):p + high])
-                         for side, p in zip(sides.tolist(), fits, strict=True)]
+            for kind, shift in enumerate((0, -HALF)):
+                low = np.array(places, np.int64) + shift
+                low = low[(low >= 0) & (low + SHARED <= n)]
+                low = low[np.minimum(low, HALF) + np.minimum(n - low - SHARED, HALF) >= HALF]
+                sides = _mix(hashes.of(low, low + SHARED) + np.uint64(kind)).view(np.int64)
+                rows += [(side, doc, max(0, p - HALF), data[max(0, p - HALF):p], data[p + SHARED:p + SHARED + HALF])
+                         for side, p in zip(sides.tolist(), low.tolist(), strict=True)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(AROUND)], schema=AROUND)
 
@@ -288,30 +309,30 @@ def _runs(document: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _sort_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one side follow each other; several sides are sorted in one run."""
-    texts, documents, starts, size, current, count = [], [], [], 0, None, 0
+    rows, size, current, count, number = [], 0, None, 0, -1
 
     def spans():
-        found = repeated_starts(texts, np.array(documents, np.int64), np.array(starts, np.int64))
+        side, documents, starts, lefts, rights = zip(*rows, strict=True)
+        found = repeated_starts(lefts, rights, *(np.array(x, np.int64) for x in (side, documents, starts)))
         if len(found[0]):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in _runs(*found)], schema=SPANS)
 
     for batch in batches:
-        for side, doc, start, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for side, doc, start, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if side != current:
                 if count == 1:  # alone under its side: nothing to compare with
-                    size -= len(texts.pop())
-                    documents.pop()
-                    starts.pop()
+                    size -= SHARED + len(rows.pop()[3])
+                    number -= 1
                 if size >= SORT_BYTES:
                     yield from spans()
-                    texts, documents, starts, size = [], [], [], 0
-                current, count = side, 0
-            texts.append(data)
-            documents.append(doc)
-            starts.append(start)
-            size += len(data)
+                    rows, size, number = [], 0, -1
+                current, count, number = side, 0, number + 1
+            rows.append((number, doc, start, left, right))
+            size += SHARED + len(left)
             count += 1
-    if texts:
+    if count == 1:
+        rows.pop()
+    if rows:
         yield from spans()
 
 
