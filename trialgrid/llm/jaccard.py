@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from trialgrid.llm.common import pick
 from trialgrid.llm.components import components
+from trialgrid.llm.sieve import sieve, sifted
 from trialgrid.session import written
 
 SHINGLE = 5
@@ -310,7 +311,8 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     of one a and meets its partners one by one."""
     wanted = pairs.select("a", F.col("b").alias("doc_id"), F.lit(1).alias("place")).unionAll(
         pairs.select("a", F.col("a").alias("doc_id"), F.lit(0).alias("place")).distinct())
-    rows = wanted.join(texts, "doc_id").select("a", "place", "doc_id", "text")
+    ids = wanted.select("doc_id").distinct()
+    rows = wanted.join(sifted(texts, 0, sieve(ids)), "doc_id").select("a", "place", "doc_id", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, center, sets = Shingles(), None, []
@@ -347,6 +349,22 @@ def _near_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], schema=LINKS)
 
 
+def _sketched(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the full sketches don't rule out."""
+    ends = pairs.select("a", F.col("b").alias("doc_id"), F.lit(1).alias("place")).unionAll(
+        pairs.select("a", F.col("a").alias("doc_id"), F.lit(0).alias("place")).distinct())
+    ends = ends.join(sketched, "doc_id").repartition("a").sortWithinPartitions("a", "place")
+    return ends.select("a", "place", "doc_id", "n", "bits").mapInArrow(_near_stars, LINKS_DDL).distinct()
+
+
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches folded to a quarter, about a bit or two per shingle."""
+    for batch in batches:
+        bits = [b if len(b) <= LEAST_BITS // 8 else fold(np.frombuffer(b, np.uint64), max(LEAST_BITS // 8, len(b) // 4) // 8).tobytes()
+                for b in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(bits, pa.binary())], names=["doc_id", "n", "bits"])
+
+
 def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of one bucket in different components whose bit sketches don't rule them out."""
     bucket, members, seen = None, [], set()
@@ -399,11 +417,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     equal = found.where(F.col("kind") == KIND_EQUAL).select(F.col("center").alias("a"), F.col("doc_id").alias("b"))
     sketched = found.where(F.col("kind") == KIND_SIZE).select("doc_id", "n", "bits")
     star_pairs = written(stars.select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), "jaccard-pairs")
-    ends = star_pairs.select("a", F.col("b").alias("doc_id"), F.lit(1).alias("place")).unionAll(
-        star_pairs.select("a", F.col("a").alias("doc_id"), F.lit(0).alias("place")).distinct())
-    ends = ends.join(sketched, "doc_id").repartition("a").sortWithinPartitions("a", "place")
-    first_pairs = written(ends.select("a", "place", "doc_id", "n", "bits").mapInArrow(_near_stars, LINKS_DDL).distinct(),
-                          "jaccard-pairs")
+    first_pairs = written(_sketched(star_pairs, sketched), "jaccard-pairs")
     links = written(_verify(first_pairs, texts).unionAll(equal), "jaccard-links")
     label = components(links)
 
@@ -419,9 +433,11 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     members = labelled.join(split, "bucket", "left_semi")
     members = members.select("bucket", "doc_id", F.col("label_d").alias("label")).unionAll(
         members.select("bucket", "center", "label_c").distinct())
-    members = (members.join(sketched, "doc_id").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    short = sketched.mapInArrow(_shortened, "doc_id bigint, n bigint, bits binary")
+    members = (members.join(short, "doc_id").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
                .select("bucket", "doc_id", "label", "n", "bits"))
     more_pairs = members.mapInArrow(_near_pairs, LINKS_DDL).distinct().join(star_pairs, ["a", "b"], "left_anti")
+    more_pairs = _sketched(written(more_pairs, "jaccard-pairs"), sketched)
     more = written(_verify(written(more_pairs, "jaccard-pairs"), texts), "jaccard-links")
 
     final = components(links.unionAll(more))
@@ -447,7 +463,9 @@ def representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str
     numbered = documents.toDF(*[f"c{i}" for i in range(len(names))])
     at = F.col(f"c{names.index(id_col)}")
     gone = components_of.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = numbered.join(gone, at == F.col("_gone"), "left_anti")
+    filter_of, place = sieve(gone), names.index(id_col)
+    kept = (sifted(numbered, place, filter_of).join(gone, at == F.col("_gone"), "left_anti")
+            .unionAll(sifted(numbered, place, filter_of, inside=False)))
     repeated = written(components_of.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_again")).count()
                        .where("count > 1").select("_again"), "jaccard-repeated")
     if not repeated.isEmpty():
