@@ -66,7 +66,14 @@ trials AS (
     {D(60)} + l_quantity / {D(2)} AS vmaf_min,
     {D(90)} + {D(1.5)} * CAST(l_linenumber AS DOUBLE) AS vmaf_mean,
     l_tax * {D(100)} AS probe_sec,
-    l_discount * {D(1000)} AS vmaf_sec
+    l_discount * {D(1000)} AS vmaf_sec,
+    {D(120)} AS infile_duration, p_retailprice * {D(100)} AS infile_size_kbyte, {D(120)} AS outfile_duration,
+    '' AS commandline, '' AS hwaccels,
+    CAST(CAST(l_linenumber AS BIGINT) + CAST(l_quantity AS BIGINT) + CAST(p_size AS BIGINT) AS DOUBLE) / l_quantity AS enc_fps,
+    {_hms('(l_tax * 100.0::DOUBLE)')} AS probe_time, {_hms('(l_discount * 1000.0::DOUBLE)')} AS vmaf_time,
+    '2.3.1' AS vmaf_version, '' AS vmaf_commandline,
+    {D(1)} AS ssim_max, {D(1)} - l_tax / {D(10)} AS ssim_amean,
+    {D(100)} AS vmaf_max, {D(91)} + {D(1.5)} * CAST(l_linenumber AS DOUBLE) AS vmaf_amean
   FROM lineitem JOIN part ON l_partkey = p_partkey
 )"""
 
@@ -76,6 +83,11 @@ FLAT_COLS = ["codec", "type", "preset", "threads", "gop", "has_b_frames", "refs"
              "enc_speed", "ssim_min", "ssim_mean", "vmaf_min", "vmaf_mean"]
 DOUBLES = {"outfile_size_kbyte", "outfile_bit_rate_kbs", "enc_sec", "comp_ratio_persent", "enc_speed",
            "ssim_min", "ssim_mean", "vmaf_min", "vmaf_mean"}
+RECORD_DOUBLES = DOUBLES | {"infile_duration", "infile_size_kbyte", "outfile_duration", "enc_fps", "probe_sec", "vmaf_sec",
+                            "ssim_max", "ssim_amean", "vmaf_max", "vmaf_amean"}
+RECORD_COLS = ["id", "id_opt", "comments", "infile_filename", "infile_duration", "infile_size_kbyte", "outfile_hash",
+               "outfile_duration", "commandline", "hwaccels", "enc_fps", "probe_sec", "probe_time", "vmaf_sec", "vmaf_time",
+               "vmaf_version", "vmaf_commandline", "ssim_max", "ssim_amean", "vmaf_max", "vmaf_amean", *FLAT_COLS]
 MAXC = ["gop", "has_b_frames", "refs", "fI", "fP", "fB", "fT"]
 AVGC = ["outfile_size_kbyte", "outfile_bit_rate_kbs", "enc_sec", "comp_ratio_persent", "enc_speed",
         "ssim_min", "ssim_mean", "vmaf_min", "vmaf_mean"]
@@ -414,9 +426,7 @@ ORACLE: dict[str, str] = {
                     "SELECT \"group\", 1, 'P-Frame', stream_frames_p FROM grp UNION ALL "
                     "SELECT \"group\", 2, 'I-Frame', stream_frames_i FROM grp"),
     "report_roundtrip": _report(TYPE_KEYS),
-    "trial_records": (f"WITH {TRIALS} SELECT id, codec, type, preset, threads, ref_name, ref_type, outfile_options, "
-                      f"outfile_hash, fT, enc_time, {R('comp_ratio_persent', 'comp_ratio_persent')}, "
-                      f"{R('vmaf_mean', 'vmaf_mean')}, {R('ssim_mean', 'ssim_mean')} FROM trials"),
+    "trial_records": f"WITH {TRIALS} SELECT {_sel(RECORD_COLS, RECORD_DOUBLES)} FROM trials",
     "file_hashes": ("SELECT s_nationkey, sha256(string_agg(s_name || chr(10), '' ORDER BY s_suppkey)) AS sha256 "
                     "FROM supplier GROUP BY s_nationkey"),
     "probe_logs": (f"SELECT {_STEM} || '_ffprobe.json' AS path, "
