@@ -36,6 +36,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -167,8 +168,8 @@ class WordEncoder:
     at a time: each is one run of letters, whose last id is a word end."""
 
     #: A letter and the punctuation behind it, but for the apostrophe of short forms.
-    CUT = re.compile(r"([a-z\xe0-\xf6\xf8-\xff])(?=[!-&(-/:-@\[-`{-~])")
-    MARKS = re.compile("[\u0300-\U0010ffff]")
+    CUT = r"([a-z\x{e0}-\x{f6}\x{f8}-\x{ff}])([!-&(-/:-@\[-`{-~])"
+    HIGH = r"[\x{300}-\x{10ffff}]"
     PLAIN = re.compile(r"[a-z\xe0-\xf6\xf8-\xff]+")
     AT_ONCE = 1000
 
@@ -229,22 +230,36 @@ class WordEncoder:
             found = self._ids([text for _, text in other])
             self.words.update((word, ids.tobytes()) for (word, _), ids in zip(other, found, strict=True))
 
-    def _cut(self, text: str) -> str:
-        low = text.lower()
-        if any(token in low for token in self.added) or self.MARKS.search(text):
-            return text
-        return self.CUT.sub(r"\1 ", low)
+    def _words_of(self, texts: pa.Array) -> pa.Array:
+        """Lists of words: runs without ASCII white space (an empty one may come first or last)."""
+        low = pc.ascii_lower(texts)
+        whole = pc.match_substring_regex(texts, self.HIGH)
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(low, token))
+        return pc.ascii_split_whitespace(pc.if_else(whole, texts, pc.replace_substring_regex(low, self.CUT, r"\1 \2")))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
         if not self.separable:
-            return [ids.tobytes() + self.end for ids in self._ids(texts)]
-        split = [self._cut(text).encode().split() for text in texts]  # at ASCII white space
-        wanted = set().union(*split)
+            return [ids.tobytes() + self.end for ids in self._ids(list(texts) if isinstance(texts, list) else texts.to_pylist())]
+        split = self._words_of(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        wanted = set(distinct)
         if not wanted <= self.words.keys():
             self._learn(wanted)
-        own = {w: self.words[w] for w in wanted}  # small, so that most lookups stay in the CPU's cache
-        return [b"".join(map(own.__getitem__, words)) + self.end for words in split]
+        own = [self.words[w] for w in distinct]
+        # the ids of all words, gathered from those of the distinct ones
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) >> 2
+        first, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(own), "<u4")
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        many = sizes[word]
+        upto = np.cumsum(many)
+        found = ids[np.repeat(first[word] - upto + many, many) + np.arange(int(many.sum()))]
+        bounds = split.offsets.to_numpy()
+        at = np.concatenate([[0], upto])[bounds - bounds[0]].tolist()
+        data = found.tobytes()
+        return [data[4 * low:4 * high] + self.end for low, high in zip(at[:-1], at[1:], strict=True)]
 
 
 @lru_cache(1)
@@ -280,7 +295,7 @@ def write_images(documents: DataFrame, path: str, id_col: str = "doc_id", text_c
         for batch in batches:
             for low in range(0, batch.num_rows, ENCODED_TEXTS):
                 some = batch.slice(low, ENCODED_TEXTS)
-                encoded = encoder.encode([text or "" for text in some.column(1).to_pylist()])
+                encoded = encoder.encode(some.column(1).fill_null(""))
                 for doc_id, ids in zip(some.column(0).to_pylist(), encoded, strict=True):
                     pieces.append(ids)
                     size += len(ids) // 4
