@@ -357,48 +357,66 @@ def _sketched(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     return ends.select("a", "place", "doc_id", "n", "bits").mapInArrow(_near_stars, LINKS_DDL).distinct()
 
 
-def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sketches folded to a quarter, about a bit or two per shingle."""
-    for batch in batches:
-        bits = [b if len(b) <= LEAST_BITS // 8 else fold(np.frombuffer(b, np.uint64), max(LEAST_BITS // 8, len(b) // 4) // 8).tobytes()
-                for b in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(bits, pa.binary())], names=["doc_id", "n", "bits"])
+MOST_NOTED = 8192
+
+
+class _Family:
+    """The documents of all lists around one center, and the pairs among them that the sketches don't rule out."""
+
+    def __init__(self, members: list[tuple]):
+        ids, label, n, bits, buckets = zip(*members, strict=True)
+        self.ids, self.label, self.n = (np.array(x, np.int64) for x in (ids, label, n))
+        self.words = np.array([len(b) // 8 for b in bits])
+        self.place = np.zeros(len(ids), np.int64)
+        self.tables = {}
+        for w in set(self.words.tolist()):
+            own = np.flatnonzero(self.words == w)
+            self.place[own] = np.arange(len(own))
+            self.tables[w] = np.frombuffer(b"".join(bits[i] for i in own), np.uint64).reshape(-1, w)
+        self.lists: dict[int, list] = {}
+        for i, own in enumerate(buckets):
+            for bucket in own:
+                self.lists.setdefault(bucket, []).append(i)
+
+    def pairs(self) -> Iterator[tuple[int, int]]:
+        noted = np.zeros((len(self.ids),) * 2, bool) if len(self.ids) <= MOST_NOTED else None
+        for members in self.lists.values():
+            own = np.array(sorted(members))
+            for k, i in enumerate(own[:-1].tolist()):
+                rest = own[k + 1:]
+                rest = rest[(self.label[rest] != self.label[i])
+                            & (4 * np.minimum(self.n[rest], self.n[i]) >= 3 * np.maximum(self.n[rest], self.n[i]))]
+                if noted is not None:
+                    rest = rest[~noted[i, rest]]
+                    noted[i, rest] = True
+                # similar sets have sketches of the same length, or of one and its double
+                w = int(self.words[i])
+                mine = self.tables[w][self.place[i]]
+                for w2 in {w // 2, w, 2 * w} & self.tables.keys():
+                    some = rest[self.words[rest] == w2]
+                    if len(some):
+                        short = min(w, w2)
+                        apart = np.bitwise_count(fold(self.tables[w2][self.place[some]], short) ^ fold(mine, short))
+                        near = 7 * apart.sum(axis=1, dtype=np.int64) <= self.n[some] + self.n[i]
+                        for j in some[near].tolist():
+                            a, b = int(self.ids[i]), int(self.ids[j])
+                            yield (a, b) if a < b else (b, a)
 
 
 def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one bucket in different components whose bit sketches don't rule them out."""
-    bucket, members, seen = None, [], set()
-
-    def pairs():
-        by_words: dict[int, list] = {}
-        for m in members:
-            by_words.setdefault(len(m[3]) // 8, []).append(m)
-        tables = {w: (*(np.array([m[i] for m in ms], np.int64) for i in range(3)),
-                      np.frombuffer(b"".join(m[3] for m in ms), np.uint64).reshape(-1, w)) for w, ms in by_words.items()}
-        # similar sets have sketches of the same length, or of one and its double
-        for w, (ids, label, n, bits) in tables.items():
-            for ids2, label2, n2, bits2 in ([tables[w]] + ([(*tables[2 * w][:3], fold(tables[2 * w][3], w))] if 2 * w in tables else [])):
-                own = bits2 is bits
-                for i in range(len(ids)):
-                    rest = np.arange(i + 1 if own else 0, len(ids2))
-                    rest = rest[(label2[rest] != label[i]) & (4 * np.minimum(n2[rest], n[i]) >= 3 * np.maximum(n2[rest], n[i]))]
-                    apart = np.bitwise_count(bits2[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                    for j in rest[7 * apart <= n2[rest] + n[i]].tolist():
-                        yield min(int(ids[i]), int(ids2[j])), max(int(ids[i]), int(ids2[j]))
+    """Pairs of documents of one list, in different components, that their sketches don't rule out."""
+    center, members = None, []
 
     def table():
-        found = {p for p in pairs() if p not in seen}
-        if len(seen) > 1_000_000:
-            seen.clear()
-        seen.update(found)
+        found = sorted(set(_Family(members).pairs()))
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=LINKS)
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != bucket:
+            if row[0] != center:
                 if len(members) > 1:
                     yield table()
-                bucket, members = row[0], []
+                center, members = row[0], []
             members.append(row[1:])
     if len(members) > 1:
         yield table()
@@ -431,13 +449,13 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     labelled = written(labelled, "jaccard-lists")
     split = labelled.where("label_c <> label_d").select("bucket").distinct()
     members = labelled.join(split, "bucket", "left_semi")
-    members = members.select("bucket", "doc_id", F.col("label_d").alias("label")).unionAll(
-        members.select("bucket", "center", "label_c").distinct())
-    short = sketched.mapInArrow(_shortened, "doc_id bigint, n bigint, bits binary")
-    members = (members.join(short, "doc_id").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
-               .select("bucket", "doc_id", "label", "n", "bits"))
+    members = members.select("center", "bucket", "doc_id", F.col("label_d").alias("label")).unionAll(
+        members.select("center", "bucket", F.col("center").alias("doc_id"), F.col("label_c").alias("label")).distinct())
+    # a document once per center, with the lists it shares: lists around one center hold much the same documents
+    members = members.groupBy("center", "doc_id").agg(F.min("label").alias("label"), F.collect_set("bucket").alias("buckets"))
+    members = (members.join(sketched, "doc_id").repartition("center").sortWithinPartitions("center", "doc_id")
+               .select("center", "doc_id", "label", "n", "bits", "buckets"))
     more_pairs = members.mapInArrow(_near_pairs, LINKS_DDL).distinct().join(star_pairs, ["a", "b"], "left_anti")
-    more_pairs = _sketched(written(more_pairs, "jaccard-pairs"), sketched)
     more = written(_verify(written(more_pairs, "jaccard-pairs"), texts), "jaccard-links")
 
     final = components(links.unionAll(more))
