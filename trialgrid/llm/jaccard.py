@@ -373,10 +373,12 @@ class _Family:
             own = np.flatnonzero(self.words == w)
             self.place[own] = np.arange(len(own))
             self.tables[w] = np.frombuffer(b"".join(bits[i] for i in own), np.uint64).reshape(-1, w)
+        # the center, which comes without lists, is in all of them
+        centers = [i for i, own in enumerate(buckets) if own is None]
         self.lists: dict[int, list] = {}
         for i, own in enumerate(buckets):
-            for bucket in own:
-                self.lists.setdefault(bucket, []).append(i)
+            for bucket in own or ():
+                self.lists.setdefault(bucket, list(centers)).append(i)
 
     def pairs(self) -> Iterator[tuple[int, int]]:
         noted = np.zeros((len(self.ids),) * 2, bool) if len(self.ids) <= MOST_NOTED else None
@@ -439,20 +441,19 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     links = written(_verify(first_pairs, texts).unionAll(equal), "jaccard-links")
     label = components(links)
 
-    # lists of three or more whose documents are still in different components
-    open_lists = stars.where("members > 2").select("bucket", "center", "doc_id")
+    # lists of three or more, around centers with documents in other components: each document once per center, with its lists
     label_of = lambda c: label.select(F.col("id").alias(f"id_{c}"), F.col("component").alias(f"label_{c}"))
-    labelled = (open_lists.join(label_of("c"), F.col("center") == F.col("id_c"), "left")
-                .join(label_of("d"), F.col("doc_id") == F.col("id_d"), "left")
-                .select("bucket", "center", "doc_id", F.coalesce("label_c", "center").alias("label_c"),
-                        F.coalesce("label_d", "doc_id").alias("label_d")))
-    labelled = written(labelled, "jaccard-lists")
-    split = labelled.where("label_c <> label_d").select("bucket").distinct()
-    members = labelled.join(split, "bucket", "left_semi")
-    members = members.select("center", "bucket", "doc_id", F.col("label_d").alias("label")).unionAll(
-        members.select("center", "bucket", F.col("center").alias("doc_id"), F.col("label_c").alias("label")).distinct())
-    # a document once per center, with the lists it shares: lists around one center hold much the same documents
-    members = members.groupBy("center", "doc_id").agg(F.min("label").alias("label"), F.collect_set("bucket").alias("buckets"))
+    labelled = (star_pairs.join(label_of("a"), F.col("a") == F.col("id_a"), "left")
+                .join(label_of("b"), F.col("b") == F.col("id_b"), "left")
+                .select("a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b")))
+    split = written(labelled.where("label_a <> label_b").select(F.col("a").alias("center"), F.col("label_a").alias("label"))
+                    .distinct(), "jaccard-centers")
+    lists = (stars.where("members > 2").select("center", "doc_id", "bucket").join(split.select("center"), "center", "left_semi")
+             .groupBy("center", "doc_id").agg(F.collect_set("bucket").alias("buckets"))
+             .join(label_of("d"), F.col("doc_id") == F.col("id_d"), "left")
+             .select("center", "doc_id", F.coalesce("label_d", "doc_id").alias("label"), "buckets"))
+    members = lists.unionAll(split.select("center", F.col("center").alias("doc_id"), "label",
+                                          F.lit(None).cast("array<bigint>").alias("buckets")))
     members = (members.join(sketched, "doc_id").repartition("center").sortWithinPartitions("center", "doc_id")
                .select("center", "doc_id", "label", "n", "bits", "buckets"))
     more_pairs = members.mapInArrow(_near_pairs, LINKS_DDL).distinct().join(star_pairs, ["a", "b"], "left_anti")
