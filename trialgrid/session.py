@@ -16,6 +16,8 @@ REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.caseSensitive": "false",
     "spark.sql.ansi.enabled": "true",
+    # Rows that go to Python may hold long texts: fewer of them at a time.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 # Tuning for scale: AQE re-plans joins from runtime sizes, coalesces small
