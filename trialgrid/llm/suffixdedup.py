@@ -43,7 +43,7 @@ from trialgrid.session import written
 WINDOW, GRAM = 100, 32
 REACH = WINDOW - GRAM  # bytes that a window can reach before its anchor
 HALF = REACH // 2
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
 NO_ID = -(1 << 63)
 BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(BASE, -1, 1 << 64)
