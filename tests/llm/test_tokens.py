@@ -82,3 +82,12 @@ def test_documents_from_files(spark, tokenizer, monkeypatch):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert tokens.token_output(empty).collect() == []
+
+
+def test_many_documents_in_one_batch(spark, tokenizer):
+    rows = [(i, f"é à, naïve{i} Ünd È. " * (i % 7) + "x" * (i % 3)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokens.token_output(df).collect()}
+    for i, t in rows:
+        ids = np.array(tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))

@@ -238,11 +238,12 @@ class WordEncoder:
             whole = pc.or_(whole, pc.match_substring(low, token))
         return pc.ascii_split_whitespace(pc.if_else(whole, texts, pc.replace_substring_regex(low, self.CUT, r"\1 \2")))
 
-    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
         if not self.separable:
-            return [ids.tobytes() + self.end for ids in self._ids(list(texts) if isinstance(texts, list) else texts.to_pylist())]
-        split = self._words_of(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()))
+            return [ids.tobytes() + self.end for ids in self._ids(texts)]
+        # an array of its own: string functions read a slice of a batch at a wrong offset
+        split = self._words_of(pa.array(texts, pa.large_string()))
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
         wanted = set(distinct)
@@ -295,7 +296,7 @@ def write_images(documents: DataFrame, path: str, id_col: str = "doc_id", text_c
         for batch in batches:
             for low in range(0, batch.num_rows, ENCODED_TEXTS):
                 some = batch.slice(low, ENCODED_TEXTS)
-                encoded = encoder.encode(some.column(1).fill_null(""))
+                encoded = encoder.encode([text or "" for text in some.column(1).to_pylist()])
                 for doc_id, ids in zip(some.column(0).to_pylist(), encoded, strict=True):
                     pieces.append(ids)
                     size += len(ids) // 4
