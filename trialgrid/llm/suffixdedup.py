@@ -15,7 +15,9 @@ surroundings with the difference cover modulo 3: triples at positions 1 and 2 mo
 of names is sorted the same way until names are unique, the remaining suffixes
 are sorted by their first symbol and the rank behind it and merged in. Suffixes
 next to each other that agree in 100 bytes form a class, in which all but the
-earliest start are marked.
+earliest start are marked. A gram with `HOT_ROWS` surroundings or more (a passage that
+many otherwise different documents hold) would make one side of any size: its
+windows are listed one by one and grouped by their bytes, spread over all tasks.
 
 The suffix arrays stand on the surroundings and not on the whole corpus at once:
 recursing over all bytes would shuffle every byte's position with its names
@@ -44,6 +46,8 @@ WINDOW, GRAM = 100, 32
 REACH = WINDOW - GRAM  # bytes that a window can reach before its anchor
 HALF = REACH // 2
 SORT_BYTES = 1 << 19
+HOT_ROWS = 1 << 13
+SALTS = 32
 NO_ID = -(1 << 63)
 BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -237,8 +241,9 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield table()
 
 
-MARKS_DDL = "whole boolean, doc bigint, place int, before int, behind int"
-MARKS = pa.schema([("whole", pa.bool_()), ("doc", pa.int64()), ("place", pa.int32()), ("before", pa.int32()), ("behind", pa.int32())])
+MARKS_DDL = "whole boolean, gram bigint, doc bigint, place int, before int, behind int"
+MARKS = pa.schema([("whole", pa.bool_()), ("gram", pa.int64()), ("doc", pa.int64()), ("place", pa.int32()),
+                   ("before", pa.int32()), ("behind", pa.int32())])
 
 
 def _mark_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +272,7 @@ def _mark_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         chosen = np.flatnonzero(whole | kinds)
         if len(chosen):
             yield pa.RecordBatch.from_arrays([pa.array(a, t.type) for a, t in zip(
-                (whole[chosen], doc[chosen], place[chosen], before[chosen], behind[chosen]), MARKS, strict=True)], schema=MARKS)
+                (whole[chosen], gram[chosen], doc[chosen], place[chosen], before[chosen], behind[chosen]), MARKS, strict=True)], schema=MARKS)
 
 
 AROUND_DDL = "side bigint, doc bigint, start bigint, left binary, right binary"
@@ -366,20 +371,56 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(KEPT)], schema=KEPT)
 
 
+def _surroundings(texts: DataFrame, first: DataFrame) -> DataFrame:
+    """The surroundings of the anchors `first` (doc, place), twice each, by side."""
+    kinds = first.groupBy("doc").agg(F.collect_list("place").alias("places")).withColumnRenamed("doc", "_doc")
+    near = sifted(texts, 0, sieve(kinds.select("_doc"))).join(kinds, F.col("doc") == F.col("_doc")).select("doc", "text", "places")
+    return near.mapInArrow(_emit_surroundings, AROUND_DDL)
+
+
+def _sorted_spans(texts: DataFrame, first: DataFrame) -> DataFrame:
+    around = _surroundings(texts, first).repartition("side").sortWithinPartitions("side", "doc", "start")
+    return written(around.mapInArrow(_sort_surroundings, SPANS_DDL), "suffix-spans")
+
+
+def _hot_spans(texts: DataFrame, first: DataFrame) -> DataFrame:
+    """The same for anchors of hot grams. A window is what its side shares and, by its place, the
+    bytes to the left and right of that: equal windows are found by an aggregation, and
+    all but the earliest by a join that holds one row per window and salt."""
+    around = written(_surroundings(texts, first), "suffix-around")
+    before, ahead = F.octet_length("left"), F.col("ahead")
+    windows = (around.withColumn("ahead", F.explode(F.sequence(F.lit(0), F.lit(HALF))))
+               .where((before >= ahead) & (F.octet_length("right") >= HALF - ahead))
+               .select("side", "ahead", "doc", "start", (F.col("start") + before - ahead).alias("low"),
+                       F.concat(F.substring("left", before - ahead + 1, ahead),
+                                F.substring("right", F.lit(1), HALF - ahead)).alias("wings"))
+               .withColumn("salt", F.pmod(F.xxhash64("doc", "start"), F.lit(SALTS))))
+    window = ["side", "ahead", "wings"]
+    at = F.struct("doc", "low")
+    repeated = (windows.groupBy(*window).agg(F.min(at).alias("earliest"), F.max(at).alias("latest"))
+                .where("earliest < latest").select(*window, "earliest", F.explode(
+                    F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt")))
+    later = windows.join(repeated, [*window, "salt"]).where(at > F.col("earliest"))
+    # windows of one row overlap, so what they cover is one span
+    return written(later.groupBy("side", "doc", "start").agg(F.min("low").alias("low"), (F.max("low") + WINDOW).alias("high"))
+                   .select("doc", "low", "high"), "suffix-spans")
+
+
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(doc, spans): the bytes to remove of each document that has any; spans may overlap. texts: (doc, text)."""
     found = texts.mapInArrow(_emit_anchors, ANCHORS_DDL).repartition("gram").sortWithinPartitions("gram", "around", "doc", "place")
     marks = written(found.mapInArrow(_mark_classes, MARKS_DDL), "suffix-marks")
-    kinds = marks.where("NOT whole").groupBy("doc").agg(F.collect_list("place").alias("places"))
-    kinds = kinds.withColumnRenamed("doc", "_doc")
-    near = sifted(texts, 0, sieve(kinds.select("_doc"))).join(kinds, F.col("doc") == F.col("_doc")).select("doc", "text", "places")
-    around = (near.mapInArrow(_emit_surroundings, AROUND_DDL).repartition("side")
-              .sortWithinPartitions("side", "doc", "start"))
-    sorted_spans = written(around.mapInArrow(_sort_surroundings, SPANS_DDL), "suffix-spans")
+    first = marks.where("NOT whole").select("gram", "doc", "place")
+    hot = written(first.groupBy("gram").count().where(F.col("count") >= HOT_ROWS).select("gram"), "suffix-hot")
+    if hot.isEmpty():
+        found_spans = _sorted_spans(texts, first)
+    else:  # broadcast: a gram stands for HOT_ROWS rows of `first` at least
+        found_spans = _sorted_spans(texts, first.join(F.broadcast(hot), "gram", "left_anti")).unionAll(
+            _hot_spans(texts, first.join(F.broadcast(hot), "gram", "left_semi")))
     whole = marks.where("whole").where(F.col("before") + F.col("behind") >= WINDOW).select(
         "doc", (F.col("place") - F.col("before")).cast("bigint").alias("low"),
         (F.col("place") + F.col("behind")).cast("bigint").alias("high"))
-    return whole.unionAll(sorted_spans).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    return whole.unionAll(found_spans).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 
 def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
