@@ -29,6 +29,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -357,15 +358,20 @@ def _sketched(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     return ends.select("a", "place", "doc_id", "n", "bits").mapInArrow(_near_stars, LINKS_DDL).distinct()
 
 
+#: About as many documents around one center make a block; a task compares two blocks at a time.
+BLOCK_ROWS = 2048
 MOST_NOTED = 8192
+PAIRS_PER_BATCH = 100_000
 
 
 class _Family:
-    """The documents of all lists around one center, and the pairs among them that the sketches don't rule out."""
+    """The documents of all lists around one center, or of two blocks of them, and the pairs among them
+    (of two blocks: one of each) that the sketches don't rule out."""
 
-    def __init__(self, members: list[tuple]):
-        ids, label, n, bits, buckets = zip(*members, strict=True)
-        self.ids, self.label, self.n = (np.array(x, np.int64) for x in (ids, label, n))
+    def __init__(self, members: list[tuple], across: bool):
+        ids, block, label, n, bits, buckets = zip(*members, strict=True)
+        self.ids, self.block, self.label, self.n = (np.array(x, np.int64) for x in (ids, block, label, n))
+        self.across = across
         self.words = np.array([len(b) // 8 for b in bits])
         self.place = np.zeros(len(ids), np.int64)
         self.tables = {}
@@ -388,6 +394,8 @@ class _Family:
                 rest = own[k + 1:]
                 rest = rest[(self.label[rest] != self.label[i])
                             & (4 * np.minimum(self.n[rest], self.n[i]) >= 3 * np.maximum(self.n[rest], self.n[i]))]
+                if self.across:
+                    rest = rest[self.block[rest] != self.block[i]]
                 if noted is not None:
                     rest = rest[~noted[i, rest]]
                     noted[i, rest] = True
@@ -407,21 +415,35 @@ class _Family:
 
 def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of documents of one list, in different components, that their sketches don't rule out."""
-    center, members = None, []
+    group, members = None, []
 
-    def table():
-        found = sorted(set(_Family(members).pairs()))
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], schema=LINKS)
+    def tables():
+        found = _Family(members, group[1] != group[2]).pairs()
+        while some := list(itertools.islice(found, PAIRS_PER_BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in some], pa.int64()) for i in (0, 1)], schema=LINKS)
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != center:
+            if row[:3] != group:
                 if len(members) > 1:
-                    yield table()
-                center, members = row[0], []
-            members.append(row[1:])
+                    yield from tables()
+                group, members = row[:3], []
+            members.append(row[3:])
     if len(members) > 1:
-        yield table()
+        yield from tables()
+
+
+def _in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The members (center, doc_id, ...) with the pairs of blocks (low, high) they are compared in: one
+    pair of equal blocks around most centers; around those of many documents (sizes: center, members)
+    each member meets every block, in a group of its own."""
+    large = written(sizes.where(F.col("members") > BLOCK_ROWS)
+                    .select("center", F.ceil(F.col("members") / BLOCK_ROWS).cast("int").alias("blocks")), "jaccard-large")
+    # broadcast: a row stands for BLOCK_ROWS rows of `members` at least
+    dealt = members.join(F.broadcast(large), "center", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -454,8 +476,11 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
              .select("center", "doc_id", F.coalesce("label_d", "doc_id").alias("label"), "buckets"))
     members = lists.unionAll(split.select("center", F.col("center").alias("doc_id"), "label",
                                           F.lit(None).cast("array<bigint>").alias("buckets")))
-    members = (members.join(sketched, "doc_id").repartition("center").sortWithinPartitions("center", "doc_id")
-               .select("center", "doc_id", "label", "n", "bits", "buckets"))
+    sizes = (star_pairs.join(split.select(F.col("center").alias("a")), "a", "left_semi").groupBy(F.col("a").alias("center"))
+             .agg(F.count(F.lit(1)).alias("members")))
+    members = (_in_blocks(members.join(sketched, "doc_id"), sizes).repartition("center", "low", "high")
+               .sortWithinPartitions("center", "low", "high", "doc_id")
+               .select("center", "low", "high", "doc_id", "block", "label", "n", "bits", "buckets"))
     more_pairs = members.mapInArrow(_near_pairs, LINKS_DDL).distinct().join(star_pairs, ["a", "b"], "left_anti")
     more = written(_verify(written(more_pairs, "jaccard-pairs"), texts), "jaccard-links")
 
