@@ -42,10 +42,15 @@ from trialgrid.llm.common import pick
 
 #: Elements of HTML by their role in layout.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s "
-                   "samp small span strike strong sub sup time tt u var wbr".split())
+                   "samp small span strike strong sub sup time tt u var wbr "
+                   # formulas and drawings: their text is rendered where it stands
+                   "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot "
+                   "mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics object "
+                   "svg circle clippath defs ellipse foreignobject g image line lineargradient marker mask path pattern "
+                   "polygon polyline radialgradient rect stop symbol text textpath tspan use".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = ("script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "canvas",
-          "select", "textarea", "button")
+HIDDEN = ("script", "style", "noscript", "template", "head", "title", "iframe", "canvas",
+          "select", "textarea", "button", "annotation", "annotation-xml", "desc", "metadata")
 #: Elements that don't end the block they stand in.
 FLOWING = INLINE | VOID - {"hr"} | frozenset(HIDDEN)
 RAW = frozenset("script style textarea title iframe noscript".split())
