@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trialgrid.llm import chat, decontaminate, html, jaccard, langid, linededup, mixing, quality, suffixdedup, tokens
+from trialgrid.llm import (chat, decontaminate, html, jaccard, langid, linededup, mixing, quality, repair, resample, suffixdedup,
+                           tokens, warc)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +70,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the longer documents, drawn by likeness to the benchmark's texts: weight, score and rank of all."""
+    ranked = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of archives with revisits resolved, as read back from them."""
+    records = warc.archived(table(spark, sf_dir, "pages"))
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          F.col("refers_to_key").alias("refers_to"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged by a rule, their faults and the cheapest repair of each."""
+    steps = repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+    return repair.summary(steps, ordered=True)
+
+
 LLM_QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
@@ -80,6 +100,9 @@ LLM_QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_html_extract": op9_html_extract,
     "op10_line_dedup": op10_line_dedup,
+    "op11_resample": op11_resample,
+    "op12_warc": op12_warc,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -141,7 +164,148 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM placed
 """
 
+# CRC-32 by its rule: the table of a byte's eight steps, then a step per byte of the text.
+CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce([b, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+              ORDER BY b) AS steps
+  FROM (SELECT CAST(range AS BIGINT) AS b FROM range(256))
+)"""
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a text that isn't empty; `steps` is the table."""
+    codes = f"list_transform(range(strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    step = "lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), {step}), 4294967295)"
+
+
+OP11_SQL = rf"""
+WITH {CRC_TABLE}, texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS no, doc_id, text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark
+), cut AS (
+  SELECT side, no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM texts
+), features AS (
+  SELECT side, no, unnest(words || list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS feature FROM cut
+), hashed AS (
+  SELECT feature, {crc32('feature')} % 10000 AS bucket FROM (SELECT DISTINCT feature FROM features), crc_table
+), placed AS (
+  SELECT side, no, bucket FROM features JOIN hashed USING (feature)
+), counts AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM placed GROUP BY bucket
+), totals AS (
+  SELECT CAST(sum(s) AS DOUBLE) AS all_s, CAST(sum(t) AS DOUBLE) AS all_t FROM counts
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + 1.0::DOUBLE) * (all_s + 10000)) / ((s + 1.0::DOUBLE) * (all_t + 10000)))) AS BIGINT) AS gain
+  FROM counts, totals
+), means AS (
+  SELECT no, count(*) AS n_features, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight
+  FROM placed JOIN gains USING (bucket) WHERE side = 'd' GROUP BY no
+), scored AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM cut LEFT JOIN means USING (no) WHERE side = 'd'
+), noisy AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scored
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+         25 * count(*) OVER (PARTITION BY n_words >= 20) // 100 AS drawn
+  FROM noisy
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+       CASE WHEN n_words >= 20 AND place <= drawn THEN place END AS rank
+FROM ranked
+"""
+
+OP12_SQL = """
+WITH pages_read AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), judged AS (
+  SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST) AS place,
+         first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST) AS kept
+  FROM pages_read
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND place > 1 THEN kept END AS refers_to
+FROM judged
+"""
+
+
+def _repair_sql() -> str:
+    """From the last row on: per grammar state the least (cost, initials, lines), straight from the rules of the edits."""
+    def insert(state: int, to: str) -> str:
+        role = "assistant" if state == 2 else "user"
+        return f"{{'cost': {to}.cost + 2, 'audit': 'I' || {to}.audit, 'lines': list_prepend('{role}:', {to}.lines)}}"
+
+    def options(state: int) -> str:
+        to, role = {0: (2, "user"), 1: (2, "user"), 2: (3, "assistant"), 3: (2, "user")}[state]
+        found = [f"{{'cost': b{state}.cost + 3, 'audit': 'D' || b{state}.audit, 'lines': b{state}.lines}}",
+                 f"CASE WHEN fault NOT IN (1, 2) THEN {{'cost': b{to}.cost + 2 + late, 'audit': 'R' || b{to}.audit, "
+                 f"'lines': list_prepend('{role}:' || text, b{to}.lines)}} END"]
+        for initial, kept in {0: (("s", 1), ("u", 2)), 1: (("u", 2),), 2: (("a", 3),), 3: (("u", 2),)}[state]:
+            found.append(f"CASE WHEN fault NOT IN (1, 2) AND substr(role, 1, 1) = '{initial}' THEN {{'cost': b{kept}.cost + late, "
+                         f"'audit': 'K' || b{kept}.audit, 'lines': list_prepend(role || ':' || text, b{kept}.lines)}} END")
+        return f"list_min([{', '.join(found)}])"
+
+    def settle(source: str, name: str, b: dict[int, str], keep: str) -> str:
+        """Inserts lead to another state of the same place: two of them pay at most."""
+        return f"""
+  SELECT {keep}, list_min([m0, {insert(0, 'n2')}]) AS b0, list_min([m1, {insert(1, 'n2')}]) AS b1, n2 AS b2, n3 AS b3 FROM (
+    SELECT *, list_min([m2, {insert(2, 'm3')}]) AS n2, list_min([m3, {insert(3, 'm2')}]) AS n3 FROM (
+      SELECT *, {b[0]} AS m0, {b[1]} AS m1, {b[2]} AS m2, {b[3]} AS m3 FROM {source}) AS {name}_m) AS {name}_n"""
+
+    done = "{'cost': 0, 'audit': '', 'lines': CAST([] AS VARCHAR[])}"
+    never = "{'cost': 1000000, 'audit': '', 'lines': CAST([] AS VARCHAR[])}"
+    return rf"""
+WITH RECURSIVE {CRC_TABLE}, given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations
+), kinds AS (
+  SELECT conv_id, turn, role, text, role || chr(10) || sha256(text) AS place, {crc32('name')} % 20 AS kind FROM given, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, place,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds WHERE kind <> 0
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, place, copy) AS no FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY no) > 1 THEN 2
+                 WHEN regexp_matches(text, '[^\x20\x09-\x0D.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY no) || substr(role, 1, 1) AS pair,
+         max(no) OVER (PARTITION BY conv_id) AS n
+  FROM ordered
+), facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+         count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (no > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+), steps AS (
+  {settle("(SELECT DISTINCT conv_id, n + 1 AS no FROM judged)", "e", {0: done, 1: never, 2: never, 3: done}, "conv_id, no")}
+  UNION ALL
+  {settle("(SELECT s.conv_id, j.no, j.role, j.text, j.fault, CASE WHEN j.fault = 3 THEN 1 ELSE 0 END AS late, b0, b1, b2, b3 "
+          "FROM steps s JOIN judged j ON j.conv_id IS NOT DISTINCT FROM s.conv_id AND j.no = s.no - 1)", "s",
+          {k: options(k) for k in range(4)}, "conv_id, no")}
+), best AS (
+  SELECT conv_id, b0 FROM steps WHERE no = 1
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b0.cost, 0) AS BIGINT) AS cost,
+       coalesce(b0.audit, '') AS audit, sha256(coalesce(array_to_string(b0.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 LLM_ORACLE: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op4_mix_sources": OP4_SQL,
+    "op11_resample": OP11_SQL,
+    "op12_warc": OP12_SQL,
+    "op13_conversation_repair": _repair_sql(),
 }
