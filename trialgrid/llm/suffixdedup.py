@@ -23,6 +23,10 @@ The suffix arrays stand on the surroundings and not on the whole corpus at once:
 recursing over all bytes would shuffle every byte's position with its names
 several times over. See the README for figures.
 
+Grams, surroundings and what windows share are told apart by 64-bit hashes (polynomials over
+bytes from a fixed random table, then mixed): as for random functions, two of m different strings
+meet with a probability of about m * m / 2 ** 65, 3e-4 for 10 ** 8; inside a side bytes are compared.
+
 Defined cases: a null or empty text has no bytes; rows that repeat a doc_id are
 taken as one document; documents without an id come before all others; texts
 under 100 bytes lose nothing; an empty table gives no rows.
@@ -35,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -213,9 +218,27 @@ def repeated_starts(lefts: list[bytes], rights: list[bytes], sides: np.ndarray,
 
 # ---------------------------------------------------------------- Spark
 
-ANCHORS_DDL = "gram bigint, around bigint, doc bigint, place int, before int, behind int"
+ANCHORS_DDL = "gram bigint, around bigint, doc bigint, place int, before int, behind int, later boolean"
 ANCHORS = pa.schema([("gram", pa.int64()), ("around", pa.int64()), ("doc", pa.int64()), ("place", pa.int32()),
-                     ("before", pa.int32()), ("behind", pa.int32())])
+                     ("before", pa.int32()), ("behind", pa.int32()), ("later", pa.bool_())])
+
+
+def _later(gram: np.ndarray, around: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which anchors have the surroundings of an earlier one among these."""
+    by = np.argsort(gram * np.uint64(BASE) ^ around, kind="stable")
+    same = (gram[by][1:] == gram[by][:-1]) & (around[by][1:] == around[by][:-1])
+    later = np.zeros(len(gram), bool)
+    if not same.any():
+        return later
+    group = np.concatenate([[0], np.cumsum(~same)])
+    many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    at, group = by[many], group[many]
+    order = np.lexsort((place[at], doc[at], group))
+    at, group = at[order], group[order]
+    head = np.concatenate([[True], group[1:] != group[:-1]])
+    first = at[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    later[at] = (doc[at] != doc[first]) | (place[at] != place[first])
+    return later
 
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +247,7 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
         def table(rows=rows):
             parts = [np.concatenate(c) for c in zip(*rows, strict=True)]
-            arrays = [parts[0].view(np.int64), parts[1].view(np.int64), *parts[2:]]
+            arrays = [parts[0].view(np.int64), parts[1].view(np.int64), *parts[2:], _later(*parts[:4])]
             out = pa.RecordBatch.from_arrays([pa.array(a, t.type) for a, t in zip(arrays, ANCHORS, strict=True)], schema=ANCHORS)
             rows.clear()
             return out
@@ -248,10 +271,17 @@ MARKS = pa.schema([("whole", pa.bool_()), ("gram", pa.int64()), ("doc", pa.int64
 
 def _mark_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by gram, surroundings, document and place. Out come anchors
-    whose surroundings are an earlier one's (whole), and the first of each kind where a class has several."""
+    whose surroundings are an earlier one's (whole), and the first of each kind where a class has several.
+    Anchors known to be later ones lie anywhere and go through as they are."""
     held = None  # the last first-of-its-kind row, and whether it is out already
     for batch in batches:
-        gram, around, doc, place, before, behind = (c.to_numpy() for c in batch.columns)
+        known = batch.filter(batch.column(6))
+        if known.num_rows:
+            yield pa.RecordBatch.from_arrays([known.column(6), known.column(0), *known.columns[2:6]], schema=MARKS)
+        batch = batch.filter(pc.invert(batch.column(6)))
+        if not batch.num_rows:
+            continue
+        gram, around, doc, place, before, behind = (c.to_numpy() for c in batch.columns[:6])
         if held is not None:
             gram, around, doc, place, before, behind = (np.concatenate([[h], c]) for h, c in zip(
                 held[0], (gram, around, doc, place, before, behind), strict=True))
@@ -380,14 +410,14 @@ def _surroundings(texts: DataFrame, first: DataFrame) -> DataFrame:
 
 def _sorted_spans(texts: DataFrame, first: DataFrame) -> DataFrame:
     around = _surroundings(texts, first).repartition("side").sortWithinPartitions("side", "doc", "start")
-    return written(around.mapInArrow(_sort_surroundings, SPANS_DDL), "suffix-spans")
+    return written(around.mapInArrow(_sort_surroundings, SPANS_DDL), "suffix-spans", "zstd", tidy=True)
 
 
 def _hot_spans(texts: DataFrame, first: DataFrame) -> DataFrame:
     """The same for anchors of hot grams. A window is what its side shares and, by its place, the
     bytes to the left and right of that: equal windows are found by an aggregation, and
     all but the earliest by a join that holds one row per window and salt."""
-    around = written(_surroundings(texts, first), "suffix-around")
+    around = written(_surroundings(texts, first), "suffix-around", "zstd", tidy=True)
     before, ahead = F.octet_length("left"), F.col("ahead")
     windows = (around.withColumn("ahead", F.explode(F.sequence(F.lit(0), F.lit(HALF))))
                .where((before >= ahead) & (F.octet_length("right") >= HALF - ahead))
@@ -403,20 +433,22 @@ def _hot_spans(texts: DataFrame, first: DataFrame) -> DataFrame:
     later = windows.join(repeated, [*window, "salt"]).where(at > F.col("earliest"))
     # windows of one row overlap, so what they cover is one span
     return written(later.groupBy("side", "doc", "start").agg(F.min("low").alias("low"), (F.max("low") + WINDOW).alias("high"))
-                   .select("doc", "low", "high"), "suffix-spans")
+                   .select("doc", "low", "high"), "suffix-spans", "zstd", tidy=True)
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(doc, spans): the bytes to remove of each document that has any; spans may overlap. texts: (doc, text)."""
-    found = texts.mapInArrow(_emit_anchors, ANCHORS_DDL).repartition("gram").sortWithinPartitions("gram", "around", "doc", "place")
-    marks = written(found.mapInArrow(_mark_classes, MARKS_DDL), "suffix-marks")
+    # anchors already known to be repeats needn't meet their class: a hot gram's rows are spread
+    dealt = F.when(F.col("later"), F.xxhash64("doc", "place")).otherwise(F.col("gram"))
+    found = texts.mapInArrow(_emit_anchors, ANCHORS_DDL).repartition(dealt).sortWithinPartitions("gram", "around", "doc", "place")
+    marks = written(found.mapInArrow(_mark_classes, MARKS_DDL), "suffix-marks", "zstd", tidy=True)
     first = marks.where("NOT whole").select("gram", "doc", "place")
-    hot = written(first.groupBy("gram").count().where(F.col("count") >= HOT_ROWS).select("gram"), "suffix-hot")
+    hot = written(first.groupBy("gram").count().where(F.col("count") >= HOT_ROWS).select("gram"), "suffix-hot", tidy=True)
     if hot.isEmpty():
         found_spans = _sorted_spans(texts, first)
-    else:  # broadcast: a gram stands for HOT_ROWS rows of `first` at least
-        found_spans = _sorted_spans(texts, first.join(F.broadcast(hot), "gram", "left_anti")).unionAll(
-            _hot_spans(texts, first.join(F.broadcast(hot), "gram", "left_semi")))
+    else:
+        found_spans = _sorted_spans(texts, first.join(hot, "gram", "left_anti")).unionAll(
+            _hot_spans(texts, first.join(hot, "gram", "left_semi")))
     whole = marks.where("whole").where(F.col("before") + F.col("behind") >= WINDOW).select(
         "doc", (F.col("place") - F.col("before")).cast("bigint").alias("low"),
         (F.col("place") + F.col("behind")).cast("bigint").alias("high"))
@@ -427,7 +459,7 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per row of `documents`: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts = pick(documents, doc=id_col, text=text_col).select(
         F.coalesce(F.col("doc").cast("bigint"), F.lit(NO_ID)).alias("doc"), "text")
-    spans = written(repeated_spans(texts), "suffix-removed").withColumnRenamed("doc", "_doc")
+    spans = written(repeated_spans(texts), "suffix-removed", "zstd", tidy=True).withColumnRenamed("doc", "_doc")
     filter_of = sieve(spans.select("_doc"))
     touched = sifted(texts, 0, filter_of).join(spans, F.col("doc") == F.col("_doc"), "left").select("doc", "text", "spans")
     rest = sifted(texts, 0, filter_of, inside=False).withColumn(

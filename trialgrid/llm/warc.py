@@ -198,8 +198,9 @@ def resolve_revisits(spark: SparkSession, path: str, out_path: str, min_bytes: i
     response per payload and revisits of it. A record's payload is read with
     the decision on it joined by record id."""
     headers = written(read_archives(spark, path, payloads=False).drop("payload"), "warc-headers", "zstd")
-    decided = revisits(headers, min_bytes).select(
-        "record_id", F.col("refers_to").alias("to"), F.col("refers_to_key").alias("to_key"))
+    # written, so that its size is known: a small table of decisions needs no shuffle of the payloads
+    decided = written(revisits(headers, min_bytes).select(
+        "record_id", F.col("refers_to").alias("to"), F.col("refers_to_key").alias("to_key")), "warc-decided", "zstd")
     records = read_archives(spark, path).join(decided, "record_id", "left")
     again = F.col("to").isNotNull()
     fresh = records.select(
