@@ -100,11 +100,41 @@ def test_frame_stack_order(spark):
     assert [(r.frame_type, r.frames) for r in out] == [("B-Frame", 3), ("P-Frame", 2), ("I-Frame", 1)]
 
 
-def test_bucketed_index_matches_sorted_index(spark):
+def _numbered(df, order, nulls_last=False):
+    rows = with_index(df, order, nulls_last=nulls_last, carry="v").collect()
+    assert [r["index"] for r in sorted(rows, key=lambda r: r["index"])] == list(range(len(rows)))
+    return [(r[order[0]], r.v, r.prev_v) for r in sorted(rows, key=lambda r: r["index"])]
+
+
+@pytest.mark.parametrize("kind", ["hash", "counted", "number", "date", "few", "nulls"])
+@pytest.mark.parametrize("nulls_last", [False, True])
+def test_index_of_any_order(spark, kind, nulls_last):
+    """Labels and the row before, against a plain sort; ranges are balanced where keys differ."""
+    import datetime
     import hashlib
-    ids = [hashlib.sha256(str(i % 700).encode()).hexdigest() for i in range(1000)]   # with duplicates
-    df = spark.createDataFrame([(h, i) for i, h in enumerate(ids)], "id string, v long").repartition(5)
-    from trialgrid.operators.index import hex_bucket
-    a = {(r.id, r.v): r["index"] for r in with_index(df, ["id", "v"]).collect()}
-    b = {(r.id, r.v): r["index"] for r in with_index(df, ["id", "v"], bucket=hex_bucket("id", 2)).collect()}
-    assert a == b and sorted(a.values()) == list(range(1000))
+    make = {"hash": lambda i: hashlib.sha256(str(i % 700).encode()).hexdigest(), "counted": lambda i: f"trial-{i}",
+            "number": lambda i: (i * 37) % 501 - 250.5, "date": lambda i: datetime.date(2000, 1, 1) + datetime.timedelta(i % 400),
+            "few": lambda i: "ab"[i % 2], "nulls": lambda i: None if i % 3 else f"id{i}"}[kind]
+    rows = [(make(i), i) for i in range(1000)]
+    types = {"number": "double", "date": "date"}.get(kind, "string")
+    df = spark.createDataFrame(rows, f"k {types}, v long").repartition(5)
+    want = sorted(rows, key=lambda r: ((r[0] is None) == nulls_last, r[0] if r[0] is not None else 0, r[1]) if r[0] is not None
+                  else (nulls_last, 0, r[1])) if kind != "nulls" else sorted(
+        rows, key=lambda r: ((r[0] is None) if nulls_last else (r[0] is not None), r[0] or "", r[1]))
+    got = _numbered(df, ["k", "v"], nulls_last)
+    assert [(k, v) for k, v, _ in got] == want
+    assert [p for _, _, p in got] == [None, *[v for _, v in want[:-1]]]
+
+
+def test_index_ranges_are_balanced(spark):
+    from trialgrid.operators import index
+    for prefix in ("id", "a-long-prefix-that-all-ids-share/", ""):
+        df = spark.range(20000).select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("id"))
+        number = index._as_number(df, "id")
+        split = index._splitters(df, number)
+        sizes = [r["count"] for r in df.groupBy(index._range_of(number, split, False)).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+
+
+def test_index_of_an_empty_table(spark):
+    assert with_index(spark.createDataFrame([], "k string, v long"), ["k"], carry="v").collect() == []

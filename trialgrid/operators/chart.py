@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialgrid.operators.index import hex_bucket, with_index
+from trialgrid.operators.index import with_index
 
 # The chart's projection (output name -> flat trial column);
 # size and rate are divided by 1000 again.
@@ -52,17 +52,20 @@ def _chart_col(name, src):
     return F.col(src).alias(name)
 
 
+def chart_columns() -> list:
+    """The chart projection as expressions over the flat trial table."""
+    return [_chart_col(n, s) for n, s in CHART_FIELDS]
+
+
 def chart_rows(trials: DataFrame, order: list[str] | str = "id", index: bool = True) -> DataFrame:
     """26-column chart projection; size and rate divided by 1000 again (the
     names are kept, the unit becomes MiB-ish / Mibit/s as in the reference)."""
-    cols = [_chart_col(n, s) for n, s in CHART_FIELDS]
+    cols = chart_columns()
     if not index:
         return trials.select(*cols)
     order = [order] if isinstance(order, str) else list(order)
     keys = [f"_tg_o{i}" for i in range(len(order))]
-    bucket = hex_bucket(keys[0]) if order[0] == "id" else None
-    return with_index(trials.select(*[F.col(c).alias(k) for c, k in zip(order, keys)], *cols),
-                      keys, bucket=bucket).drop(*keys)
+    return with_index(trials.select(*[F.col(c).alias(k) for c, k in zip(order, keys)], *cols), keys).drop(*keys)
 
 
 def codec_filter(rows: DataFrame, codecs: list[str] | None) -> DataFrame:

@@ -1,83 +1,119 @@
 """Dense 0-based row index under a total order (W1), without a one-task window.
 
 `row_number() OVER (ORDER BY k)` puts every row into one task. Instead:
-1. `orderBy(k)` range-partitions and sorts (a distributed sort);
-2. each row's position inside its partition comes from
-   `monotonically_increasing_id()` (partition id in the upper bits);
-3. the tagged rows are written once as a Parquet table under the cluster's
-   shared `spark.checkpoint.dir` and read back (this cuts the lineage): the
-   partition count and the join below must see the very same rows, and a
-   recomputation after a lost executor, or an optimizer that drops the sort
-   in the counting branch, would not guarantee that;
-4. per-partition row counts (one row per partition: bounded by the partition
-   count, hence safe to broadcast) are prefix-summed into offsets;
-5. index = offset of the partition + position inside it.
-Ties in `order` get an arbitrary but consistent order; pass a total order for
+1. a mergeable quantile sketch (KLL) of the first order column gives splitters
+   that cut the rows into ranges of about equal size; they are frozen as
+   literals, so a row's range is a pure function of the row;
+2. exact counts per range (a partial aggregate, one row per range) are
+   prefix-summed into offsets;
+3. rows are numbered inside their range (one shuffle by range);
+   index = offset of the range + position inside it.
+Nothing is written in between, and a lost executor's rows get the same labels
+when they are computed again. Numbers, dates and timestamps go into the sketch
+as they are. A text goes in as the number that its bytes spell after the
+prefix all values share, so any text order is cut evenly, hashed ids or
+`id1, id2, ..`. Rows that tie in the first column (up to seven bytes after the
+shared prefix) lie in one range.
+
+Ties in the whole order get an arbitrary position; pass a total order for
 reproducible labels.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialgrid.session import scratch_path
 
+SKETCH_K = 2048
+ROWS_PER_RANGE = 1 << 18
+MOST_RANGES = 4096
+PREFIX_BYTES = 7
+
+
+def _order(names: list[str], nulls_last: bool) -> list[Column]:
+    return [F.col(f"`{c}`").asc_nulls_last() if nulls_last else F.col(f"`{c}`").asc_nulls_first() for c in names]
+
+
+def _as_number(df: DataFrame, name: str) -> Column:
+    """A number that never falls as the column rises."""
+    kind, c = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, T.StringType):
+        low, high = df.agg(F.min(c), F.max(c)).first()
+        shared = len(os.path.commonprefix([(low or "").encode(), (high or "").encode()]))
+        digits = F.hex(F.substring(F.encode(c, "UTF-8"), shared + 1, PREFIX_BYTES))
+        return F.conv(F.rpad(digits, 2 * PREFIX_BYTES, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return c.cast("double")
+    raise TypeError(f"can't order by {name}: {kind.simpleString()}")
+
 
-def with_index(df: DataFrame, order: list, name: str = "index", bucket: Column | None = None) -> DataFrame:
-    """Dense 0-based `name` under `order`.
-
-    With `bucket` -- a column that is a deterministic, non-decreasing function
-    of the order and spreads rows evenly (a hex prefix of a SHA-256 id) -- no
-    sort-sampling or materialisation is needed: per-bucket counts (a partial
-    aggregate) are prefix-summed over one row per bucket, and rows are
-    numbered inside their bucket. Every step is a pure function of the rows,
-    so a recomputation after a lost executor gives the same labels.
-    """
-    if bucket is not None:
-        return _with_index_bucketed(df, order, name, bucket)
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    sorted_df = df.orderBy(*order_cols)
-    tagged = materialize(sorted_df
-                         .withColumn("_tg_pid", F.spark_partition_id())
-                         .withColumn("_tg_pos", F.monotonically_increasing_id()
-                                     - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)),
-                         "index")
-    sizes = tagged.groupBy("_tg_pid").agg(F.count(F.lit(1)).alias("_tg_n"))
-    before = Window.orderBy("_tg_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_tg_pid", F.coalesce(F.sum("_tg_n").over(before), F.lit(0)).alias("_tg_off"))
-    out = (tagged.join(F.broadcast(offsets), "_tg_pid")
-           .withColumn(name, (F.col("_tg_off") + F.col("_tg_pos")).cast("bigint"))
-           .drop("_tg_pid", "_tg_pos", "_tg_off"))
-    return out.select(name, *[c for c in out.columns if c != name])
-
-
-def _with_index_bucketed(df: DataFrame, order: list, name: str, bucket: Column) -> DataFrame:
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    b = df.withColumn("_tg_b", bucket)
-    counts = b.groupBy("_tg_b").agg(F.count(F.lit(1)).alias("_tg_n"))
-    before = Window.orderBy("_tg_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_tg_b", F.coalesce(F.sum("_tg_n").over(before), F.lit(0)).alias("_tg_off"))
-    ranked = b.withColumn("_tg_rn", F.row_number().over(Window.partitionBy("_tg_b").orderBy(*order_cols)))
-    out = (ranked.join(offsets, "_tg_b")
-           .withColumn(name, (F.col("_tg_off") + F.col("_tg_rn") - 1).cast("bigint"))
-           .drop("_tg_b", "_tg_rn", "_tg_off"))
-    return out.select(name, *[c for c in out.columns if c != name])
-
-
-def hex_bucket(col: str, digits: int = 4) -> Column:
-    """Order-preserving, uniform bucket of a lowercase hex hash column."""
-    return F.substring(F.col(col), 1, digits)
+def _splitters(df: DataFrame, number: Column) -> list[float]:
+    """Values that cut the rows into ranges of about equal size."""
+    sketch = df.agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(number, SKETCH_K).alias("sketch")).first()
+    if not sketch["n"] or sketch["sketch"] is None:
+        return []
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = min(MOST_RANGES, max(least, -(-sketch["n"] // ROWS_PER_RANGE)))
+    one = df.sparkSession.createDataFrame([(sketch["sketch"],)], "sketch binary")
+    shares = F.array(*[F.lit(i / pieces) for i in range(1, pieces)]) if pieces > 1 else None
+    if shares is None:
+        return []
+    return sorted(set(one.select(F.kll_sketch_get_quantile_double("sketch", shares)).first()[0]))
+
+
+def _range_of(number: Column, splitters: list[float], nulls_last: bool) -> Column:
+    """How many splitters are at most `number`: a search tree of literals."""
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(number < F.lit(splitters[middle]), search(low, middle)).otherwise(search(middle + 1, high))
+
+    at_null = F.lit(len(splitters) if nulls_last else 0)
+    return F.when(number.isNull(), at_null).otherwise(search(0, len(splitters)))
+
+
+def with_index(df: DataFrame, order: list[str], name: str = "index", nulls_last: bool = False, carry: str | None = None) -> DataFrame:
+    """`df` with a dense 0-based `name` under ascending `order` (column names)
+    as its first column. With `carry`, `prev_<carry>` holds that column of the
+    row before (null for the first): inside a range by a window, for a range's
+    first row from the last row of the range before it, one row per range."""
+    number = _as_number(df, order[0])
+    ranged = df.withColumn("_range", _range_of(number, _splitters(df, number), nulls_last))
+    keys = _order(order, nulls_last)
+    inside = Window.partitionBy("_range").orderBy(*keys)
+    facts = [F.count(F.lit(1)).alias("_n")]
+    placed = ranged.withColumn("_at", F.row_number().over(inside))
+    if carry:
+        placed = placed.withColumn("_lag", F.lag(F.col(carry)).over(inside))
+        # the range's last row: what sorts last under `order`
+        rank = F.struct(*[p for c in order for p in ((F.col(f"`{c}`").isNull() == F.lit(nulls_last)).alias(f"n_{c}"), F.col(f"`{c}`").alias(f"v_{c}"))])
+        facts.append(F.max_by(F.struct(F.col(carry).alias("v")), rank).alias("_last"))
+    per_range = ranged.groupBy("_range").agg(*facts)  # one row per range, MOST_RANGES at most
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offset = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")]
+    if carry:
+        offset.append(F.lag("_last").over(Window.orderBy("_range")).getField("v").alias("_carried"))
+    joined = placed.join(F.broadcast(per_range.select("_range", *offset)), "_range")
+    out = joined.withColumn(name, (F.col("_off") + F.col("_at") - 1).cast("bigint"))
+    if carry:
+        out = out.withColumn(f"prev_{carry}", F.when(F.col("_at") == 1, F.col("_carried")).otherwise(F.col("_lag")))
+    wanted = [c for c in df.columns if c != name]
+    return out.select(name, *[f"`{c}`" for c in wanted], *([f"prev_{carry}"] if carry else []))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to a fresh folder under the shared checkpoint folder and
     read it back: a lineage cut that survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def order_key(*cols: str) -> list[Column]:
-    """Ascending with NULLs last (the SQL engines' default for ASC differs)."""
-    return [F.col(c).asc_nulls_last() for c in cols]
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,8 +1,8 @@
 """Run progress.
 
-`progress_eta` replaces a global `lag() OVER (ORDER BY ...)` (one task) by a
-dense distributed index and an equi-join of each trial with its predecessor
-(index - 1), which shuffles in parallel on the index.
+`progress_eta` replaces a global `lag() OVER (ORDER BY ...)` (one task) by the
+dense distributed index, whose ranges hand the lap of their last row on to the
+range after them: one shuffle numbers the rows and finds their predecessors.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialgrid.functions.timefmt import format_seconds
-from trialgrid.operators.index import hex_bucket, with_index
+from trialgrid.operators.index import with_index
 
 
 def completeness(trials: DataFrame) -> DataFrame:
@@ -34,11 +34,8 @@ def progress_eta(trials: DataFrame, order: str = "id") -> DataFrame:
     ETA = lap x (N - index0), with their "DDd, HHhMMmSSs" texts."""
     n = trials.count()
     # The lap breaks ties between trials sharing an order key.
-    laps = with_index(lap_seconds(trials.withColumnRenamed(order, "id") if order != "id" else trials),
-                      [F.col("id"), F.col("lap")], name="idx",
-                      bucket=hex_bucket("id") if order == "id" else None)
-    prev = laps.select((F.col("idx") + F.lit(1)).alias("idx"), F.col("lap").alias("prev_lap"))
-    j = laps.select("idx", "id").join(prev, "idx", "left")
+    laps = lap_seconds(trials.withColumnRenamed(order, "id") if order != "id" else trials)
+    j = with_index(laps, ["id", "lap"], name="idx", carry="lap")
     lap = F.coalesce(F.col("prev_lap"), F.lit(0.0))
     lap_whole = F.floor(lap).cast("bigint")
     eta = F.floor(lap * (F.lit(n) - F.col("idx")).cast("double")).cast("bigint")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialgrid.operators.index import hex_bucket, order_key, with_index
+from trialgrid.operators.index import materialize, with_index
 
 # Flat report columns (reference order); names are columns of the flat trial
 # table. `ssim_mean` / `vmaf_mean` hold the harmonic means.
@@ -40,16 +40,18 @@ def report_rows(trials: DataFrame) -> DataFrame:
     return trials.select(*FLAT_COLUMNS)
 
 
-def flat_report(trials: DataFrame, order: list[str] | str = "id") -> DataFrame:
-    """Flat report with a dense `index` in trial order (`order` columns of the
-    trial table; give a total order for reproducible labels). An order led by
-    the hashed trial id uses the bucketed index (no sort-sampling, no
-    materialisation)."""
+def ordered_rows(trials: DataFrame, order: list[str] | str = "id") -> tuple[DataFrame, list[str]]:
+    """The flat projection with its order columns beside it, and their names."""
     order = [order] if isinstance(order, str) else list(order)
     keys = [f"_tg_o{i}" for i in range(len(order))]
-    flat = trials.select(*[F.col(c).alias(k) for c, k in zip(order, keys)], *FLAT_COLUMNS)
-    bucket = hex_bucket(keys[0]) if order[0] == "id" else None
-    return with_index(flat, keys, bucket=bucket).drop(*keys)
+    return trials.select(*[F.col(c).alias(k) for c, k in zip(order, keys)], *FLAT_COLUMNS), keys
+
+
+def flat_report(trials: DataFrame, order: list[str] | str = "id") -> DataFrame:
+    """Flat report with a dense `index` in trial order (`order` columns of the
+    trial table; give a total order for reproducible labels)."""
+    rows, keys = ordered_rows(trials, order)
+    return with_index(rows, keys).drop(*keys)
 
 
 def _grouped(trials: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,12 +59,19 @@ def _grouped(trials: DataFrame, keys: list[str]) -> DataFrame:
     return trials.groupBy(*keys).agg(*aggs)
 
 
+def numbered_groups(groups: DataFrame, kind: str) -> DataFrame:
+    """A grouped report (kind "type" or "option") with its index, in key order.
+    The groups are written once: they are few, and their aggregation is not."""
+    keys, cols = (TYPE_KEYS, TYPE_COLUMNS) if kind == "type" else (OPTION_KEYS, OPTION_COLUMNS)
+    return with_index(materialize(groups, "groups"), keys, nulls_last=True).select(*cols)
+
+
 def report_by_type(trials: DataFrame, index: bool = True) -> DataFrame:
     """Per (codec, type, preset, threads, ref_type, outfile_options)."""
     g = _grouped(trials, TYPE_KEYS)
     if not index:
         return g.select(*[c for c in TYPE_COLUMNS if c != "index"])
-    return with_index(g, order_key(*TYPE_KEYS)).select(*TYPE_COLUMNS)
+    return numbered_groups(g, "type")
 
 
 def report_by_option(trials: DataFrame, index: bool = True) -> DataFrame:
@@ -71,4 +80,4 @@ def report_by_option(trials: DataFrame, index: bool = True) -> DataFrame:
     g = _grouped(trials, OPTION_KEYS)
     if not index:
         return g.select(*[c for c in OPTION_COLUMNS if c != "index"])
-    return with_index(g, order_key(*OPTION_KEYS)).select(*OPTION_COLUMNS)
+    return numbered_groups(g, "option")

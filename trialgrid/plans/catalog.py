@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from trialgrid.functions import command, ids, metrics, paths, timefmt
 from trialgrid.operators import chart, frames, grid, probe, progress, reports, select, summary
 from trialgrid.session import scratch_path
-from trialgrid.sources import files, tables
+from trialgrid.schemas import METRIC_SCHEMA, TRIAL_COLUMNS
+from trialgrid.sources import files, logs, tables
 from trialgrid.sources.trials import nest_trials
 from trialgrid.streaming import live
 
@@ -143,6 +144,61 @@ def q_report_roundtrip(spark, d):
     return rounded(files.read_report(spark, out["type"], "type"))
 
 
+def q_reports_written(spark, d):
+    """S5 + S2: all three report files, each read back with its declared schema."""
+    out = files.write_reports(_trials(spark, d), scratch_path(spark, "reports") + "/data.json", TRIAL_ORDER)
+    read = [files.read_report(spark, out[k], k).select(F.lit(k).alias("kind"), "*") for k in ("all", "type", "option")]
+    return rounded(read[0].unionByName(read[1], allowMissingColumns=True).unionByName(read[2], allowMissingColumns=True))
+
+
+def q_has_trials(spark, d):
+    """What the guard says of the committed trials, of an empty file and of none."""
+    path = scratch_path(spark, "trials")
+    trials = nest_trials(_trials(spark, d))
+    files.commit_results(trials, path + "/some")
+    files.commit_results(trials.limit(0), path + "/empty")
+    found = [(name, files.has_trials(spark, f"{path}/{name}")) for name in ("some", "empty", "none")]
+    return spark.createDataFrame(found, "name string, has_trials boolean")
+
+
+def q_saved_trials(spark, d):
+    """The known cells and the new ones saved by the three-way rule, then saved again unchanged; read back."""
+    path, old = scratch_path(spark, "saved"), _grid(spark, d, previous=True).select("id", "config")
+    both = old.unionByName(grid.new_trials(_grid(spark, d), old).select("id", "config"))
+    said = [grid.save_trials(old, both, path, new_config=False)]
+    saved = grid.read_saved(both, path)
+    said.append(grid.save_trials(saved, saved.dropDuplicates(["id"]), path, new_config=False))
+    return saved.withColumn("said", F.lit(" ".join(said)))
+
+
+def q_probe_log_files(spark, d):
+    """S3 + S11: one probe log file per supplier, read by the log source, their frames
+    counted and stripped, what is left written and read back."""
+    path = scratch_path(spark, "probe-files")
+    (tables.supplier_probe_logs(spark, d).repartition("s_suppkey")
+     .write.partitionBy("s_suppkey").option("maxRecordsPerFile", 1).json(path + "/logs"))
+    read = files.read_probe_logs(spark, path + "/logs")
+    counted = read.withColumn("n_frames", F.size("frames").cast("bigint")).withColumn(
+        "n_i_frames", F.size(F.filter("frames", lambda f: f["pict_type"] == F.lit("I"))).cast("bigint"))
+    files.write_probe_logs(probe.strip_frames(counted), path + "/stripped")
+    back = spark.read.parquet(path + "/stripped")
+    return back.select(F.regexp_extract("path", r"s_suppkey=(\d+)/", 1).cast("bigint").alias("s_suppkey"),
+                       F.col("format.size").alias("size"), F.col("format.bit_rate").alias("bit_rate"),
+                       F.get("streams", F.lit(0))["refs"].alias("refs"), "n_frames", "n_i_frames",
+                       F.array_contains(F.lit(back.columns), "frames").alias("has_frames"))
+
+
+def q_metric_log_files(spark, d):
+    """The quality-score logs of all lines in files of many records, read by the log source in byte ranges."""
+    path = scratch_path(spark, "metric-files")
+    tables.metric_logs_from_tables(spark, d).withColumnRenamed("path", "stem").write.json(path)
+    read = logs.read_logs(spark, path, T.StructType([T.StructField("stem", T.StringType()), *METRIC_SCHEMA.fields]),
+                          range_bytes=4 << 20)
+    pooled = "pooled_metrics."
+    return rounded(read.select("stem", "version", *[F.col(f"{pooled}{m}.{x}").alias(f"{n}_{x}") for m, n in
+                                                    (("float_ssim", "ssim"), ("vmaf", "vmaf")) for x in ("min", "max", "mean", "harmonic_mean")]))
+
+
 def q_trial_records(spark, d):
     """S8 + S1: commit trials as nested records (append-only Parquet), read
     them back and flatten; every leaf is compared."""
@@ -151,6 +207,20 @@ def q_trial_records(spark, d):
     return rounded(files.read_trials(spark, path, fmt="parquet"))
 
 
+def q_current_trials(spark, d):
+    """All trials committed once, then the open ones and the returned ones
+    again with other measurements; the state after the three commits."""
+    path = scratch_path(spark, "current")
+    trials = _trials(spark, d).select("id", "codec", "type", "ref_type", "outfile_options", "outfile_hash", "enc_sec",
+                                      "outfile_size_kbyte")
+    deliveries = [F.lit(True), F.col("ref_type") == F.lit("O"), F.col("type") == F.lit("R")]
+    for no, which in enumerate(deliveries):
+        results = (trials.where(which).withColumn("commit_no", F.lit(no).cast("bigint"))
+                   .withColumn("enc_sec", F.col("enc_sec") + F.lit(float(no))))
+        files.commit_current(results, path, ["commit_no", "enc_sec", "outfile_size_kbyte"], n_buckets=16)
+    return rounded(files.read_current(spark, path, results.schema))
+
+
 def q_file_hashes(spark, d):
     """One clip file per nation holding its suppliers' names (one line
     each, in key order), hashed whole with the binaryFile source; the file
@@ -195,7 +265,7 @@ def q_param_grid(spark, d):
 
 def q_grid_size(spark, d):
     """Number of grid cells per sweep."""
-    return grid.grid_sizes(tables.patterns_from_tables(spark, d), tables.references_from_tables(spark, d))
+    return grid.grid_sizes(tables.patterns_from_tables(spark, d), tables.references_from_tables(spark, d)).select("config", "cells")
 
 
 def q_new_trials(spark, d):
@@ -345,6 +415,20 @@ def q_enrich_trials(spark, d):
     return rounded(out)
 
 
+def q_enriched_records(spark, d):
+    """J6 + F1: whole nested records from landed trials and logs, committed and read back; every leaf is compared."""
+    trials = _trials(spark, d, keep_keys=True)
+    by_stem = (trials.select(F.col("outfile_filename").alias("stem"), F.concat(F.lit("u/"), F.col("l_suppkey").cast("string")).alias("file"))
+               .join(_frame_info(spark, d), "file").drop("file").withColumnRenamed("stem", "file"))
+    records = probe.record_results(
+        probe.land_trials(trials.select(*TRIAL_COLUMNS), tables.base_probes_from_tables(spark, d)),
+        probe.land_probes(tables.out_probes_from_tables(spark, d)), probe.land_metrics(tables.metric_logs_from_tables(spark, d)),
+        probe.land_frames(by_stem), probe.land_runs(tables.runs_from_trials(trials)))
+    path = scratch_path(spark, "records")
+    files.commit_results(records, path)
+    return rounded(files.read_trials(spark, path, fmt="parquet"))
+
+
 def q_verify_references(spark, d):
     return probe.verify_references(tables.references_from_suppliers(spark, d),
                                    tables.file_hashes_from_suppliers(spark, d),
@@ -409,9 +493,9 @@ def q_stream_dedupe(spark, d):
     """Trials per codec after de-duplicating re-delivered results by id."""
     part = tables.table(spark, d, "part")
     work = _scratch(spark)
-    trials = live.dedupe_results(tables.trials_from_frames(_lineitem_stream(spark, d), part))
-    counts = trials.groupBy("codec").agg(F.count(F.lit(1)).alias("trials"))
-    return live.run_to_table(spark, counts, os.path.join(work, "counts"), os.path.join(work, "ckpt"))
+    trials = tables.trials_from_frames(_lineitem_stream(spark, d), part).select("id", "codec")
+    once = live.dedupe_results(trials, os.path.join(work, "results"), os.path.join(work, "ckpt"))
+    return once.groupBy("codec").agg(F.count(F.lit(1)).alias("trials"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

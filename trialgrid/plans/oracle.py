@@ -355,6 +355,31 @@ FROM trials JOIN orders ON l_orderkey = o_orderkey
   JOIN mt ON mt.stem = trials.outfile_filename
   JOIN fi ON fi.file = 'u/' || CAST(l_suppkey AS VARCHAR)"""
 
+_PER_STEM = ENRICH_TRIALS[:ENRICH_TRIALS.index("SELECT id,")].rstrip()
+_RECORD = {
+    "infile_duration": D(120), "infile_size_kbyte": f"CAST({_BASE_SIZE} AS DOUBLE) / {D(1024)}",
+    "outfile_hash": "rn.hash", "outfile_bit_rate_kbs": f"CAST({_OUT_RATE} AS DOUBLE) / {D(1024)}",
+    "outfile_duration": f"{D(120)} - op.p_disc", "outfile_size_kbyte": f"CAST({_OUT_SIZE} AS DOUBLE) / {D(1024)}",
+    "gop": "fs.gop", "has_b_frames": "CAST(op.p_ln % 3 AS BIGINT)", "refs": "CAST(1 + op.p_sk % 4 AS BIGINT)",
+    "fI": 'fs."I"', "fP": 'fs."P"', "fB": 'fs."B"', "fT": "fs.total", "commandline": "'enc ' || rn.stem",
+    "enc_sec": "rn.enc_sec", "enc_time": "rn.enc_time", "enc_fps": "CAST(fs.total AS DOUBLE) / rn.enc_sec",
+    "enc_speed": f"({D(120)} - op.p_disc) / rn.enc_sec",
+    "comp_ratio_persent": f"{D(1)} - CAST({_OUT_SIZE} AS DOUBLE) / CAST({_BASE_SIZE} AS DOUBLE)",
+    "probe_sec": "rn.probe_sec", "probe_time": "rn.probe_time", "vmaf_sec": "rn.vmaf_sec", "vmaf_time": "rn.vmaf_time",
+    "vmaf_version": "'2.3.1'", "vmaf_commandline": "'vmaf ' || rn.stem",
+    "ssim_min": f"{D(1)} - mt.m_tax", "ssim_max": D(1), "ssim_amean": f"{D(1)} - mt.m_tax / {D(10)}", "ssim_mean": f"{D(1)} - mt.m_tax / {D(5)}",
+    "vmaf_min": f"{D(60)} + mt.m_q / {D(2)}", "vmaf_max": D(100), "vmaf_amean": f"{D(91)} + {D(1.5)} * CAST(mt.m_ln AS DOUBLE)",
+    "vmaf_mean": f"{D(90)} + {D(1.5)} * CAST(mt.m_ln AS DOUBLE)",
+}
+ENRICHED_RECORDS = f"""{_PER_STEM},
+rn AS (SELECT outfile_filename AS stem, outfile_hash AS hash, enc_sec, enc_time, probe_sec, probe_time, vmaf_sec, vmaf_time FROM trials),
+fs AS (SELECT outfile_filename AS stem, fi.gop, fi."I", fi."P", fi."B", fi.total
+       FROM trials JOIN fi ON fi.file = 'u/' || CAST(l_suppkey AS VARCHAR))
+SELECT {", ".join(R(_RECORD.get(c, "trials." + c), c) if c in RECORD_DOUBLES else f'{_RECORD.get(c, "trials." + c)} AS "{c}"' for c in RECORD_COLS)}
+FROM trials JOIN orders ON l_orderkey = o_orderkey
+  JOIN op ON op.stem = trials.outfile_filename JOIN mt ON mt.stem = trials.outfile_filename
+  JOIN rn ON rn.stem = trials.outfile_filename JOIN fs ON fs.stem = trials.outfile_filename"""
+
 REFS = """refs AS (SELECT s_name AS name, 'T' || CAST(s_nationkey AS VARCHAR) AS type,
   'refs/' || s_name || '.m2ts' AS basefile, sha256(s_name) AS basehash, s_acctbal FROM supplier)"""
 VERIFY_REFERENCES = f"""WITH {REFS}
@@ -400,9 +425,13 @@ NO_EFFECT = (f"WITH {TRIALS}, {TR}, {DELTAS} SELECT {_DSEL} FROM d WHERE abs(siz
              f"AND greatest(abs(d_vmaf_min), abs(d_vmaf_mean)) <= {D(2.0)} AND abs(d_ssim_mean) <= {D(0.01)} "
              f"AND abs(d_comp_ratio_persent) <= {D(0.05)}")
 
+FLAT_REPORT = (f"WITH {TRIALS} SELECT row_number() OVER (ORDER BY id, enc_sec, outfile_size_kbyte) - 1 AS index, "
+                    f"{_sel(FLAT_COLS)} FROM trials")
+SAVED_TRIALS = (f"WITH {GRID_BASE}, {_grid('g', False)}, {_grid('old', True)} SELECT id, config, 'written unchanged' AS said FROM old "
+                "UNION ALL SELECT id, config, 'written unchanged' FROM g WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.id = g.id)")
+
 ORACLE: dict[str, str] = {
-    "flat_report": (f"WITH {TRIALS} SELECT row_number() OVER (ORDER BY id, enc_sec, outfile_size_kbyte) - 1 AS index, "
-                    f"{_sel(FLAT_COLS)} FROM trials"),
+    "flat_report": FLAT_REPORT,
     "type_report": _report(TYPE_KEYS),
     "option_report": _report(OPTION_KEYS),
     "quality_gate": QUALITY_GATE,
@@ -426,6 +455,21 @@ ORACLE: dict[str, str] = {
                     "SELECT \"group\", 1, 'P-Frame', stream_frames_p FROM grp UNION ALL "
                     "SELECT \"group\", 2, 'I-Frame', stream_frames_i FROM grp"),
     "report_roundtrip": _report(TYPE_KEYS),
+    "reports_written": (f"SELECT 'all' AS kind, * FROM ({FLAT_REPORT}) UNION ALL BY NAME SELECT 'type' AS kind, * FROM ({_report(TYPE_KEYS)}) "
+                        f"UNION ALL BY NAME SELECT 'option' AS kind, * FROM ({_report(OPTION_KEYS)})"),
+    "has_trials": ("SELECT 'some' AS name, EXISTS (SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey) AS has_trials "
+                   "UNION ALL VALUES ('empty', false), ('none', false)"),
+    "saved_trials": SAVED_TRIALS,
+    "probe_log_files": f"""SELECT s_suppkey, CAST(CAST(round(abs(s_acctbal) * {D(1024)}) AS BIGINT) AS VARCHAR) AS size,
+        CAST(CAST(round(abs(s_acctbal)) AS BIGINT) AS VARCHAR) AS bit_rate, CAST(1 + s_suppkey % 4 AS BIGINT) AS refs,
+        count(l_suppkey) AS n_frames, (count(l_suppkey) + 9) // 10 AS n_i_frames, false AS has_frames
+      FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL""",
+    "metric_log_files": f"""SELECT {_STEM} || '_vmaf.json' AS stem, '2.3.1' AS version, {R(f'{D(1)} - l_tax', 'ssim_min')}, {R(D(1), 'ssim_max')},
+        {R(f'{D(1)} - l_tax / {D(10)}', 'ssim_mean')}, {R(f'{D(1)} - l_tax / {D(5)}', 'ssim_harmonic_mean')},
+        {R(f'{D(60)} + l_quantity / {D(2)}', 'vmaf_min')}, {R(D(100), 'vmaf_max')},
+        {R(f'{D(91)} + {D(1.5)} * CAST(l_linenumber AS DOUBLE)', 'vmaf_mean')},
+        {R(f'{D(90)} + {D(1.5)} * CAST(l_linenumber AS DOUBLE)', 'vmaf_harmonic_mean')} FROM lineitem""",
+    "enriched_records": ENRICHED_RECORDS,
     "trial_records": f"WITH {TRIALS} SELECT {_sel(RECORD_COLS, RECORD_DOUBLES)} FROM trials",
     "file_hashes": ("SELECT s_nationkey, sha256(string_agg(s_name || chr(10), '' ORDER BY s_suppkey)) AS sha256 "
                     "FROM supplier GROUP BY s_nationkey"),
@@ -468,5 +512,11 @@ ORACLE: dict[str, str] = {
     "stream_chart_groups": CHART_GROUPS.replace(
         ROWS, "latest AS (SELECT * FROM trials QUALIFY row_number() OVER (PARTITION BY id ORDER BY l_shipdate DESC, "
               "enc_sec DESC, outfile_size_kbyte DESC) = 1), " + ROWS.replace("FROM trials", "FROM latest")),
+    "current_trials": f"""WITH {TRIALS}, deliveries AS (
+        SELECT *, 0 AS no FROM trials UNION ALL SELECT *, 1 FROM trials WHERE ref_type = 'O'
+        UNION ALL SELECT *, 2 FROM trials WHERE type = 'R')
+      SELECT id, codec, type, ref_type, outfile_options, outfile_hash, CAST(no AS BIGINT) AS commit_no,
+             {R('enc_sec + no', 'enc_sec')}, {R('outfile_size_kbyte', 'outfile_size_kbyte')}
+      FROM deliveries QUALIFY row_number() OVER (PARTITION BY id ORDER BY no DESC, enc_sec DESC, outfile_size_kbyte DESC) = 1""",
     "stream_dedupe": f"WITH {TRIALS} SELECT codec, COUNT(DISTINCT id) AS trials FROM trials GROUP BY codec",
 }

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,15 +83,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/trialgrid-{app}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy", tidy: bool = False) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back: cuts
-    the lineage and lets several readers share one computation."""
+    the lineage and lets several readers share one computation. With `tidy`
+    the shuffle files of the computation go as soon as it is written, instead
+    of when the driver's memory is next cleaned."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("errorifexists").option("compression", compression).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    if tidy:
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("errorifexists").option("compression", compression).parquet(path)
+    finally:
+        if tidy:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_table(df: DataFrame, name: str, compression: str = "zstd"):
+    """`written`, for as long as the block runs: the table is removed at its end."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("errorifexists").option("compression", compression).parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def last_version(spark: SparkSession, path: str) -> int | None:
     """Number of the last folder `path/version=N` that was written whole (it
     has a success marker), looked up by the path's own file system."""

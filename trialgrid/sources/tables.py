@@ -193,6 +193,31 @@ def out_probes_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.lit(1) + F.col("l_suppkey") % 4).cast("bigint").alias("refs"))).alias("streams"))
 
 
+def runs_from_trials(trials: DataFrame) -> DataFrame:
+    """What the runner reports of each finished output."""
+    stem = F.col("outfile_filename")
+    return trials.select(stem.alias("stem"), F.col("outfile_hash").alias("hash"), F.concat(F.lit("enc "), stem).alias("commandline"),
+                         F.col("enc_sec").alias("encode_seconds"), F.col("probe_sec").alias("probe_seconds"),
+                         F.col("vmaf_sec").alias("vmaf_seconds"), F.concat(F.lit("vmaf "), stem).alias("vmaf_commandline"))
+
+
+def supplier_probe_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One probe log per supplier, frames included: a frame per line that the
+    supplier ships, every tenth from the first on an I frame."""
+    li, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    shipped = li.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    pict = lambda i: F.when(i % 10 == 0, F.lit("I")).when(i % 2 == 0, F.lit("P")).otherwise(F.lit("B"))
+    frames = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda i: F.struct(pict(i).alias("pict_type")))
+    none = F.array().cast("array<struct<pict_type:string>>")
+    return s.join(shipped, F.col("s_suppkey") == F.col("l_suppkey"), "left").select(
+        F.col("s_suppkey"),
+        F.struct(F.lit("120.0").alias("duration"), _bytes_text(F.abs(F.col("s_acctbal")) * _d(1024)).alias("size"),
+                 _bytes_text(F.abs(F.col("s_acctbal"))).alias("bit_rate")).alias("format"),
+        F.array(F.struct((F.col("s_suppkey") % 3).cast("bigint").alias("has_b_frames"),
+                         (F.lit(1) + F.col("s_suppkey") % 4).cast("bigint").alias("refs"))).alias("streams"),
+        F.when(F.col("n") > 0, frames).otherwise(none).alias("frames"))
+
+
 def metric_logs_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     lq, ln = F.col("l_quantity"), F.col("l_linenumber").cast("double")
