@@ -410,14 +410,14 @@ def _surroundings(texts: DataFrame, first: DataFrame) -> DataFrame:
 
 def _sorted_spans(texts: DataFrame, first: DataFrame) -> DataFrame:
     around = _surroundings(texts, first).repartition("side").sortWithinPartitions("side", "doc", "start")
-    return written(around.mapInArrow(_sort_surroundings, SPANS_DDL), "suffix-spans", "zstd", tidy=True)
+    return written(around.mapInArrow(_sort_surroundings, SPANS_DDL), "suffix-spans", tidy=True)
 
 
 def _hot_spans(texts: DataFrame, first: DataFrame) -> DataFrame:
     """The same for anchors of hot grams. A window is what its side shares and, by its place, the
     bytes to the left and right of that: equal windows are found by an aggregation, and
     all but the earliest by a join that holds one row per window and salt."""
-    around = written(_surroundings(texts, first), "suffix-around", "zstd", tidy=True)
+    around = written(_surroundings(texts, first), "suffix-around", tidy=True)
     before, ahead = F.octet_length("left"), F.col("ahead")
     windows = (around.withColumn("ahead", F.explode(F.sequence(F.lit(0), F.lit(HALF))))
                .where((before >= ahead) & (F.octet_length("right") >= HALF - ahead))
@@ -433,7 +433,7 @@ def _hot_spans(texts: DataFrame, first: DataFrame) -> DataFrame:
     later = windows.join(repeated, [*window, "salt"]).where(at > F.col("earliest"))
     # windows of one row overlap, so what they cover is one span
     return written(later.groupBy("side", "doc", "start").agg(F.min("low").alias("low"), (F.max("low") + WINDOW).alias("high"))
-                   .select("doc", "low", "high"), "suffix-spans", "zstd", tidy=True)
+                   .select("doc", "low", "high"), "suffix-spans", tidy=True)
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -441,7 +441,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     # anchors already known to be repeats needn't meet their class: a hot gram's rows are spread
     dealt = F.when(F.col("later"), F.xxhash64("doc", "place")).otherwise(F.col("gram"))
     found = texts.mapInArrow(_emit_anchors, ANCHORS_DDL).repartition(dealt).sortWithinPartitions("gram", "around", "doc", "place")
-    marks = written(found.mapInArrow(_mark_classes, MARKS_DDL), "suffix-marks", "zstd", tidy=True)
+    marks = written(found.mapInArrow(_mark_classes, MARKS_DDL), "suffix-marks", tidy=True)
     first = marks.where("NOT whole").select("gram", "doc", "place")
     hot = written(first.groupBy("gram").count().where(F.col("count") >= HOT_ROWS).select("gram"), "suffix-hot", tidy=True)
     if hot.isEmpty():
@@ -459,7 +459,7 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per row of `documents`: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts = pick(documents, doc=id_col, text=text_col).select(
         F.coalesce(F.col("doc").cast("bigint"), F.lit(NO_ID)).alias("doc"), "text")
-    spans = written(repeated_spans(texts), "suffix-removed", "zstd", tidy=True).withColumnRenamed("doc", "_doc")
+    spans = written(repeated_spans(texts), "suffix-removed", tidy=True).withColumnRenamed("doc", "_doc")
     filter_of = sieve(spans.select("_doc"))
     touched = sifted(texts, 0, filter_of).join(spans, F.col("doc") == F.col("_doc"), "left").select("doc", "text", "spans")
     rest = sifted(texts, 0, filter_of, inside=False).withColumn(
