@@ -89,12 +89,36 @@ def test_replace_first_matches_python(spark, text):
     assert got == text.replace(".json", "_all.csv", 1)
 
 
-def test_sql_round_ties_independent_of_summation_order(spark):
-    from trialgrid.functions.metrics import sql_round
-    # The same mean computed in two orders lands on both sides of the tie.
-    a = (0.6 + 0.7 + 0.7 + 0.67) / 4
-    b = (0.67 + 0.7 + 0.6 + 0.7) / 4
-    df = spark.createDataFrame([(a,), (b,), (2.675,), (-2.675,), (1.0005,), (0.12344,), (58060.9984375,)], "x double")
-    got = [r.y for r in df.select(sql_round(F.col("x"), 3).alias("y")).collect()]
-    assert got[:6] == [0.668, 0.668, 2.675, -2.675, 1.001, 0.123]
-    assert df.select(sql_round(F.col("x"), 6).alias("y")).collect()[6].y == 58060.998438
+@pytest.mark.parametrize("partitions", [1, 3, 7])
+def test_means_and_sums_are_exact_in_any_order(spark, partitions):
+    """Against exact fractions: one rounding of the sum, one of the mean, whatever the order and the partitions."""
+    import math
+    import random
+    from fractions import Fraction
+    from trialgrid.functions.metrics import exact_avg, exact_sum, sql_round
+    rng = random.Random(8)
+    values = [rng.choice([rng.uniform(-1e6, 1e6), round(rng.uniform(0, 100), 2), 1e15 + 0.5, -1e15, 0.1, 667.5, None]) for _ in range(3000)]
+    real = [v for v in values if v is not None]
+    rng.shuffle(values)
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(partitions)
+    total, mean, rounded = df.agg(exact_sum(F.col("x")), exact_avg(F.col("x")), sql_round(exact_avg(F.col("x")), 3)).first()
+    want = sum(map(Fraction, real))
+    assert abs(Fraction(total) - want) <= Fraction(math.ulp(total)) and mean == total / len(real)
+    assert total == float(math.fsum(real)) and rounded == round(mean, 3)
+    odd = spark.createDataFrame([(float("nan"),), (1.0,)], "x double").agg(exact_avg(F.col("x"))).first()[0]
+    assert math.isnan(odd)
+    assert spark.createDataFrame([], "x double").agg(exact_sum(F.col("x")), exact_avg(F.col("x"))).first()[:] == (None, None)
+    assert spark.createDataFrame([(1e300,), (1e300,)], "x double").agg(exact_avg(F.col("x"))).first()[0] == 1e300
+
+
+def test_reports_are_equal_under_three_partitionings(spark, sf_dir):
+    """Every rounded mean of the summaries, with rows in other orders and partitions: no digit moves."""
+    from trialgrid.operators import reports, summary
+    from trialgrid.sources.tables import trials_from_tables
+    trials = trials_from_tables(spark, sf_dir)
+    found = []
+    for n, order in ((1, "id"), (3, "enc_sec"), (7, "outfile_size_kbyte")):
+        report = reports.report_by_type(trials.repartition(n).sortWithinPartitions(order), index=False)
+        found.append((sorted(map(tuple, report.collect())), sorted(map(str, summary.summary_by_codec(report).collect())),
+                      sorted(map(str, summary.summary_by_ref(report).collect()))))
+    assert found[0] == found[1] == found[2]

@@ -16,8 +16,7 @@ FAST = sorted(QUERIES)
 def _norm(rows, cols):
     """Rows with columns in name order, sorted with floats bucketed coarsely;
     floats are then compared with a tolerance of one unit in the 6th place
-    (two engines average in different orders; ties are rounded alike by
-    functions.metrics.sql_round, far-from-tie values agree exactly)."""
+    (the oracle's compensated sums may be off in the last bit)."""
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     def key(r):
         return tuple("" if r[i] is None else (f"{r[i]:.2f}" if isinstance(r[i], float) else str(r[i])) for i in order)

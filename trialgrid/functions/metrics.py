@@ -48,23 +48,38 @@ def text(x: Column) -> Column:
     return F.coalesce(plain, F.lit(""))
 
 
-# Relative distance under which a value counts as sitting on a rounding tie.
-TIE_TOLERANCE = 1e-12
+def sql_round(x: Column, digits: int) -> Column:
+    """ROUND(x, digits): half away from zero on the decimal text of the double."""
+    return F.round(x, digits)
 
 
-def sql_round(x: Column, digits: int) -> Column:
-    """ROUND(x, digits) on doubles with decimal tie handling: the value is
-    scaled by 10^digits, nudged away from zero by TIE_TOLERANCE of itself and
-    rounded half away from zero, then scaled back.
-
-    Means of decimal data often sit exactly on a tie (x.xxx5); the double
-    computed for them lands an ulp above or below depending on the summation
-    order, so a plain ROUND flips with the partitioning (and Spark's round()
-    of the shortest decimal text differs again from a SQL engine's rounding of
-    the binary value). With the nudge every order rounds such ties the same
-    way, away from zero as decimal arithmetic does; values farther than
-    TIE_TOLERANCE from a tie round as usual."""
-    scale = F.lit(float(10 ** digits))
-    scaled = x * scale
-    nudged = scaled + F.signum(scaled) * F.abs(scaled) * F.lit(TIE_TOLERANCE)
-    return F.round(nudged) / scale
+_PART = 1 << 26
+
+
+def _exact_parts(x: Column) -> tuple[Column, Column, Column, Column]:
+    """Sums of the whole part and of two times 26 bits of the fraction of the
+    finite values, and how many values can't be split so. Whole numbers are
+    added, so no order of the rows changes a sum."""
+    x = x.cast("double")
+    fits = F.abs(x) < F.lit(float(1 << 53))  # false for NaN, which is larger than any number
+    cut = lambda c: c.cast("bigint")  # towards zero, so that what is left is exact
+    rest = (x - cut(x)) * F.lit(float(_PART))
+    whole, high = F.when(fits, cut(x)), F.when(fits, cut(rest))
+    low = F.when(fits, cut((rest - cut(rest)) * F.lit(float(_PART))))
+    return F.sum(whole), F.sum(high), F.sum(low), F.count_if(~fits)
+
+
+def exact_sum(x: Column) -> Column:
+    """Aggregate: the sum of doubles, the same in every order of the rows and
+    with every partitioning. Each value counts to its last bit (below 1: to 52
+    places); the result is rounded once. With a NaN, an infinite value or one
+    from 2^53 up it is the plain sum."""
+    whole, high, low, others = _exact_parts(x)
+    units = (whole.cast("decimal(20,0)") * F.lit(_PART * _PART).cast("decimal(16,0)")
+             + high.cast("decimal(30,0)") * F.lit(_PART).cast("decimal(8,0)") + low.cast("decimal(30,0)"))
+    return F.when(others > 0, F.sum(x.cast("double"))).otherwise(units.cast("double") / F.lit(float(_PART * _PART)))
+
+
+def exact_avg(x: Column) -> Column:
+    """Aggregate: the mean of doubles, from `exact_sum`."""
+    return F.try_divide(exact_sum(x), F.count(x).cast("double"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialgrid.functions.metrics import exact_avg
 from trialgrid.operators.index import with_index
 
 # The chart's projection (output name -> flat trial column);
@@ -88,7 +89,7 @@ def chart_groups(rows: DataFrame, by: list[str]) -> DataFrame:
     if bad:
         raise ValueError(f"not a chart group key: {bad}")
     kept = rows.dropna(subset=list(by))
-    g = kept.groupBy(*by).agg(*[F.avg(c).alias(c) for c in MEAN_SERIES],
+    g = kept.groupBy(*by).agg(*[exact_avg(F.col(c)).alias(c) for c in MEAN_SERIES],
                               *[F.max(c).alias(c) for c in MAX_SERIES])
     label = F.concat_ws("_", *[F.col(k).cast("string") for k in by]).alias("group")
     return g.select(*by, *MEAN_SERIES, *MAX_SERIES, label).orderBy(*by)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialgrid.functions.metrics import exact_avg
 from trialgrid.operators.index import materialize, with_index
 
 # Flat report columns (reference order); names are columns of the flat trial
@@ -55,7 +56,7 @@ def flat_report(trials: DataFrame, order: list[str] | str = "id") -> DataFrame:
 
 
 def _grouped(trials: DataFrame, keys: list[str]) -> DataFrame:
-    aggs = [F.max(c).alias(c) for c in MAX_COLS] + [F.avg(c).alias(c) for c in AVG_COLS]
+    aggs = [F.max(c).alias(c) for c in MAX_COLS] + [exact_avg(F.col(c)).alias(c) for c in AVG_COLS]
     return trials.groupBy(*keys).agg(*aggs)
 
 

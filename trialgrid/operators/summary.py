@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialgrid.functions.metrics import score, sql_round, text
+from trialgrid.functions.metrics import exact_avg, score, sql_round, text
 
 # The quality gate (inclusive bounds) and the top-k of the
 # per-ref summary.
@@ -47,7 +47,7 @@ def summary_by_ref(report_by_type: DataFrame, limit: int = SUMMARY_BY_REF_LIMIT)
     """Per (ref_type, outfile_options): rounded means; top `limit` by option
     text descending (ref_type breaks ties). No gate."""
     g = report_by_type.groupBy("ref_type", "outfile_options").agg(
-        *[_r3(F.avg(c)).alias(c) for c in SUMMARY_AVGS])
+        *[_r3(exact_avg(F.col(c))).alias(c) for c in SUMMARY_AVGS])
     return (g.select("ref_type", *SUMMARY_AVGS, "outfile_options")
             .orderBy(F.col("outfile_options").desc_nulls_last(), F.col("ref_type").asc_nulls_last())
             .limit(limit))
@@ -60,9 +60,9 @@ def summary_by_codec(report_by_type: DataFrame, gated: bool = True, **gate) -> D
     src = quality_gate(report_by_type, **gate) if gated else report_by_type
     avg_b = F.avg("has_b_frames")
     g = src.groupBy("codec", "outfile_options").agg(
-        *[_r3(F.avg(c)).alias(c) for c in SUMMARY_AVGS],
-        _r3(F.avg(score(F.col("vmaf_min"), F.col("vmaf_mean"), F.col("ssim_mean"),
-                        F.col("comp_ratio_persent")))).alias("pt"),
+        *[_r3(exact_avg(F.col(c))).alias(c) for c in SUMMARY_AVGS],
+        _r3(exact_avg(score(F.col("vmaf_min"), F.col("vmaf_mean"), F.col("ssim_mean"),
+                            F.col("comp_ratio_persent")))).alias("pt"),
         _r3(F.avg("gop")).alias("gop"),
         F.when(avg_b > F.lit(1.0), _r3(avg_b + F.lit(1.0))).otherwise(F.lit(0.0)).alias("bf"),
         _r3(F.avg("refs")).alias("refs"),
@@ -79,11 +79,11 @@ def avg_of_avg(trials: DataFrame, report_by_type: DataFrame) -> DataFrame:
     gated mean of ref-type means (what the summary reports) next to the gated
     plain mean over trials, and how many ref types passed the gate."""
     two = (quality_gate(report_by_type).groupBy("codec", "outfile_options")
-           .agg(_r3(F.avg("outfile_size_kbyte")).alias("two_level_size_kbyte"),
+           .agg(_r3(exact_avg(F.col("outfile_size_kbyte"))).alias("two_level_size_kbyte"),
                 F.count(F.lit(1)).alias("ref_types_passed")))
     raw = (trials.where(gate_condition())
         .groupBy("codec", "outfile_options")
-        .agg(_r3(F.avg("outfile_size_kbyte")).alias("one_level_size_kbyte"),
+        .agg(_r3(exact_avg(F.col("outfile_size_kbyte"))).alias("one_level_size_kbyte"),
              F.count(F.lit(1)).alias("trials_passed")))
     return two.join(raw, ["codec", "outfile_options"], "full_outer")
 

@@ -22,10 +22,18 @@ def D(x) -> str:
 
 
 def NR(expr: str, digits: int) -> str:
-    """ROUND with decimal tie handling, same double operations as
-    functions.metrics.sql_round."""
-    sc = f"(({expr}) * {D(float(10 ** digits))})"
-    return f"(ROUND({sc} + sign({sc}) * abs({sc}) * {D(1e-12)}, 0) / {D(float(10 ** digits))})"
+    """The engine's own ROUND, on the decimal text of the double."""
+    return f"CAST(ROUND(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 20)), {digits}) AS DOUBLE)"
+
+
+def SUMX(expr: str) -> str:
+    """Exact sum in units of 2^-52: whole numbers, rounded once at the end."""
+    units = f"SUM(CAST(trunc(CAST({expr} AS DOUBLE) * {D(2 ** 52)}) AS HUGEINT))"
+    return f"(CAST(CAST({units} AS VARCHAR) AS DOUBLE) / {D(2 ** 52)})"
+
+
+def AVGX(expr: str) -> str:
+    return f"({SUMX(expr)} / COUNT({expr}))"
 
 
 def R(expr: str, alias: str, digits: int = 6) -> str:
@@ -97,7 +105,7 @@ OPTION_KEYS = ["codec", "type", "preset", "threads", "outfile_options"]
 
 def _grouped(keys: list[str]) -> str:
     return (f"SELECT {', '.join(keys)}, " + ", ".join(f"MAX({c}) AS {c}" for c in MAXC) + ", "
-            + ", ".join(f"AVG({c}) AS {c}" for c in AVGC) + f" FROM trials GROUP BY {', '.join(keys)}")
+            + ", ".join(f"{AVGX(c)} AS {c}" for c in AVGC) + f" FROM trials GROUP BY {', '.join(keys)}")
 
 
 TR = f"tr AS ({_grouped(TYPE_KEYS)})"
@@ -120,12 +128,12 @@ SUM_AVGS = ["outfile_size_kbyte", "outfile_bit_rate_kbs", "enc_sec", "comp_ratio
 
 
 def _r3(x):
-    return NR(f"AVG({x})", 3)
+    return NR(AVGX(x), 3)
 
 
 SUMMARY_BY_CODEC = f"""WITH {TRIALS}, {TR}
 SELECT codec, {', '.join(f'{_r3(c)} AS {c}' for c in SUM_AVGS)},
-  {NR(f"AVG(({D(200)} - (vmaf_min + vmaf_mean)) + ({D(2)} - (ssim_mean + comp_ratio_persent)))", 3)} AS pt,
+  {NR(AVGX(f"(({D(200)} - (vmaf_min + vmaf_mean)) + ({D(2)} - (ssim_mean + comp_ratio_persent)))"), 3)} AS pt,
   {_r3('gop')} AS gop,
   CASE WHEN AVG(has_b_frames) > {D(1)} THEN {NR(f"AVG(has_b_frames) + {D(1)}", 3)} ELSE {D(0)} END AS bf,
   {_r3('refs')} AS refs,
@@ -178,7 +186,7 @@ SEL_CODECS = "('PROMO', 'STANDARD')"
 MEANS = ["outfile_bit_rate_kbs", "outfile_size_kbyte", "vmaf_mean", "vmaf_min", "stream_gop",
          "stream_has_b_frames", "stream_refs"]
 MAXES = ["stream_frames_i", "stream_frames_p", "stream_frames_b"]
-GROUPS = (f"grp AS (SELECT codec, ref_type, " + ", ".join(f"AVG({c}) AS {c}" for c in MEANS) + ", "
+GROUPS = (f"grp AS (SELECT codec, ref_type, " + ", ".join(f"{AVGX(c)} AS {c}" for c in MEANS) + ", "
           + ", ".join(f"MAX({c}) AS {c}" for c in MAXES)
           + f", concat_ws('_', codec, ref_type) AS \"group\" FROM rows WHERE "
             f"codec IS NOT NULL AND ref_type IS NOT NULL GROUP BY codec, ref_type)")
@@ -315,8 +323,8 @@ FRAME_COUNTS = f'WITH {FRAMES}, {COUNTS} SELECT file, "I", "P", "B", frames, "I"
 GOP_SEGMENTS = f"WITH {FRAMES}, {SEGS} SELECT file, seg, length FROM segs"
 FIRST_GOP = f"WITH {FRAMES}, {SEGS} SELECT file, arg_min(length, seg) AS gop FROM segs GROUP BY file"
 POOL_SCORES = f"""SELECT 'u/' || CAST(user_id AS VARCHAR) AS file, event_type AS metric,
-  {R('MIN(value)', 'min')}, {R('MAX(value)', 'max')}, {R('AVG(value)', 'mean')},
-  {R(f'CASE WHEN MIN(value) > {D(0)} THEN COUNT(value) / SUM({D(1)} / value) END', 'harmonic_mean')},
+  {R('MIN(value)', 'min')}, {R('MAX(value)', 'max')}, {R(AVGX('value'), 'mean')},
+  {R(f'CASE WHEN MIN(value) > {D(0)} THEN COUNT(value) / {SUMX(f'{D(1)} / value')} END', 'harmonic_mean')},
   COUNT(value) AS n
 FROM events GROUP BY 1, 2"""
 
