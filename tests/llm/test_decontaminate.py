@@ -85,3 +85,12 @@ def test_answer_column_and_empty_tables(spark):
     assert D.find_leaks(docs, bench.limit(0)).collect() == []
     assert D.find_leaks(docs.limit(0), bench).collect() == []
     assert D.clean_documents(docs, bench.limit(0)).count() == 3
+
+
+def test_clean_documents_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h", "p", 1, 2), (2, "z z z", "p", 3, 4), (None, None, None, None, None)],
+                                 "doc_id bigint, text string, x string, y int, z int").toDF("doc_id", "text", "TEXT", "q", "q")
+    bench = spark.createDataFrame([(7, "a b c d e f g h")], "item_id bigint, text string")
+    kept = D.clean_documents(docs, bench)
+    assert kept.columns == ["doc_id", "text", "TEXT", "q", "q"]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(2, "z z z", "p", 3, 4), (None,) * 5], key=str)

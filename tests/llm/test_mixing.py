@@ -62,12 +62,18 @@ def test_against_brute_force(spark, sf_dir, monkeypatch):
     want = targets(sizes)
     for i, _, s in rows:
         assert got[i].size == size[i] and got[i].source_size == sizes[s] and math.isclose(got[i].target, want[s])
-    # every copy has one shard, and a source's blocks go to the shards in runs
+    # every copy has one shard, a block goes to one shard as a whole, and first passes don't lie in the low shards only
     given = [r for r in drawn if r.copy is not None]
     assert all(r.shard is not None and 0 <= r.shard < 5 for r in given) and len(given) == sum(copies.values())
-    for s in sizes:
-        own = sorted((r.block, r.shard) for r in given if r.source == s)
-        assert [x[1] for x in own] == sorted(x[1] for x in own)
+    owner = {}
+    for r in given:
+        assert owner.setdefault((r.source, r.block), r.shard) == r.shard
+    big = max(sizes, key=lambda s: want[s])
+    assert len({r.shard for r in given if r.source == big and r.copy == 0}) > 2
+    shares = {(q.source_key, q.shard): q.quota for q in M.split_quotas(spark.createDataFrame(
+        [("-" if s is None else f"={s}", math.ceil(want[s] / 300)) for s in sizes if want[s] > 0], "source_key string, quota bigint"), 5, 20).collect()}
+    used = Counter(("-" if s is None else f"={s}", shard) for (s, _), shard in owner.items())
+    assert all(n <= shares[k] for k, n in used.items())  # a long document may reach over blocks in which none begins
     again = {(r.doc_id, r.copy, r.shard, r.rank) for r in M.mix(df.repartition(3), n_shards=5).collect()}
     assert again == {(r.doc_id, r.copy, r.shard, r.rank) for r in drawn}
 

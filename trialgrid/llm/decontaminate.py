@@ -313,7 +313,10 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, threshold: float
                     answer_col: str | None = None) -> DataFrame:
     """The rows of `documents` in which no test item is found; rows that go are
     dropped where they are read, so no text is shuffled."""
-    at, names, schema = documents.columns.index(text_col), documents.columns, documents.schema
+    names = documents.columns
+    at = names.index(text_col)
+    documents = documents.toDF(*[f"c{i}" for i in range(len(names))])  # by position: names may repeat or clash
+    schema = documents.schema
     for index in _shards(benchmark, threshold, item_col, item_text_col, answer_col):
 
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:

@@ -30,6 +30,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -67,18 +68,23 @@ FURNITURE_WORDS = frozenset("ad ads adv advert advertisement banner breadcrumb b
                             "search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 CONTENT_TAGS = frozenset("article main".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 NAME = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.!?…。]")
 
 
+NOWHERE = (frozenset(), False, False)
+
+
 @dataclass
 class Block:
     text: str
     linked: int  # code points inside links
-    path: tuple  # ((tag, words of class, id and role), ...) from the outside in
+    tags: frozenset  # the block elements it stands in
+    content: bool  # whether one of them is a content element
+    furniture: bool  # whether one of them is furniture by its tag or the words of its class, id or role
 
 
 def _cut_raw(page: str, tag: str, at: int) -> int:
@@ -89,7 +95,9 @@ def _cut_raw(page: str, tag: str, at: int) -> int:
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
+    # (tag, then what holds for all that stand in it: block tags, content, furniture)
     stack: list[tuple] = []
+    open_tags: Counter = Counter()
     parts, linked, links, hidden, at = [], 0, 0, 0, 0
     page = page or ""
 
@@ -97,7 +105,7 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal parts, linked
         text = SPACES.sub(" ", "".join(parts)).strip()
         if text:
-            out.append(Block(text, linked, tuple(e for e in stack if e[0] not in INLINE)))
+            out.append(Block(text, linked, *(stack[-1][1:] if stack else NOWHERE)))
         parts, linked = [], 0
 
     def put(raw: str):
@@ -113,6 +121,7 @@ def blocks(page: str | None) -> list[Block]:
         if stack[-1][0] not in FLOWING:
             close_block()
         tag = stack.pop()[0]
+        open_tags[tag] -= 1
         links -= tag == "a"
         hidden -= tag in HIDDEN
 
@@ -127,20 +136,22 @@ def blocks(page: str | None) -> list[Block]:
         if not tag:
             continue
         if m[1]:
-            open_tags = [e[0] for e in stack]
-            if tag in open_tags:
-                for _ in range(len(stack) - (len(open_tags) - 1 - open_tags[::-1].index(tag))):
+            if open_tags[tag]:
+                while stack[-1][0] != tag:
                     pop()
+                pop()
             elif tag not in FLOWING and not hidden:
                 close_block()
             continue
-        if tag in ENDS_P and any(e[0] == "p" for e in stack):
-            depth = max(i for i, e in enumerate(stack) if e[0] == "p")
-            if not any(e[0] in LIST_EDGES for e in stack[depth:]):
+        if tag in ENDS_P and open_tags["p"]:
+            depth = len(stack) - 1
+            while stack[depth][0] != "p" and stack[depth][0] not in LIST_EDGES:
+                depth -= 1
+            if stack[depth][0] == "p":
                 while len(stack) > depth:
                     pop()
         closes = SELF_CLOSING.get(tag)
-        if closes:
+        if closes and any(open_tags[c] for c in closes):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in LIST_EDGES:
                     break
@@ -155,7 +166,13 @@ def blocks(page: str | None) -> list[Block]:
                 parts.append(" ")
             continue
         names = frozenset(w for _, value in ATTRIBUTE.findall(m[3]) for w in NAME.findall(value.lower())) if m[3] else frozenset()
-        stack.append((tag, names))
+        tags, content, furniture = stack[-1][1:] if stack else NOWHERE
+        if tag not in INLINE:
+            tags = tags if tag in tags else tags | {tag}
+            content = content or tag in CONTENT_TAGS
+            furniture = furniture or tag in FURNITURE_TAGS or bool(names & FURNITURE_WORDS)
+        stack.append((tag, tags, content, furniture))
+        open_tags[tag] += 1
         links += tag == "a"
         hidden += tag in HIDDEN
         if tag in RAW:
@@ -166,28 +183,36 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-def furniture(path: tuple) -> bool:
-    return any(tag in FURNITURE_TAGS or names & FURNITURE_WORDS for tag, names in path)
-
-
 def _size(n: float, steps: tuple) -> int:
     return sum(n >= s for s in steps)
 
 
-def features(page_blocks: list[Block]) -> list[list[str]]:
-    """Feature names per block."""
+def _shape(b: Block, side: str = "") -> list[str]:
+    """Features of a block's text: length, links, sentences, case."""
+    n = b.text.count(" ") + 1
+    ends = "." if b.text[-1] in ".!?…。:;" else "-"
+    return [f"{side}len{_size(n, (2, 4, 8, 15, 30, 60))}", f"{side}link{_size(b.linked / len(b.text), (.01, .3, .6, .95))}",
+            f"{side}stops{_size(len(PUNCTUATION.findall(b.text)), (1, 2, 4))}", f"{side}ends{ends}"]
+
+
+def features(page_blocks: list[Block], marked: bool = True) -> list[list[str]]:
+    """Feature names per block: its text and its neighbours', its ancestors, and
+    (`marked`) whether a content element or furniture is among them."""
+    shapes = [_shape(b) for b in page_blocks]
     out = []
     for i, b in enumerate(page_blocks):
-        words = b.text.split(" ")
-        own = ["bias", f"len{_size(len(words), (2, 4, 8, 15, 30, 60))}",
-               f"link{_size(b.linked / len(b.text), (.01, .3, .6, .95))}",
-               f"stops{_size(len(PUNCTUATION.findall(b.text)), (1, 2, 4))}",
-               "first" if i == 0 else "last" if i == len(page_blocks) - 1 else "inner"]
+        own = ["bias", *shapes[i], "first" if i == 0 else "last" if i == len(page_blocks) - 1 else "inner"]
+        own += [f"before-{f}" for f in (shapes[i - 1] if i else ["none"])]
+        own += [f"after-{f}" for f in (shapes[i + 1] if i + 1 < len(shapes) else ["none"])]
         if "©" in b.text or "all rights" in b.text.lower():
             own.append("copyright")
-        own += {f"tag:{tag}" for tag, _ in b.path}
-        own.append("content" if any(tag in CONTENT_TAGS for tag, _ in b.path) else "loose")
-        if furniture(b.path):
+        if marked:
+            own += {f"tag:{tag}" for tag in b.tags}
+            own.append("content" if b.content else "loose")
+        else:
+            own += {f"tag:{tag}" for tag in b.tags if tag not in CONTENT_TAGS}
+            own.append("unmarked")
+        if b.furniture:
             own.append("furniture")
         out.append(own)
     return out
@@ -275,7 +300,9 @@ FURNITURE = ("<nav><ul><li><a href='/'>{}</a></li><li><a href='/'>{}</a></li></u
              "<form action='/'><label>{}</label><input type='text'><p>{}</p></form>",
              "<section id='comments' class='comments'><div class='comment'><p>{}</p></div><div class='comment'><p>{}</p></div></section>",
              "<div class='newsletter'><p>{}</p></div><div class='related'><a href='/'>{}</a></div>")
-ARTICLE = re.compile(r"</?(article|main)\b[^>]*>", re.I)
+#: The share of training pages whose content elements the field doesn't get to see, as on pages without any.
+HELD_OUT = 0.6
+MARKED = r"(?i)<(article|main)[\s>/]"
 
 
 def training_page(page: str, seed: int) -> tuple[list[list[str]], list[int]]:
@@ -291,17 +318,20 @@ def training_page(page: str, seed: int) -> tuple[list[list[str]], list[int]]:
     for at in sorted(rng.sample(spots, min(len(spots), rng.randrange(4))), reverse=True):
         page = page[:at] + rng.choice(FURNITURE).format(some(), some()) + page[at:]
     page_blocks = blocks(page)
-    labels = [int(any(tag in CONTENT_TAGS for tag, _ in b.path) and not furniture(b.path)) for b in page_blocks]
-    if rng.random() < 0.2:
-        bare = blocks(ARTICLE.sub(lambda m: "</div>" if m[0][1] == "/" else "<div>", page))
-        if len(bare) == len(page_blocks):
-            page_blocks = bare
-    return features(page_blocks), labels
+    labels = [int(b.content and not b.furniture) for b in page_blocks]
+    return features(page_blocks, marked=rng.random() >= HELD_OUT), labels
+
+
+def marked_page(page_blocks: list[Block]) -> bool:
+    """Whether a content element holds any of the page's text."""
+    return any(b.content for b in page_blocks)
 
 
 def train(pages: DataFrame, sample_pages: int = 600, id_col: str = "page_id", html_col: str = "html") -> Field:
-    """A field from a sample of about `sample_pages` pages, whole, chosen by a hash of their ids."""
-    rows = pick(pages, page_id=id_col, html=html_col).where(F.col("html").isNotNull())
+    """A field from a sample of about `sample_pages` pages, whole, chosen by a
+    hash of their ids among those that mark their content: a page without a
+    content element doesn't say what its content is."""
+    rows = pick(pages, page_id=id_col, html=html_col).where(F.col("html").rlike(MARKED))
     n = rows.count()
     drawn = F.pmod(F.xxhash64(F.lit("page"), F.col("page_id")), F.lit(1 << 30)) < min(1.0, sample_pages / max(1, n)) * (1 << 30)
     sample = sorted(((r.page_id is None, r.page_id or 0, r.html) for r in rows.where(drawn).collect()), key=str)
@@ -311,9 +341,9 @@ def train(pages: DataFrame, sample_pages: int = 600, id_col: str = "page_id", ht
 def main_text(page: str | None, field: Field) -> str:
     page_blocks = blocks(page)
     if not field.index:
-        labels = [int(any(tag in CONTENT_TAGS for tag, _ in b.path)) for b in page_blocks]
+        labels = [int(b.content) for b in page_blocks]
     else:
-        labels = field.decode(features(page_blocks))
+        labels = field.decode(features(page_blocks, marked_page(page_blocks)))
     return " ".join(b.text for b, label in zip(page_blocks, labels, strict=True) if label)
 
 

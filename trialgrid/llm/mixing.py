@@ -31,6 +31,8 @@ from trialgrid.llm.common import hex_fraction, pick, word_count
 from trialgrid.session import written
 
 ROWS_PER_BUCKET = 16384
+#: A mix is cut into so many shards at least, and so many words a shard at most on average.
+LEAST_SHARDS, WORDS_PER_SHARD = 16, 1 << 23
 LEAST_BLOCK_WORDS, MOST_BLOCKS = 2048, 1_000_000
 
 
@@ -133,7 +135,7 @@ def split_quotas(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
 
 
 def mix(documents: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1.0, max_epochs: float = 3.0,
-        n_shards: int = 16, seed: int = 20, id_col: str = "doc_id", text_col: str = "text",
+        n_shards: int | None = None, seed: int = 20, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source") -> DataFrame:
     """One row per drawn copy of a document, and one with null `copy` and
     `shard` for each document that isn't drawn: doc_id, source, size,
@@ -184,11 +186,19 @@ def mix(documents: DataFrame, weights: tuple = (5.0, 2.0, 1.0), share: float = 1
     drawn = drawn.withColumn("block", F.floor((F.col("copy") * F.col("source_size") + F.col("position"))
                                               / F.col("block_words")).cast("bigint"))
 
+    if n_shards is None:
+        words = sources.agg(F.sum("target")).first()[0] or 0
+        n_shards = max(LEAST_SHARDS, math.ceil(words / WORDS_PER_SHARD))
     shares = split_quotas(sources.where("quota > 0").select("source_key", "quota"), n_shards, seed)
     handed = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     runs = shares.withColumn("given", F.coalesce(F.sum("quota").over(handed), F.lit(0))).where("quota > 0")
-    blocks = runs.select("source_key", "shard",
-                         F.explode(F.sequence(F.col("given"), F.col("given") + F.col("quota") - 1)).alias("block"))
+    slots = runs.select("source_key", "shard",
+                        F.explode(F.sequence(F.col("given"), F.col("given") + F.col("quota") - 1)).alias("slot"))
+    # a shard draws its blocks from anywhere in its source: slots are block numbers in an order drawn by the seed
+    drawn_order = Window.partitionBy("source_key").orderBy(F.xxhash64(F.lit(seed), "source_key", "block"), "block")
+    permuted = (sources.where("quota > 0").select("source_key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("quota") - 1)).alias("block"))
+                .withColumn("slot", (F.row_number().over(drawn_order) - 1).cast("bigint")))  # MOST_BLOCKS rows and one per source
+    blocks = permuted.join(slots, ["source_key", "slot"]).drop("slot")
     shuffled = drawn.join(blocks, ["source_key", "block"], "left")
     rank = F.when(F.col("shard").isNotNull(), F.md5(F.concat_ws("|", F.lit(str(seed)), "shard", name, "copy").cast("binary")))
     return shuffled.withColumn("rank", rank).select(
