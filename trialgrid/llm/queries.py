@@ -164,6 +164,31 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM placed
 """
 
+# All pairs of documents that share a shingle, and everything reachable over the links.
+OP8_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS no, doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), sets AS (
+  SELECT no, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [words]
+                          ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: words[i:i + 4])) END AS shingles
+  FROM docs
+), members AS (
+  SELECT no, unnest(shingles) AS shingle FROM sets
+), shared AS (
+  SELECT a.no AS a, b.no AS b, count(*) AS n FROM members a JOIN members b ON a.shingle = b.shingle AND a.no < b.no GROUP BY a.no, b.no
+), links AS (
+  SELECT a, b FROM shared JOIN sets x ON x.no = a JOIN sets y ON y.no = b WHERE 100 * n >= 75 * (len(x.shingles) + len(y.shingles) - n)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT no, no AS other FROM sets UNION SELECT r.no, b FROM reached r JOIN both_ways ON r.other = a
+)
+SELECT any_value(s.doc_id) AS doc_id, CAST(any_value(len(s.shingles)) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM reached r JOIN sets s ON s.no = r.no JOIN sets o ON o.no = r.other GROUP BY r.no
+"""
+
 # CRC-32 by its rule: the table of a byte's eight steps, then a step per byte of the text.
 CRC_TABLE = """crc_table AS (
   SELECT list(list_reduce([b, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
@@ -305,6 +330,7 @@ LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b O
 LLM_ORACLE: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op4_mix_sources": OP4_SQL,
+    "op8_jaccard_join": OP8_SQL,
     "op11_resample": OP11_SQL,
     "op12_warc": OP12_SQL,
     "op13_conversation_repair": _repair_sql(),
