@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,30 +56,31 @@ def sql_round(x: Column, digits: int) -> Column:
 
 
 _PART = 1 << 26
-
-
-def _exact_parts(x: Column) -> tuple[Column, Column, Column, Column]:
-    """Sums of the whole part and of two times 26 bits of the fraction of the
-    finite values, and how many values can't be split so. Whole numbers are
-    added, so no order of the rows changes a sum."""
-    x = x.cast("double")
-    fits = F.abs(x) < F.lit(float(1 << 53))  # false for NaN, which is larger than any number
-    cut = lambda c: c.cast("bigint")  # towards zero, so that what is left is exact
-    rest = (x - cut(x)) * F.lit(float(_PART))
-    whole, high = F.when(fits, cut(x)), F.when(fits, cut(rest))
-    low = F.when(fits, cut((rest - cut(rest)) * F.lit(float(_PART))))
-    return F.sum(whole), F.sum(high), F.sum(low), F.count_if(~fits)
+#: Whole parts below this leave room for 78 bits of fraction in 38 digits.
+_ROOM = 300_000_000_000_000
 
 
 def exact_sum(x: Column) -> Column:
     """Aggregate: the sum of doubles, the same in every order of the rows and
-    with every partitioning. Each value counts to its last bit (below 1: to 52
-    places); the result is rounded once. With a NaN, an infinite value or one
-    from 2^53 up it is the plain sum."""
-    whole, high, low, others = _exact_parts(x)
-    units = (whole.cast("decimal(20,0)") * F.lit(_PART * _PART).cast("decimal(16,0)")
-             + high.cast("decimal(30,0)") * F.lit(_PART).cast("decimal(8,0)") + low.cast("decimal(30,0)"))
-    return F.when(others > 0, F.sum(x.cast("double"))).otherwise(units.cast("double") / F.lit(float(_PART * _PART)))
+    with every partitioning. A finite value is split into its whole part and
+    three times 26 bits of its fraction (towards zero, so that what is left is
+    exact); these are added as whole numbers, and the result is rounded once.
+    (From 3e14 on, the sum of whole parts leaves 52 bits for fractions.) With a
+    NaN, an infinite value or one from 2^53 up it is the plain sum."""
+    x = x.cast("double")
+    fits = F.abs(x) < F.lit(float(1 << 53))  # false for NaN, which is larger than any number
+    parts, rest = [], x
+    for _ in range(4):
+        cut = rest.cast("bigint")
+        parts.append(F.sum(F.when(fits, cut)))
+        rest = (rest - cut) * F.lit(float(_PART))
+    whole, high, low, lowest = parts
+    unit = lambda k: F.lit(Decimal(_PART ** k)).cast(f"decimal({len(str(_PART ** k))},0)")
+    of = lambda part, digits: part.cast(f"decimal({digits},0)")
+    fine = of(whole, 15) * unit(3) + of(high, 20) * unit(2) + of(low, 20) * unit(1) + of(lowest, 20)
+    coarse = of(whole, 20) * unit(2) + of(high, 20) * unit(1) + of(low, 20)
+    return (F.when(F.count_if(~fits) > 0, F.sum(x)).when(F.abs(whole) < F.lit(_ROOM), fine.cast("double") / F.lit(float(_PART ** 3)))
+            .otherwise(coarse.cast("double") / F.lit(float(_PART ** 2))))
 
 
 def exact_avg(x: Column) -> Column:

@@ -27,9 +27,9 @@ def NR(expr: str, digits: int) -> str:
 
 
 def SUMX(expr: str) -> str:
-    """Exact sum in units of 2^-52: whole numbers, rounded once at the end."""
-    units = f"SUM(CAST(trunc(CAST({expr} AS DOUBLE) * {D(2 ** 52)}) AS HUGEINT))"
-    return f"(CAST(CAST({units} AS VARCHAR) AS DOUBLE) / {D(2 ** 52)})"
+    """Exact sum in units of 2^-78: whole numbers, rounded once at the end."""
+    units = f"SUM(CAST(trunc(CAST({expr} AS DOUBLE) * {D(2 ** 78)}) AS HUGEINT))"
+    return f"(CAST(CAST({units} AS VARCHAR) AS DOUBLE) / {D(2 ** 78)})"
 
 
 def AVGX(expr: str) -> str:
