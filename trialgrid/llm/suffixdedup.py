@@ -218,9 +218,10 @@ def repeated_starts(lefts: list[bytes], rights: list[bytes], sides: np.ndarray,
 
 # ---------------------------------------------------------------- Spark
 
-ANCHORS_DDL = "gram bigint, around bigint, doc bigint, place int, before int, behind int, later boolean"
+ANCHORS_DDL = "gram bigint, around bigint, doc bigint, place int, before int, behind int"
 ANCHORS = pa.schema([("gram", pa.int64()), ("around", pa.int64()), ("doc", pa.int64()), ("place", pa.int32()),
-                     ("before", pa.int32()), ("behind", pa.int32()), ("later", pa.bool_())])
+                     ("before", pa.int32()), ("behind", pa.int32())])
+TOGETHER = 500_000  # anchors of a task that are compared before the shuffle
 
 
 def _later(gram: np.ndarray, around: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -247,7 +248,9 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
         def table(rows=rows):
             parts = [np.concatenate(c) for c in zip(*rows, strict=True)]
-            arrays = [parts[0].view(np.int64), parts[1].view(np.int64), *parts[2:], _later(*parts[:4])]
+            later = _later(*parts[:4])  # needs no hashes any more; told apart by a negative reach
+            parts[0][later], parts[1][later], parts[5] = 0, 0, np.where(later, -1 - parts[5], parts[5])
+            arrays = [parts[0].view(np.int64), parts[1].view(np.int64), *parts[2:]]
             out = pa.RecordBatch.from_arrays([pa.array(a, t.type) for a, t in zip(arrays, ANCHORS, strict=True)], schema=ANCHORS)
             rows.clear()
             return out
@@ -257,7 +260,7 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if len(gram):
                 rows.append((gram, around, np.full(len(gram), doc, np.int64), place, before, behind))
                 total += len(gram)
-            if total > 200_000:
+            if total > TOGETHER:
                 yield table()
                 total = 0
         if rows:
@@ -275,13 +278,15 @@ def _mark_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     Anchors known to be later ones lie anywhere and go through as they are."""
     held = None  # the last first-of-its-kind row, and whether it is out already
     for batch in batches:
-        known = batch.filter(batch.column(6))
+        later = pc.less(batch.column(5), 0)
+        known = batch.filter(later)
         if known.num_rows:
-            yield pa.RecordBatch.from_arrays([known.column(6), known.column(0), *known.columns[2:6]], schema=MARKS)
-        batch = batch.filter(pc.invert(batch.column(6)))
+            reach = pc.subtract(pa.scalar(-1, pa.int32()), known.column(5))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(known.num_rows, bool)), *known.columns[0:1], *known.columns[2:5], reach], schema=MARKS)
+        batch = batch.filter(pc.invert(later))
         if not batch.num_rows:
             continue
-        gram, around, doc, place, before, behind = (c.to_numpy() for c in batch.columns[:6])
+        gram, around, doc, place, before, behind = (c.to_numpy() for c in batch.columns)
         if held is not None:
             gram, around, doc, place, before, behind = (np.concatenate([[h], c]) for h, c in zip(
                 held[0], (gram, around, doc, place, before, behind), strict=True))
@@ -302,7 +307,7 @@ def _mark_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         chosen = np.flatnonzero(whole | kinds)
         if len(chosen):
             yield pa.RecordBatch.from_arrays([pa.array(a, t.type) for a, t in zip(
-                (whole[chosen], gram[chosen], doc[chosen], place[chosen], before[chosen], behind[chosen]), MARKS, strict=True)], schema=MARKS)
+                (whole[chosen], np.where(whole[chosen], 0, gram[chosen]), doc[chosen], place[chosen], before[chosen], behind[chosen]), MARKS, strict=True)], schema=MARKS)
 
 
 AROUND_DDL = "side bigint, doc bigint, start bigint, left binary, right binary"
@@ -439,7 +444,7 @@ def _hot_spans(texts: DataFrame, first: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(doc, spans): the bytes to remove of each document that has any; spans may overlap. texts: (doc, text)."""
     # anchors already known to be repeats needn't meet their class: a hot gram's rows are spread
-    dealt = F.when(F.col("later"), F.xxhash64("doc", "place")).otherwise(F.col("gram"))
+    dealt = F.when(F.col("behind") < 0, F.xxhash64("doc", "place")).otherwise(F.col("gram"))
     found = texts.mapInArrow(_emit_anchors, ANCHORS_DDL).repartition(dealt).sortWithinPartitions("gram", "around", "doc", "place")
     marks = written(found.mapInArrow(_mark_classes, MARKS_DDL), "suffix-marks", tidy=True)
     first = marks.where("NOT whole").select("gram", "doc", "place")
