@@ -64,3 +64,14 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, text), (1, text)], "doc_id bigint, text string")
     assert {tuple(r)[:3] for r in S.suffix_dedup(df).collect()} == {(1, 400, brute([(1, text)])[1][1])}
     assert S.suffix_dedup(df.limit(0)).collect() == []
+
+
+def test_places_beyond_16_bits(spark):
+    """An anchor's place is shuffled in two parts: repeats far into a long text are found where they are."""
+    draw = random.Random(5)
+    far = "".join(draw.choice("abcdefgh ") for _ in range(70_000))
+    passage = "".join(draw.choice("ijklmnop ") for _ in range(150))
+    rows = [(1, far + passage), (2, passage + far[:300]), (3, far[66_000:66_120] + "!")]
+    found = {r.doc_id: r for r in S.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (found[1].n_removed, found[2].n_removed, found[3].n_removed) == (0, 450, 120)
+    assert (found[2].n_spans, found[3].n_spans) == (1, 1)

@@ -327,9 +327,44 @@ LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b O
 """
 
 
+#: Every 100-byte string of every text, cut from blocks so that no long text is scanned once per string.
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(coalesce(text, '')) AS h FROM documents
+), blocks AS (
+  SELECT doc_id, n, origin, substring(h, 2 * origin + 1, 2198) AS b
+  FROM (SELECT *, unnest(range(0, n - 99, 1000)) AS origin FROM d WHERE n >= 100)
+), windows AS (
+  SELECT doc_id, origin + i AS low, md5_number(substring(b, 2 * i + 1, 200)) AS w
+  FROM (SELECT *, unnest(range(0, least(1000, n - 99 - origin))) AS i FROM blocks)
+), later AS (
+  SELECT doc_id, low FROM windows
+  QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, low) > 1
+), spans AS (
+  SELECT doc_id, min(low) AS low, max(low) + 100 AS high
+  FROM (SELECT doc_id, low, sum(new) OVER (PARTITION BY doc_id ORDER BY low) AS run
+        FROM (SELECT doc_id, low, CASE WHEN low <= lag(low) OVER (PARTITION BY doc_id ORDER BY low) + 100
+                                       THEN 0 ELSE 1 END AS new FROM later))
+  GROUP BY doc_id, run
+), sums AS (
+  SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+), cuts AS (
+  SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS first, low AS last
+  FROM (SELECT doc_id, low, high FROM spans UNION ALL SELECT doc_id, n, n FROM d)
+), kept AS (
+  SELECT doc_id, string_agg(substring(h, 2 * first + 1, 2 * (last - first)), '' ORDER BY first) AS h
+  FROM cuts JOIN d USING (doc_id) WHERE last > first GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 LLM_ORACLE: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op4_mix_sources": OP4_SQL,
+    "op6_suffix_dedup": OP6_SQL,
     "op8_jaccard_join": OP8_SQL,
     "op11_resample": OP11_SQL,
     "op12_warc": OP12_SQL,
