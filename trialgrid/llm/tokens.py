@@ -49,7 +49,7 @@ WIDTHS = (8, 8, 16)
 FILE_TOKENS = 1 << 20
 PER_RANK = 8  # words of 64 bits
 END_ID = 2
-CACHED_WORDS, ENCODED_TEXTS = 500_000, 200
+CACHED_WORDS, ENCODED_BYTES = 500_000, 1 << 23
 
 
 def default_vocabulary() -> str:
@@ -276,6 +276,15 @@ IMAGES = pa.schema([("run", pa.int32()), ("part", pa.int64()), ("first_token", p
 IMAGES_DDL = "run int, part bigint, first_token bigint, n_ids bigint, doc_ids array<bigint>, image binary"
 
 
+def _together(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Texts (column 1) that are encoded together, so that each distinct word is looked
+    up once for all of them: `ENCODED_BYTES` and at most one text more."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    block = (np.cumsum(sizes) - sizes) // ENCODED_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(low, high - low) for low, high in zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def write_images(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                  vocabulary: str | None = None, end_id: int = END_ID) -> None:
     """Encode every text and write the images in ascending order of ids: runs
@@ -294,8 +303,7 @@ def write_images(documents: DataFrame, path: str, id_col: str = "doc_id", text_c
                                               schema=IMAGES)
 
         for batch in batches:
-            for low in range(0, batch.num_rows, ENCODED_TEXTS):
-                some = batch.slice(low, ENCODED_TEXTS)
+            for some in _together(batch):
                 encoded = encoder.encode([text or "" for text in some.column(1).to_pylist()])
                 for doc_id, ids in zip(some.column(0).to_pylist(), encoded, strict=True):
                     pieces.append(ids)
