@@ -23,9 +23,10 @@ The suffix arrays stand on the surroundings and not on the whole corpus at once:
 recursing over all bytes would shuffle every byte's position with its names
 several times over. See the README for figures.
 
-Grams, surroundings and what windows share are told apart by 64-bit hashes (polynomials over
+Surroundings and what windows share are told apart by 64-bit hashes (polynomials over
 bytes from a fixed random table, then mixed): as for random functions, two of m different strings
 meet with a probability of about m * m / 2 ** 65, 3e-4 for 10 ** 8; inside a side bytes are compared.
+Of a gram's hash 48 bits are shuffled: grams that meet in them only send more surroundings to be sorted.
 
 Defined cases: a null or empty text has no bytes; rows that repeat a doc_id are
 taken as one document; documents without an id come before all others; texts
@@ -218,9 +219,11 @@ def repeated_starts(lefts: list[bytes], rights: list[bytes], sides: np.ndarray,
 
 # ---------------------------------------------------------------- Spark
 
-ANCHORS_DDL = "gram bigint, around bigint, doc bigint, place int, before int, behind int"
-ANCHORS = pa.schema([("gram", pa.int64()), ("around", pa.int64()), ("doc", pa.int64()), ("place", pa.int32()),
-                     ("before", pa.int32()), ("behind", pa.int32())])
+#: An anchor as it is shuffled: what differs from row to row stands together, and what hardly does is one number.
+#: key: 48 bits of the gram's hash, the low 16 of the place; rest: the place's other bits, 16 of before, 1 for later, 15 of behind.
+ANCHORS_DDL = "key bigint, around bigint, doc bigint, rest bigint"
+ANCHORS = pa.schema([("key", pa.int64()), ("around", pa.int64()), ("doc", pa.int64()), ("rest", pa.int64())])
+LATER = 1 << 15
 TOGETHER = 500_000  # anchors of a task that are compared before the shuffle
 
 
@@ -247,10 +250,13 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows, total = [], 0
 
         def table(rows=rows):
-            parts = [np.concatenate(c) for c in zip(*rows, strict=True)]
-            later = _later(*parts[:4])  # needs no hashes any more; told apart by a negative reach
-            parts[0][later], parts[1][later], parts[5] = 0, 0, np.where(later, -1 - parts[5], parts[5])
-            arrays = [parts[0].view(np.int64), parts[1].view(np.int64), *parts[2:]]
+            gram, around, doc, place, before, behind = (np.concatenate(c) for c in zip(*rows, strict=True))
+            gram = gram >> np.uint64(16) << np.uint64(16)
+            later = _later(gram, around, doc, place)  # needs no hashes any more
+            gram[later], around[later] = 0, 0
+            key = gram | (place & 0xFFFF).astype(np.uint64)
+            rest = (place >> 16 << 32) | (before << 16) | np.where(later, LATER, 0) | behind
+            arrays = [key.view(np.int64), around.view(np.int64), doc, rest]
             out = pa.RecordBatch.from_arrays([pa.array(a, t.type) for a, t in zip(arrays, ANCHORS, strict=True)], schema=ANCHORS)
             rows.clear()
             return out
@@ -444,8 +450,16 @@ def _hot_spans(texts: DataFrame, first: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(doc, spans): the bytes to remove of each document that has any; spans may overlap. texts: (doc, text)."""
     # anchors already known to be repeats needn't meet their class: a hot gram's rows are spread
-    dealt = F.when(F.col("behind") < 0, F.xxhash64("doc", "place")).otherwise(F.col("gram"))
-    found = texts.mapInArrow(_emit_anchors, ANCHORS_DDL).repartition(dealt).sortWithinPartitions("gram", "around", "doc", "place")
+    key, rest, later = F.col("key"), F.col("rest"), F.col("rest").bitwiseAND(LATER) != 0
+    gram, behind = key.bitwiseAND(-0x10000), rest.bitwiseAND(LATER - 1)
+    dealt = texts.mapInArrow(_emit_anchors, ANCHORS_DDL).repartition(
+        F.when(later, F.xxhash64("doc", "key", "rest")).otherwise(gram))
+    found = dealt.select(
+        gram.alias("gram"), "around", "doc",
+        F.shiftleft(F.shiftright(rest, 32), 16).bitwiseOR(key.bitwiseAND(0xFFFF)).cast("int").alias("place"),
+        F.shiftright(rest, 16).bitwiseAND(0xFFFF).cast("int").alias("before"),
+        F.when(later, -1 - behind).otherwise(behind).cast("int").alias("behind")
+    ).sortWithinPartitions("gram", "around", "doc", "place")
     marks = written(found.mapInArrow(_mark_classes, MARKS_DDL), "suffix-marks", tidy=True)
     first = marks.where("NOT whole").select("gram", "doc", "place")
     hot = written(first.groupBy("gram").count().where(F.col("count") >= HOT_ROWS).select("gram"), "suffix-hot", tidy=True)
