@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,3 +92,13 @@ def test_many_documents_in_one_batch(spark, tokenizer):
     for i, t in rows:
         ids = np.array(tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u4")
         assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_texts_encoded_together_are_bounded(monkeypatch):
+    """Slices hold at least one text each, in order and all of them, and end at the bound."""
+    monkeypatch.setattr(tokens, "ENCODED_BYTES", 10)
+    for texts in ([], ["a"], [None, ""], ["abcd"] * 7, ["x" * 35, "y", None, "z" * 11, "w"]):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+        some = [s.column(1).to_pylist() for s in tokens._together(batch)]
+        assert [t for s in some for t in s] == texts
+        assert all(some) and all(sum(len(t or "") for t in s[:-1]) <= 10 for s in some)

@@ -282,7 +282,7 @@ def _together(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     block = (np.cumsum(sizes) - sizes) // ENCODED_BYTES
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
-    return (batch.slice(low, high - low) for low, high in zip(cuts[:-1], cuts[1:], strict=True))
+    return (batch.slice(low, high - low) for low, high in zip(cuts[:-1], cuts[1:], strict=True) if low < high)
 
 
 def write_images(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
