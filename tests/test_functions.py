@@ -122,3 +122,14 @@ def test_reports_are_equal_under_three_partitionings(spark, sf_dir):
         found.append((sorted(map(tuple, report.collect())), sorted(map(str, summary.summary_by_codec(report).collect())),
                       sorted(map(str, summary.summary_by_ref(report).collect()))))
     assert found[0] == found[1] == found[2]
+
+
+def test_time_texts_are_those_of_a_formatter(spark):
+    rows = [(0.0,), (59.999,), (86399.0,), (8640000.5,), (86400.0 * 123456,), (-0.5,), (-3661.0,), (None,)]
+    s = F.floor(F.col("s")).cast("bigint")
+    part = [F.floor(s / 3600) % 24, F.floor((s % 3600) / 60), s % 60]
+    hms = F.format_string("%02d:%02d:%02d", *[p.cast("bigint") for p in part])
+    part = [F.floor(s / 86400), F.floor((s % 86400) / 3600), F.floor((s % 3600) / 60), s % 60]
+    long = F.format_string("%02dd, %02dh%02dm%02ds", *[p.cast("bigint") for p in part])
+    got = spark.createDataFrame(rows, "s double").select(timefmt.hms("s").alias("a"), hms.alias("b"), timefmt.format_seconds("s").alias("c"), long.alias("d"))
+    assert all(r.a == r.b and r.c == r.d for r in got.collect())

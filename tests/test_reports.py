@@ -138,3 +138,18 @@ def test_index_ranges_are_balanced(spark):
 
 def test_index_of_an_empty_table(spark):
     assert with_index(spark.createDataFrame([], "k string, v long"), ["k"], carry="v").collect() == []
+
+
+def test_a_rows_number_is_worked_out_once(spark):
+    """The search tree of a text index names the number on every level; it must not be made anew on each."""
+    rows = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("id")).repartition(8)
+    plan = with_index(rows, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("conv(") <= 2  # where rows are numbered, and where ranges are counted
+
+
+def test_texts_with_a_shared_prefix_are_cut_evenly(spark):
+    rows = spark.range(4000).select(F.format_string("a-long-shared-prefix-%05d", F.col("id")).alias("id")).repartition(8)
+    got = with_index(rows, ["id"]).orderBy("index").collect()
+    assert [r.id for r in got] == sorted(r.id for r in got) and [r["index"] for r in got] == list(range(4000))
+    per_range = with_index(rows, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in per_range

@@ -95,3 +95,26 @@ def test_a_merge_may_empty_a_bucket(spark, tmpdir_path):
     store.upsert(rows, tmpdir_path, ["id"], lambda both: both)
     store.upsert(rows, tmpdir_path, ["id"], lambda both: both.where(F.lit(False)))
     assert current(spark, tmpdir_path) == [] and store.read_manifest(spark, tmpdir_path)["buckets"] == {}
+
+
+def test_a_first_commit_is_as_wide_as_its_rows(spark, tmpdir_path, monkeypatch):
+    """All rows at once go into enough buckets; an empty commit after it moves none of them."""
+    monkeypatch.setattr(store, "BUCKET_ROWS", 20)
+    commit(spark, tmpdir_path, [(f"t{k}", 0, 1.0) for k in range(400)])
+    first = store.read_manifest(spark, tmpdir_path)
+    assert first["n_buckets"] == 64 and len(current(spark, tmpdir_path)) == 400
+    store.upsert(spark.createDataFrame([], SCHEMA), tmpdir_path, ["id"], lambda both: both)
+    assert store.read_manifest(spark, tmpdir_path)["buckets"] == first["buckets"]
+
+
+def test_buckets_of_a_manifest_without_a_hash_are_found(spark, tmpdir_path, monkeypatch):
+    with monkeypatch.context() as old:
+        # what rows were dealt by before manifests named it
+        old.setattr(store, "_bucket_of", lambda key, n, hashed=None: F.pmod(F.xxhash64(*key), F.lit(n)).cast("int"))
+        commit(spark, tmpdir_path, [(f"t{k}", 0, 1.0) for k in range(50)])
+    manifest = store.read_manifest(spark, tmpdir_path)
+    del manifest["hash"]
+    store.publish(spark, tmpdir_path, {**manifest, "version": manifest["version"] + 1})
+    commit(spark, tmpdir_path, [("t7", 1, 2.0)])
+    found = current(spark, tmpdir_path)
+    assert len(found) == 50 and ("t7", 1, 2.0) in found
