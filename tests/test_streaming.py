@@ -176,3 +176,11 @@ def test_redelivered_results_count_once(spark, tmpdir_path):
     assert {r.codec: r["count"] for r in out.groupBy("codec").count().collect()} == {"a": 100, "b": 100}
     assert out.where("id = 't0-0'").first().hour == 0  # the first delivery stays
     assert len(held) == 10 and max(held) <= 22 * 5  # not the 200 ids of all batches
+
+
+def test_first_changes_are_those_from_nothing(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", None, "y"), (None, 2, None)], "id string, n int, v string")
+    plain = live.latest_changes(spark.createDataFrame([], rows.schema), rows, "id", ["n"])
+    first = live.first_changes(rows, "id", ["n"])
+    assert first.columns == plain.columns
+    assert sorted(map(str, first.collect())) == sorted(map(str, plain.collect()))
