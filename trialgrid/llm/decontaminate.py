@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialgrid.llm.common import pick
+from trialgrid.llm.common import pick, tidied
 from trialgrid.session import written
 
 CHUNK, BLOCK, SHINGLE = 64, 2, 5
@@ -264,7 +264,7 @@ def _shards(benchmark: DataFrame, threshold: float, item_col: str, text_col: str
                 schema=pa.schema([("item_id", pa.int64()), ("words", pa.list_(pa.string())), ("n_question", pa.int32())]))
 
     items = pick(benchmark, **columns).withColumn("item_id", F.col("item_id").cast("bigint"))
-    items = written(items.mapInArrow(cut, "item_id bigint, words array<string>, n_question int"), "benchmark-items")
+    items = written(items.mapInArrow(tidied(cut), "item_id bigint, words array<string>, n_question int"), "benchmark-items")
     chunks = items.select(F.explode(F.transform(
         F.sequence(F.lit(0), F.floor((F.size("words") - 1) / CHUNK).cast("int")),
         lambda k: F.slice("words", k * CHUNK + 1, F.lit(CHUNK)))).alias("chunk")).where(F.size("chunk") > 0)
@@ -303,7 +303,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(FOUND)],
                                                  schema=FOUND)
 
-        part = texts.mapInArrow(search, FOUND_DDL)
+        part = texts.mapInArrow(tidied(search), FOUND_DDL)
         found = part if found is None else found.unionAll(part)
     return documents.sparkSession.createDataFrame([], FOUND_DDL) if found is None else found
 
@@ -324,5 +324,5 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, threshold: float
                 leaks = index.value.leaks(batch.column(at).to_pylist(), least_overlap)
                 yield batch.filter(pa.array([not own for own in leaks], pa.bool_()))
 
-        documents = documents.mapInArrow(clean, schema)
+        documents = documents.mapInArrow(tidied(clean), schema)
     return documents.toDF(*names)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialgrid.llm.common import pick
+from trialgrid.llm.common import pick, tidied
 from trialgrid.llm.components import components
 from trialgrid.llm.sieve import sieve, sifted
 from trialgrid.session import written
@@ -331,7 +331,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], schema=LINKS)
 
     return (rows.repartition("a").sortWithinPartitions("a", "place").select("a", "place", "doc_id", "text")
-            .mapInArrow(check, LINKS_DDL).distinct())
+            .mapInArrow(tidied(check), LINKS_DDL).distinct())
 
 
 def _near_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +355,7 @@ def _sketched(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     ends = pairs.select("a", F.col("b").alias("doc_id"), F.lit(1).alias("place")).unionAll(
         pairs.select("a", F.col("a").alias("doc_id"), F.lit(0).alias("place")).distinct())
     ends = ends.join(sketched, "doc_id").repartition("a").sortWithinPartitions("a", "place")
-    return ends.select("a", "place", "doc_id", "n", "bits").mapInArrow(_near_stars, LINKS_DDL).distinct()
+    return ends.select("a", "place", "doc_id", "n", "bits").mapInArrow(tidied(_near_stars), LINKS_DDL).distinct()
 
 
 #: About as many documents around one center make a block; a task compares two blocks at a time.
@@ -451,8 +451,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     given = pick(documents, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), "text")
     texts = given.where("doc_id IS NOT NULL")
     n_spans = min(1 << 22, max(64, documents.count() // DOCS_PER_RANGE))
-    packed = texts.mapInArrow(_emit_sketches(n_spans), PACKED_DDL)
-    found = written(packed.repartition("span").sortWithinPartitions("span").mapInArrow(_join_sketches, FOUND_DDL),
+    packed = texts.mapInArrow(tidied(_emit_sketches(n_spans)), PACKED_DDL)
+    found = written(packed.repartition("span").sortWithinPartitions("span").mapInArrow(tidied(_join_sketches), FOUND_DDL),
                     "jaccard-found")
 
     stars = found.where(F.col("kind") == KIND_STAR)
@@ -481,14 +481,14 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     members = (_in_blocks(members.join(sketched, "doc_id"), sizes).repartition("center", "low", "high")
                .sortWithinPartitions("center", "low", "high", "doc_id")
                .select("center", "low", "high", "doc_id", "block", "label", "n", "bits", "buckets"))
-    more_pairs = members.mapInArrow(_near_pairs, LINKS_DDL).distinct().join(star_pairs, ["a", "b"], "left_anti")
+    more_pairs = members.mapInArrow(tidied(_near_pairs), LINKS_DDL).distinct().join(star_pairs, ["a", "b"], "left_anti")
     more = written(_verify(written(more_pairs, "jaccard-pairs"), texts), "jaccard-links")
 
     final = components(links.unionAll(more))
     sizes = found.where(F.col("kind") == KIND_SIZE).select("doc_id", F.col("n").alias("n_shingles"))
     result = sizes.join(final, sizes["doc_id"] == final["id"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    without_id = given.where("doc_id IS NULL").mapInArrow(_count_shingles, "doc_id bigint, n_shingles bigint")
+    without_id = given.where("doc_id IS NULL").mapInArrow(tidied(_count_shingles), "doc_id bigint, n_shingles bigint")
     return result.unionAll(without_id.select("doc_id", "n_shingles", F.lit(None).cast("bigint").alias("component_id")))
 
 

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialgrid.llm.common import pick
+from trialgrid.llm.common import pick, tidied
 from trialgrid.session import scratch_path
 
 MAGIC = b"DAC1"
@@ -49,7 +49,7 @@ WIDTHS = (8, 8, 16)
 FILE_TOKENS = 1 << 20
 PER_RANK = 8  # words of 64 bits
 END_ID = 2
-CACHED_WORDS, ENCODED_BYTES = 500_000, 1 << 23
+CACHED_WORDS, ENCODED_BYTES = 250_000, 1 << 23
 
 
 def default_vocabulary() -> str:
@@ -319,7 +319,7 @@ def write_images(documents: DataFrame, path: str, id_col: str = "doc_id", text_c
 
     texts = pick(documents, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint"), "text")
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    (ordered.mapInArrow(images, IMAGES_DDL).write.mode("errorifexists")
+    (ordered.mapInArrow(tidied(images), IMAGES_DDL).write.mode("errorifexists")
      .option("compression", "zstd").parquet(path))
 
 
@@ -344,7 +344,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                                                  schema=ROWS)
 
     stored = spark.read.schema(IMAGES_DDL).parquet(path)
-    found = stored.select("run", "first_token", "doc_ids", "image").mapInArrow(rows, ROWS_DDL)
+    found = stored.select("run", "first_token", "doc_ids", "image").mapInArrow(tidied(rows), ROWS_DDL)
     before = Window.partitionBy(F.lit(1)).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (stored.groupBy("run").agg(F.sum("n_ids").alias("n"))  # one row per run
                .select(F.col("run").alias("of_run"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")))
