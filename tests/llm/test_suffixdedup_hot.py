@@ -6,6 +6,22 @@ from tests.llm.test_suffixdedup import brute
 from trialgrid.llm import suffixdedup as S
 
 
+def test_hot_windows_are_listed_but_not_copied(spark, monkeypatch):
+    plans, write = [], S.written
+
+    def kept(df, name, **options):
+        if name == "suffix-spans":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name, **options)
+
+    monkeypatch.setattr(S, "written", kept)
+    body = "".join(chr(97 + i * i % 23) for i in range(68))
+    texts = spark.createDataFrame([(i, "x" * i + body * 2 + "y" * (9 - i)) for i in range(9)], "doc bigint, text string")
+    found = S._hot_spans(texts, spark.createDataFrame([(i, i) for i in range(9)], "doc bigint, place int"))
+    assert {r.doc for r in found.collect()} == set(range(1, 9))
+    assert plans[0].count("Generate ") == 2  # the windows, once for each side of the join
+
+
 def test_hot_side_is_spread(spark, monkeypatch):
     most, sort = 40, S._sort_surroundings
 

@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialgrid.llm.common import pick
+from trialgrid.llm.common import pick, tidied
 from trialgrid.llm.sieve import sieve, sifted
 from trialgrid.session import written
 
@@ -53,7 +53,6 @@ REACH = WINDOW - GRAM  # bytes that a window can reach before its anchor
 HALF = REACH // 2
 SORT_BYTES = 1 << 19
 HOT_ROWS = 1 << 13
-SALTS = 32
 NO_ID = -(1 << 63)
 BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -416,32 +415,31 @@ def _surroundings(texts: DataFrame, first: DataFrame) -> DataFrame:
     """The surroundings of the anchors `first` (doc, place), twice each, by side."""
     kinds = first.groupBy("doc").agg(F.collect_list("place").alias("places")).withColumnRenamed("doc", "_doc")
     near = sifted(texts, 0, sieve(kinds.select("_doc"))).join(kinds, F.col("doc") == F.col("_doc")).select("doc", "text", "places")
-    return near.mapInArrow(_emit_surroundings, AROUND_DDL)
+    return near.mapInArrow(tidied(_emit_surroundings), AROUND_DDL)
 
 
 def _sorted_spans(texts: DataFrame, first: DataFrame) -> DataFrame:
     around = _surroundings(texts, first).repartition("side").sortWithinPartitions("side", "doc", "start")
-    return written(around.mapInArrow(_sort_surroundings, SPANS_DDL), "suffix-spans", tidy=True)
+    return written(around.mapInArrow(tidied(_sort_surroundings), SPANS_DDL), "suffix-spans", tidy=True)
 
 
 def _hot_spans(texts: DataFrame, first: DataFrame) -> DataFrame:
     """The same for anchors of hot grams. A window is what its side shares and, by its place, the
-    bytes to the left and right of that: equal windows are found by an aggregation, and
-    all but the earliest by a join that holds one row per window and salt."""
+    bytes to the left and right of that: equal windows are found by an aggregation, and all but
+    the earliest by a join with one row per repeated window. A window that very many rows hold makes the
+    other side of that join skewed: Spark splits such partitions, and nothing is copied beforehand."""
     around = written(_surroundings(texts, first), "suffix-around", tidy=True)
     before, ahead = F.octet_length("left"), F.col("ahead")
     windows = (around.withColumn("ahead", F.explode(F.sequence(F.lit(0), F.lit(HALF))))
                .where((before >= ahead) & (F.octet_length("right") >= HALF - ahead))
                .select("side", "ahead", "doc", "start", (F.col("start") + before - ahead).alias("low"),
                        F.concat(F.substring("left", before - ahead + 1, ahead),
-                                F.substring("right", F.lit(1), HALF - ahead)).alias("wings"))
-               .withColumn("salt", F.pmod(F.xxhash64("doc", "start"), F.lit(SALTS))))
+                                F.substring("right", F.lit(1), HALF - ahead)).alias("wings")))
     window = ["side", "ahead", "wings"]
     at = F.struct("doc", "low")
     repeated = (windows.groupBy(*window).agg(F.min(at).alias("earliest"), F.max(at).alias("latest"))
-                .where("earliest < latest").select(*window, "earliest", F.explode(
-                    F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt")))
-    later = windows.join(repeated, [*window, "salt"]).where(at > F.col("earliest"))
+                .where("earliest < latest").select(*window, "earliest"))
+    later = windows.join(repeated, window).where(at > F.col("earliest"))
     # windows of one row overlap, so what they cover is one span
     return written(later.groupBy("side", "doc", "start").agg(F.min("low").alias("low"), (F.max("low") + WINDOW).alias("high"))
                    .select("doc", "low", "high"), "suffix-spans", tidy=True)
@@ -452,7 +450,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     # anchors already known to be repeats needn't meet their class: a hot gram's rows are spread
     key, rest, later = F.col("key"), F.col("rest"), F.col("rest").bitwiseAND(LATER) != 0
     gram, behind = key.bitwiseAND(-0x10000), rest.bitwiseAND(LATER - 1)
-    dealt = texts.mapInArrow(_emit_anchors, ANCHORS_DDL).repartition(
+    dealt = texts.mapInArrow(tidied(_emit_anchors), ANCHORS_DDL).repartition(
         F.when(later, F.xxhash64("doc", "key", "rest")).otherwise(gram))
     found = dealt.select(
         gram.alias("gram"), "around", "doc",
@@ -460,7 +458,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         F.shiftright(rest, 16).bitwiseAND(0xFFFF).cast("int").alias("before"),
         F.when(later, -1 - behind).otherwise(behind).cast("int").alias("behind")
     ).sortWithinPartitions("gram", "around", "doc", "place")
-    marks = written(found.mapInArrow(_mark_classes, MARKS_DDL), "suffix-marks", tidy=True)
+    marks = written(found.mapInArrow(tidied(_mark_classes), MARKS_DDL), "suffix-marks", tidy=True)
     first = marks.where("NOT whole").select("gram", "doc", "place")
     hot = written(first.groupBy("gram").count().where(F.col("count") >= HOT_ROWS).select("gram"), "suffix-hot", tidy=True)
     if hot.isEmpty():
@@ -483,4 +481,4 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     touched = sifted(texts, 0, filter_of).join(spans, F.col("doc") == F.col("_doc"), "left").select("doc", "text", "spans")
     rest = sifted(texts, 0, filter_of, inside=False).withColumn(
         "spans", F.lit(None).cast("array<struct<low:bigint,high:bigint>>"))
-    return touched.mapInArrow(_digest, KEPT_DDL).unionAll(rest.mapInArrow(_digest, KEPT_DDL))
+    return touched.mapInArrow(tidied(_digest), KEPT_DDL).unionAll(rest.mapInArrow(tidied(_digest), KEPT_DDL))
