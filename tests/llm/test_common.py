@@ -22,3 +22,12 @@ def test_tidied_gives_memory_back_when_a_task_ends(monkeypatch):
     with pytest.raises(ValueError, match="bad row"):
         list(common.tidied(fails)(iter([1])))
     assert freed == [True, True]
+
+
+def test_tidied_gives_the_heap_back(monkeypatch):
+    trimmed = []
+    library = SimpleNamespace(malloc_trim=trimmed.append)
+    monkeypatch.setattr(common, "ctypes", SimpleNamespace(CDLL=lambda name: library), raising=False)
+    assert list(common.tidied(lambda batches: batches)(iter([1]))) == [1] and trimmed == [0]
+    del library.malloc_trim  # another C library
+    assert list(common.tidied(lambda batches: batches)(iter([1]))) == [1]

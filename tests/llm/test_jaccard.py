@@ -1,8 +1,11 @@
 """The Jaccard join against brute force over all pairs."""
 
+import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trialgrid.llm import jaccard as J
@@ -90,3 +93,33 @@ def test_every_similar_pair_shares_a_sketch():
             short = min(map(len, bits))
             apart = np.bitwise_count(J.fold(bits[0], short) ^ J.fold(bits[1], short)).sum()
             assert apart <= len(np.setxor1d(one, two))
+
+
+def test_sketches_are_packed_in_little_memory(monkeypatch):
+    """Batches of few sketches, and not many bytes a sketch while they are packed: a task shares
+    its executor's memory with others."""
+    monkeypatch.setattr(J, "FLUSH_KEYS", 400_000)
+    monkeypatch.setattr(J, "PACKED_KEYS", 20_000, raising=False)
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(map(str, rng.integers(0, 1000, 300)))) for i in range(4000)]
+    given = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows])],
+                                       names=["doc_id", "text"])
+    n, sizes = {}, []
+    tracemalloc.start()
+    try:
+        for batch in J._emit_sketches(200)(iter([given])):
+            own = [J._unpack(ids, base, width) for span, _, ids, base, width, _ in
+                   zip(*(c.to_pylist() for c in batch.columns), strict=True) if span >= 0]
+            sizes.append(sum(map(len, own)))
+            for i in itertools.chain.from_iterable(x.tolist() for x in own):
+                n[i] = n.get(i, 0) + 1
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) > 800_000 and max(sizes) < 40_000  # a batch ends with the span that fills it
+    assert peak < 26_000_000, peak
+    make, bands = J.Shingles(), J.Bands()
+    for i, text in rows:
+        own = make.of(text)
+        band = bands.of(len(own))
+        assert n[i] == sum(len(J.sketches(own, j, *bands.shape(j))) for j in (band, band - 1))

@@ -45,9 +45,11 @@ from trialgrid.session import written
 
 SHINGLE = 5
 FLUSH_KEYS = 2_000_000
+PACKED_KEYS = 250_000
+NOTED_LISTS = 1_000_000
 DOCS_PER_RANGE = 512
 LEAST_BITS = 512
-CACHED_WORDS = 400_000
+CACHED_WORDS = 50_000
 KEY_BITS = 40
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -193,30 +195,71 @@ def _keys(data: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+class _Sketches:
+    """Sketches of many documents until they are packed, in arrays that are allocated once."""
+
+    def __init__(self):
+        most = FLUSH_KEYS + PACKED_KEYS  # room for the document that fills them
+        self.keys, self.owner = np.empty(most, np.uint64), np.empty(most, np.int32)
+        self.ids: list[int] = []
+        self.total = 0
+
+    def add(self, doc_id: int, keys: np.ndarray) -> None:
+        upto = self.total + len(keys)
+        if upto > len(self.keys):
+            self.keys, self.owner = (np.concatenate([x[:self.total], np.empty(upto - self.total, x.dtype)])
+                                     for x in (self.keys, self.owner))
+        self.keys[self.total:upto], self.owner[self.total:upto] = keys, len(self.ids)
+        self.ids.append(doc_id)
+        self.total = upto
+
+    def packed(self, n_spans: int) -> Iterator[tuple]:
+        """One row per span, the sketches in the order in which they came; then all are forgotten."""
+        key, owner, ids = self.keys[:self.total], self.owner[:self.total], np.array(self.ids, np.int64)
+        span = np.empty(self.total, np.int32)
+        for low in range(0, self.total, PACKED_KEYS):
+            some = slice(low, low + PACKED_KEYS)
+            span[some] = ((key[some] >> np.uint64(40)) * np.uint64(n_spans)) >> np.uint64(24)
+        order = np.argsort(span, kind="stable").astype(np.int32)
+        span = span[order]
+        at = np.flatnonzero(np.diff(span, prepend=-1))
+        for low, high in zip(at.tolist(), [*at[1:].tolist(), len(span)], strict=True):
+            own = order[low:high]
+            yield int(span[low]), _key_bytes(key[own]), *_pack(ids[owner[own]]), None
+        self.ids, self.total = [], 0
+
+
+def _packed_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches of PACKED rows of about `PACKED_KEYS` sketches each."""
+    out, size = [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t.type) for i, t in enumerate(PACKED)], schema=PACKED)
+
+    for row in rows:
+        out.append(row)
+        size += len(row[2]) // row[4]
+        if size >= PACKED_KEYS:
+            yield batch()
+            out, size = [], 0
+    if out:
+        yield batch()
+
+
 def _emit_sketches(n_spans: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, bands = Shingles(), Bands()
-        keys, owners, lengths, total, first_of, equal, sizes = [], [], [], 0, {}, [], []
+        make, bands, found = Shingles(), Bands(), _Sketches()
+        first_of, equal, sizes = {}, [], []
 
         def packed():
-            out = []
-            if keys:
-                key, owner = np.concatenate(keys), np.repeat(np.array(owners, np.int64), lengths)
-                span = (((key >> np.uint64(40)) * np.uint64(n_spans)) >> np.uint64(24)).astype(np.int64)
-                order = np.argsort(span, kind="stable")
-                key, owner, span = key[order], owner[order], span[order]
-                at = np.flatnonzero(np.diff(span, prepend=-1))
-                for low, high in zip(at, [*at[1:], len(span)], strict=True):
-                    out.append((int(span[low]), _key_bytes(key[low:high]), *_pack(owner[low:high]), None))
+            yield from found.packed(n_spans)
             spread = len(sizes) and (sizes[0][0] + len(sizes)) % 1024
             # ids and what belongs to them, one after the other
             for kind, rows in ((SIZES, sizes), (EQUAL, equal)):
                 if rows:
                     a, b = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
                     bits = [r[2] for r in rows] if kind == SIZES else None
-                    out.append((kind - 2 * spread, b.astype("<i8").tobytes(), *_pack(a), bits))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t.type) for i, t in enumerate(PACKED)],
-                                              schema=PACKED)
+                    yield kind - 2 * spread, b.astype("<i8").tobytes(), *_pack(a), bits
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -231,20 +274,17 @@ def _emit_sketches(n_spans: int):
                         band = bands.of(len(own))
                         for j in (band, band - 1):
                             if j >= 0:
-                                keys.append(sketches(own, j, *bands.shape(j)))
-                                owners.append(doc_id)
-                                lengths.append(len(keys[-1]))
-                                total += lengths[-1]
-                if total >= FLUSH_KEYS or len(sizes) >= 10_000:
-                    yield packed()
-                    keys, owners, lengths, total, first_of, equal, sizes = [], [], [], 0, {}, [], []
+                                found.add(doc_id, sketches(own, j, *bands.shape(j)))
+                if found.total >= FLUSH_KEYS or len(sizes) >= 10_000:
+                    yield from _packed_batches(packed())
+                    first_of, equal, sizes = {}, [], []
         if sizes:
-            yield packed()
+            yield from _packed_batches(packed())
 
     return emit
 
 
-def _stars(key: np.ndarray, ids: np.ndarray, span: int, seen: set) -> list[tuple]:
+def _stars(key: np.ndarray, ids: np.ndarray, span: int, seen: set[int]) -> list[tuple]:
     """Stars of all lists of two or more documents that share a sketch, each list once."""
     order = np.lexsort((ids, key))
     key, ids = key[order], ids[order]
@@ -256,22 +296,22 @@ def _stars(key: np.ndarray, ids: np.ndarray, span: int, seen: set) -> list[tuple
     many = count > 1
     if not many.any():
         return []
-    signature = np.add.reduceat(_mix(ids.view(np.uint64) + _STEPS[0]), at)
+    signature = _mix(np.add.reduceat(_mix(ids.view(np.uint64) + _STEPS[0]), at) + _STEPS[1] * count.astype(np.uint64))
     out = []
     for low, n, mark in zip(at[many].tolist(), count[many].tolist(), signature[many].tolist(), strict=True):
-        if (mark, n) not in seen:
-            seen.add((mark, n))
+        if mark not in seen:
+            seen.add(mark)
             out.append((span << KEY_BITS | int(key[low]), n, ids[low:low + n]))
     return out
 
 
 def _join_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one span follow each other."""
-    seen: set = set()
+    seen: set[int] = set()
     span, keys, ids = None, [], []
 
     def stars():
-        if len(seen) > 2_000_000:
+        if len(seen) > NOTED_LISTS:
             seen.clear()
         found = _stars(np.concatenate(keys), np.concatenate(ids), span, seen)
         if found:

@@ -49,7 +49,7 @@ WIDTHS = (8, 8, 16)
 FILE_TOKENS = 1 << 20
 PER_RANK = 8  # words of 64 bits
 END_ID = 2
-CACHED_WORDS, ENCODED_BYTES = 250_000, 1 << 23
+CACHED_WORDS, ENCODED_BYTES = 100_000, 1 << 22
 
 
 def default_vocabulary() -> str:
