@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -94,3 +95,22 @@ def test_clean_documents_with_clashing_columns(spark):
     kept = D.clean_documents(docs, bench)
     assert kept.columns == ["doc_id", "text", "TEXT", "q", "q"]
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(2, "z z z", "p", 3, 4), (None,) * 5], key=str)
+
+
+def test_bounds_of_a_batch_take_little_memory():
+    """The bounds of many passages are summed in place, for few words at a time."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(k, [rng.choice(words) for _ in range(60)], 60) for k in range(400)]
+    frequency = Counter(w for _, own, _ in items for w in set(own))
+    index = D.Index(items, frequency, 400, 60.0, .5)
+    texts = [" ".join(rng.choice(words) for _ in range(2000)) for _ in range(250)]
+    texts[7] += " " + " ".join(items[5][1])
+    tracemalloc.start()
+    try:
+        found = index.leaks(texts, .75)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [(i, k) for i, own in enumerate(found) for k, *_ in own] == [(7, 5)]
+    assert peak < 90_000_000, peak

@@ -102,3 +102,14 @@ def test_texts_encoded_together_are_bounded(monkeypatch):
         some = [s.column(1).to_pylist() for s in tokens._together(batch)]
         assert [t for s in some for t in s] == texts
         assert all(some) and all(sum(len(t or "") for t in s[:-1]) <= 10 for s in some)
+
+
+def test_new_words_are_learned_some_at_a_time(tokenizer, monkeypatch):
+    """What the tokenizer returns for a word is large: it is asked for a bounded number of them."""
+    encoder, asked = tokens.WordEncoder(tokens.default_vocabulary()), []
+    ids = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts: asked.append(len(texts)) or ids(texts))
+    texts = [" ".join(f"{k * 7919}.{k} w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}x" for k in range(low, low + 500)) for low in range(0, 3000, 500)]
+    got = encoder.encode(texts)
+    assert 1 < len(asked) and max(asked) <= encoder.AT_ONCE
+    assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids + [tokens.END_ID], "<u4").tobytes() for t in texts]

@@ -47,7 +47,7 @@ from trialgrid.session import written
 CHUNK, BLOCK, SHINGLE = 64, 2, 5
 K1, B = 0.9, 0.4
 SHARD_CHARS = 4_000_000
-BATCH_WORDS, BATCH_CELLS = 400_000, 4_000_000
+BATCH_WORDS, BATCH_CELLS = 100_000, 1_000_000
 WORDS = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"[.?!\n](?=\s*\w)")
 
@@ -152,7 +152,8 @@ class Index:
         # a passage is a cell and the next one of its document
         doc = np.array(cell_doc)
         joined = np.append(doc[1:] == doc[:-1], False)
-        bound = bound + np.vstack([bound[1:], np.zeros(self.n_blocks)]) * joined[:, None] + self.constant
+        bound[:-1] += bound[1:] * joined[:-1, None]
+        bound += self.constant
         cells, blocks = np.nonzero(bound >= self.threshold - 1e-9)
         for c, b in zip(cells.tolist(), blocks.tolist(), strict=True):
             last = min(starts[c] + (2 * CHUNK if joined[c] else CHUNK), bounds[cell_doc[c] + 1])

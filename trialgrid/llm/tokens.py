@@ -49,7 +49,7 @@ WIDTHS = (8, 8, 16)
 FILE_TOKENS = 1 << 20
 PER_RANK = 8  # words of 64 bits
 END_ID = 2
-CACHED_WORDS, ENCODED_BYTES = 100_000, 1 << 22
+CACHED_WORDS, ENCODED_BYTES = 150_000, 1 << 21
 
 
 def default_vocabulary() -> str:
@@ -213,22 +213,31 @@ class WordEncoder:
             known = self.old_words.get(word)
             if known is not None:
                 self.words[word] = known
-            else:
-                text = word.decode()
-                (plain if self.PLAIN.fullmatch(text) else other).append((word, text))
-        for low in range(0, len(plain), self.AT_ONCE):
-            some = plain[low:low + self.AT_ONCE]
-            ids = self._ids([" ".join(text for _, text in some)])[0]
-            bounds = np.flatnonzero(self.is_end[ids]) + 1
-            if len(bounds) != len(some):
-                raise ValueError("the tokenizer doesn't end each word of letters once")
-            data, at = ids.tobytes(), 0
-            for (word, _), end in zip(some, (4 * bounds).tolist(), strict=True):
-                self.words[word] = data[at:end]
-                at = end
+                continue
+            text = word.decode()
+            some, learn = (plain, self._learn_plain) if self.PLAIN.fullmatch(text) else (other, self._learn_other)
+            some.append((word, text))
+            if len(some) == self.AT_ONCE:
+                learn(some)
+                some.clear()
+        if plain:
+            self._learn_plain(plain)
         if other:
-            found = self._ids([text for _, text in other])
-            self.words.update((word, ids.tobytes()) for (word, _), ids in zip(other, found, strict=True))
+            self._learn_other(other)
+
+    def _learn_plain(self, some: list[tuple[bytes, str]]) -> None:
+        ids = self._ids([" ".join(text for _, text in some)])[0]
+        bounds = np.flatnonzero(self.is_end[ids]) + 1
+        if len(bounds) != len(some):
+            raise ValueError("the tokenizer doesn't end each word of letters once")
+        data, at = ids.tobytes(), 0
+        for (word, _), end in zip(some, (4 * bounds).tolist(), strict=True):
+            self.words[word] = data[at:end]
+            at = end
+
+    def _learn_other(self, some: list[tuple[bytes, str]]) -> None:
+        found = self._ids([text for _, text in some])
+        self.words.update((word, ids.tobytes()) for (word, _), ids in zip(some, found, strict=True))
 
     def _words_of(self, texts: pa.Array) -> pa.Array:
         """Lists of words: runs without ASCII white space (an empty one may come first or last)."""
@@ -244,21 +253,26 @@ class WordEncoder:
             return [ids.tobytes() + self.end for ids in self._ids(texts)]
         # an array of its own: string functions read a slice of a batch at a wrong offset
         split = self._words_of(pa.array(texts, pa.large_string()))
+        bounds = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        del split, coded  # the words themselves aren't needed any longer
         wanted = set(distinct)
         if not wanted <= self.words.keys():
             self._learn(wanted)
         own = [self.words[w] for w in distinct]
+        del wanted, distinct
         # the ids of all words, gathered from those of the distinct ones
         sizes = np.fromiter(map(len, own), np.int64, len(own)) >> 2
         first, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(own), "<u4")
-        word = coded.indices.to_numpy(zero_copy_only=False)
         many = sizes[word]
         upto = np.cumsum(many)
-        found = ids[np.repeat(first[word] - upto + many, many) + np.arange(int(many.sum()))]
-        bounds = split.offsets.to_numpy()
+        place = np.repeat(first[word] - upto + many, many)
+        place += np.arange(len(place))
+        found = ids[place]
         at = np.concatenate([[0], upto])[bounds - bounds[0]].tolist()
+        del place, upto, many, word
         data = found.tobytes()
         return [data[4 * low:4 * high] + self.end for low, high in zip(at[:-1], at[1:], strict=True)]
 
