@@ -152,6 +152,7 @@ class Index:
         # a passage is a cell and the next one of its document
         doc = np.array(cell_doc)
         joined = np.append(doc[1:] == doc[:-1], False)
+        bound = bound.astype(float, copy=False)  # without entries the sums are whole numbers
         bound[:-1] += bound[1:] * joined[:-1, None]
         bound += self.constant
         cells, blocks = np.nonzero(bound >= self.threshold - 1e-9)
