@@ -22,6 +22,25 @@ def test_hot_windows_are_listed_but_not_copied(spark, monkeypatch):
     assert plans[0].count("Generate ") == 2  # the windows, once for each side of the join
 
 
+def test_windows_and_lists_are_not_broadcast(spark, monkeypatch):
+    plans, write = [], S.written
+
+    def kept(df, name, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, **options)
+
+    monkeypatch.setattr(S, "written", kept)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    body = "".join(chr(97 + i * i % 23) for i in range(68))
+    rows = [(i, "x" * i + body * 2 + "y" * (9 - i)) for i in range(9)]
+    first = spark.createDataFrame([(i, i) for i in range(9)], "doc bigint, place int")
+    texts = S.written(spark.createDataFrame(rows, "doc bigint, text string"), "texts")  # a file: Spark takes it to be tiny
+    S._hot_spans(texts, S.written(first, "first"))
+    plans.append(S.suffix_dedup(texts, id_col="doc")._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in plan for plan in plans) >= 3
+    assert not any("BroadcastHashJoin" in plan for plan in plans)
+
+
 def test_hot_side_is_spread(spark, monkeypatch):
     most, sort = 40, S._sort_surroundings
 

@@ -413,7 +413,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _surroundings(texts: DataFrame, first: DataFrame) -> DataFrame:
     """The surroundings of the anchors `first` (doc, place), twice each, by side."""
-    kinds = first.groupBy("doc").agg(F.collect_list("place").alias("places")).withColumnRenamed("doc", "_doc")
+    # lists take up more than their rows are estimated by: never broadcast them
+    kinds = first.groupBy("doc").agg(F.collect_list("place").alias("places")).withColumnRenamed("doc", "_doc").hint("merge")
     near = sifted(texts, 0, sieve(kinds.select("_doc"))).join(kinds, F.col("doc") == F.col("_doc")).select("doc", "text", "places")
     return near.mapInArrow(tidied(_emit_surroundings), AROUND_DDL)
 
@@ -439,7 +440,8 @@ def _hot_spans(texts: DataFrame, first: DataFrame) -> DataFrame:
     at = F.struct("doc", "low")
     repeated = (windows.groupBy(*window).agg(F.min(at).alias("earliest"), F.max(at).alias("latest"))
                 .where("earliest < latest").select(*window, "earliest"))
-    later = windows.join(repeated, window).where(at > F.col("earliest"))
+    # a row's windows are many times the bytes they are estimated by, and `repeated` is made of them: never broadcast either
+    later = windows.hint("merge").join(repeated, window).where(at > F.col("earliest"))
     # windows of one row overlap, so what they cover is one span
     return written(later.groupBy("side", "doc", "start").agg(F.min("low").alias("low"), (F.max("low") + WINDOW).alias("high"))
                    .select("doc", "low", "high"), "suffix-spans", tidy=True)
@@ -476,7 +478,8 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per row of `documents`: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts = pick(documents, doc=id_col, text=text_col).select(
         F.coalesce(F.col("doc").cast("bigint"), F.lit(NO_ID)).alias("doc"), "text")
-    spans = written(repeated_spans(texts), "suffix-removed", tidy=True).withColumnRenamed("doc", "_doc")
+    # lists of spans take up many times the bytes of their file: never broadcast them
+    spans = written(repeated_spans(texts), "suffix-removed", tidy=True).withColumnRenamed("doc", "_doc").hint("merge")
     filter_of = sieve(spans.select("_doc"))
     touched = sifted(texts, 0, filter_of).join(spans, F.col("doc") == F.col("_doc"), "left").select("doc", "text", "spans")
     rest = sifted(texts, 0, filter_of, inside=False).withColumn(
