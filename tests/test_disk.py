@@ -1,10 +1,11 @@
-"""What writing leaves on disk."""
+"""What writing leaves on disk: shuffle files of a write go with it, large commits are done in lots, state is compressed."""
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from trialgrid.sources import files
+from trialgrid.sources import files, store
 
 
 def shuffled_files(spark):
@@ -26,3 +27,36 @@ def test_a_commit_leaves_no_shuffle_files(spark, tmpdir_path):
     rows = spark.range(1000).select(F.col("id").cast("string").alias("id")).repartition(3, "id")
     left, _ = left_by(spark, lambda: files.commit_results(rows, tmpdir_path + "/r"))
     assert not left and spark.read.parquet(tmpdir_path + "/r").count() == 1000
+
+
+@pytest.mark.parametrize("first", [600, 40])  # so many rows that the buckets are right at once, or grow with the second commit
+def test_large_commits_are_done_in_lots(spark, tmpdir_path, monkeypatch, first):
+    monkeypatch.setattr(store, "LOT_ROWS", 100)
+    monkeypatch.setattr(store, "BUCKET_ROWS", 64)
+    merged, latest = [], files.grid.latest_by_id
+
+    def counted(both, order):
+        merged.append(both.count())
+        return latest(both, order)
+
+    monkeypatch.setattr(files.grid, "latest_by_id", counted)
+    say = lambda low, high, no: spark.range(low, high).select(
+        F.when(F.col("id") % 50 > 0, F.concat(F.lit("t"), F.col("id").cast("string"))).alias("id"), F.lit(no).cast("long").alias("no"), F.col("id").cast("double").alias("x"))
+    for no, (low, high) in enumerate([(0, first), (20, 700), (300, 400)]):
+        begun = len(merged)
+        files.commit_current(say(low, high, no), tmpdir_path, ["no", "x"], n_buckets=8)
+    lots = merged[begun:]
+    assert len(lots) >= 4 and max(lots) <= 2 * sum(lots) / len(lots)
+    got = sorted((tuple(r) for r in files.read_current(spark, tmpdir_path, say(0, 1, 0).schema).collect()), key=str)
+    want = {}
+    for no, (low, high) in enumerate([(0, first), (20, 700), (300, 400)]):
+        for k in range(low, high):
+            want[f"t{k}" if k % 50 else None] = (no, float(k))
+    assert got == sorted(((k, *v) for k, v in want.items()), key=str)
+
+
+def test_no_version_but_the_last_is_kept_if_asked(spark, tmpdir_path):
+    rows = spark.createDataFrame([("a", 1)], "id string, no long")
+    for _ in range(3):
+        files.commit_current(rows, tmpdir_path, ["no"], n_buckets=2, keep=1)
+    assert len(store._versions(spark, tmpdir_path)) == 1 and files.read_current(spark, tmpdir_path, rows.schema).count() == 1
