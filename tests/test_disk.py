@@ -60,3 +60,23 @@ def test_no_version_but_the_last_is_kept_if_asked(spark, tmpdir_path):
     for _ in range(3):
         files.commit_current(rows, tmpdir_path, ["no"], n_buckets=2, keep=1)
     assert len(store._versions(spark, tmpdir_path)) == 1 and files.read_current(spark, tmpdir_path, rows.schema).count() == 1
+
+
+def test_state_of_ids_is_compressed(spark, tmpdir_path):
+    from trialgrid.streaming import live
+    name, seen = "spark.sql.streaming.stateStore.rocksdb.compression", []
+    spark.range(20).select(F.col("id").cast("string").alias("id")).write.parquet(tmpdir_path + "/in")
+    before, upsert = spark.conf.get(name, None), store.upsert
+
+    def looked(rows, *args, **options):
+        seen.append(rows.sparkSession.conf.get(name, None))
+        assert store.SLICE in rows.columns
+        return upsert(rows, *args, **options)
+
+    store.upsert = looked
+    try:
+        stream = live.stream_files(spark, tmpdir_path + "/in", spark.read.parquet(tmpdir_path + "/in").schema)
+        assert live.dedupe_results(stream, tmpdir_path + "/out", tmpdir_path + "/ck").count() == 20
+    finally:
+        store.upsert = upsert
+    assert set(seen) == {"zstd"} and spark.conf.get(name, None) == before
