@@ -80,3 +80,25 @@ def test_state_of_ids_is_compressed(spark, tmpdir_path):
     finally:
         store.upsert = upsert
     assert set(seen) == {"zstd"} and spark.conf.get(name, None) == before
+
+
+def test_landed_tables_go_with_the_block(spark, sf_dir):
+    from trialgrid.operators import probe
+    from trialgrid.schemas import TRIAL_COLUMNS
+    from trialgrid.sources import tables
+    li, part, clips = (tables.table(spark, sf_dir, "lineitem"), tables.table(spark, sf_dir, "part"), tables.base_probes_from_tables(spark, sf_dir))
+    lines, fields, flat = tables.trial_lines(li, part), tables.trial_columns(), tables.trials_from_tables(spark, sf_dir).select(*TRIAL_COLUMNS)
+    rows = lambda df: sorted(map(str, df.collect()))
+    with probe.landing(spark):
+        left, moved = left_by(spark, lambda: (
+            probe.land_trials(lines, clips, 3, fields), probe.land_probes(li, 3, tables.out_probe_columns()),
+            probe.land_metrics(li, 3, tables.metric_log_columns()), probe.land_runs(lines, 3, tables.run_columns(fields))))
+        assert not left
+        plain = (probe.land_trials(flat, clips, 3), probe.land_probes(tables.out_probes_from_tables(spark, sf_dir), 3),
+                 probe.land_metrics(tables.metric_logs_from_tables(spark, sf_dir), 3), probe.land_runs(tables.runs_from_trials(flat), 3))
+        for a, b in zip(moved, plain, strict=True):
+            assert a.columns == b.columns and rows(a) == rows(b)
+            plan = a.groupBy("stem").count()._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan
+        names = [t.name for t in spark.catalog.listTables() if t.name.startswith("landed_")]
+    assert len(names) >= 8 and sum(spark.catalog.tableExists(n) for n in names) == len(names) - 8
