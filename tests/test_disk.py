@@ -102,3 +102,20 @@ def test_landed_tables_go_with_the_block(spark, sf_dir):
             assert "Exchange" not in plan
         names = [t.name for t in spark.catalog.listTables() if t.name.startswith("landed_")]
     assert len(names) >= 8 and sum(spark.catalog.tableExists(n) for n in names) == len(names) - 8
+
+
+def test_reports_are_compressed_and_hold_nothing_twice(spark, sf_dir, tmpdir_path):
+    import glob
+
+    from trialgrid.operators import reports
+    from trialgrid.sources import tables
+    trials = tables.trials_from_tables(spark, sf_dir)
+    rows, keys = reports.ordered_rows(trials, ["id", "enc_sec", "outfile_size_kbyte"])
+    assert len(rows.columns) == len(reports.FLAT_COLUMNS) + 1 and keys[1:] == ["enc_sec", "outfile_size_kbyte"]  # nothing twice
+    out = files.write_reports(trials, tmpdir_path + "/data.json", ["id", "enc_sec", "outfile_size_kbyte"])
+    for kind, path in out.items():
+        parts = glob.glob(path + "/part-*")
+        assert parts and all(p.endswith(".csv.gz") for p in parts)
+        assert files.read_report(spark, path, kind).columns[0] == "index"
+    wide = files.read_report(spark, out["all"], "all")
+    assert wide.count() == trials.count() and "id" not in wide.columns
