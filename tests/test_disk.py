@@ -82,6 +82,15 @@ def test_state_of_ids_is_compressed(spark, tmpdir_path):
     assert set(seen) == {"zstd"} and spark.conf.get(name, None) == before
 
 
+def test_saving_leaves_no_shuffle_files(spark, tmpdir_path):
+    from trialgrid.operators import grid
+    cells = spark.range(500).select(F.col("id").cast("string").alias("id")).repartition(3, "id").distinct()
+    left, said = left_by(spark, lambda: grid.save_trials(cells, cells.union(cells), tmpdir_path + "/s", new_config=False))
+    assert said == "written" and not left
+    left, said = left_by(spark, lambda: grid.save_trials(cells, cells, tmpdir_path + "/s", new_config=False))
+    assert said == "unchanged" and not left
+
+
 def test_landed_tables_go_with_the_block(spark, sf_dir):
     from trialgrid.operators import probe
     from trialgrid.schemas import TRIAL_COLUMNS
