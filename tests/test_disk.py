@@ -1,5 +1,6 @@
 """What writing leaves on disk: shuffle files of a write go with it, large commits are done in lots, state is compressed."""
 
+import os
 import time
 
 import pytest
@@ -128,3 +129,26 @@ def test_reports_are_compressed_and_hold_nothing_twice(spark, sf_dir, tmpdir_pat
         assert files.read_report(spark, path, kind).columns[0] == "index"
     wide = files.read_report(spark, out["all"], "all")
     assert wide.count() == trials.count() and "id" not in wide.columns
+
+
+def test_long_reports_are_written_in_lots(spark, sf_dir, tmpdir_path, monkeypatch):
+    from trialgrid.operators import index, reports
+    from trialgrid.sources import tables
+    trials, order = tables.trials_from_tables(spark, sf_dir), ["id", "enc_sec", "outfile_size_kbyte"]
+    monkeypatch.setattr(index, "ROWS_PER_RANGE", 500)
+    monkeypatch.setattr(files, "LOT_RANGES", 4)
+    sizes, write = [], files._write_report
+
+    def counted(rows, path, mode="overwrite", whole=True):
+        write(rows, path, mode, whole)
+        sizes.append((path, mode, os.path.exists(f"{path}/_SUCCESS"), files.read_report(spark, path, "all").count() if path.endswith("_all.csv") else 0))
+
+    monkeypatch.setattr(files, "_write_report", counted)
+    out = files.write_reports(trials, tmpdir_path + "/data.json", order)
+    lots, n = [s for s in sizes if s[0] == out["all"]], trials.count()
+    assert len(lots) >= 3 and lots[-1][2:] == (True, n) and not any(s[2] for s in lots[:-1])
+    assert max(b[3] - a[3] for a, b in zip([(0, 0, 0, 0), *lots], lots)) < n * 0.6
+    seen = lambda df: sorted(map(str, df.select([F.col(c).cast("string") for c in df.columns]).collect()))
+    flat = reports.flat_report(trials, order)
+    assert seen(files.read_report(spark, out["all"], "all").select(flat.columns)) == seen(flat)
+    assert os.path.exists(out["type"] + "/_SUCCESS")
